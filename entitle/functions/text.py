@@ -18,18 +18,13 @@ t can will just don should now
 TOKEN = r"([\p{L}\p{N}_]{2,})"
 
 
-def tokens(text: Column) -> Column:
+def tokens(column: str) -> Column:
     """Lower-cased runs of two or more word characters, stop words removed."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(1))
-    return F.filter(found, lambda t: ~t.isin(STOP_WORDS))
+    stop = ", ".join(f"'{word}'" for word in STOP_WORDS)
+    return F.expr(f"filter(regexp_extract_all(lower(`{column}`), r'{TOKEN}', 1), t -> t NOT IN ({stop}))")
 
 
 def bigrams(token_array: Column) -> Column:
     n = F.greatest(F.size(token_array) - 1, F.lit(0))
     return F.zip_with(F.slice(token_array, F.lit(1), n), F.slice(token_array, F.lit(2), n),
                       lambda a, b: F.concat(a, F.lit(" "), b))
-
-
-def features(text: Column) -> Column:
-    """Unigrams and bigrams over the tokens that remain."""
-    return F.concat(tokens(text), bigrams(tokens(text)))

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from entitle.functions import scoring as S
-from entitle.operators.joins import split_hot_join, substring_link
+from entitle.operators.joins import small_or_split_join, substring_link
 from entitle.schema import ELIGIBLE_SCORE, RECOMMEND_SCORE
 
 ANY = "*"
@@ -47,12 +47,17 @@ def top_ranked(df: DataFrame, group: list[str], order: list[Column], n: int | No
 
 # --- strict dialect -------------------------------------------------------------------------
 
+def _with_rules(pairs: DataFrame, profiles: DataFrame, rules: DataFrame) -> DataFrame:
+    """Pairs with their profile and rule. Both joins meet a unique key on the right; a user or
+    programme with very many pairs is split by the adaptive skew join."""
+    wide = pairs.join(S.with_user_keys(profiles), "user_id").withColumnRenamed("scheme_id", "r_id")
+    return wide.join(prefixed(rules.drop(*[c for c in ("pos",) if c in pairs.columns])), "r_id")
+
+
 def assess_pairs(pairs: DataFrame, profiles: DataFrame, rules: DataFrame) -> DataFrame:
     """Checks, score, verdict and explanation for each given (user_id, scheme_id)."""
     return (
-        split_hot_join(pairs, S.with_user_keys(profiles), ["user_id"], "scheme_id")
-        .withColumnRenamed("scheme_id", "r_id")
-        .transform(lambda p: split_hot_join(p, prefixed(rules), ["r_id"], "user_id"))
+        _with_rules(pairs, profiles, rules)
         .withColumn("match_score", S.strict_score())
         .withColumn("is_eligible", F.col("match_score") >= ELIGIBLE_SCORE)
         .withColumn("reason", S.strict_reason())
@@ -65,12 +70,9 @@ def score_pairs(pairs: DataFrame, profiles: DataFrame, rules: DataFrame) -> Data
     """``pairs`` plus match_score only."""
     columns = pairs.columns
     return (
-        split_hot_join(pairs, S.with_user_keys(profiles), ["user_id"], "scheme_id")
-        .withColumnRenamed("scheme_id", "r_id")
-        .transform(lambda p: split_hot_join(p, prefixed(rules), ["r_id"], "user_id"))
-        .withColumn("match_score", S.strict_score())
+        _with_rules(pairs, profiles, rules)
         .withColumnRenamed("r_id", "scheme_id")
-        .select(*columns, "match_score")
+        .select(*columns, S.strict_score().alias("match_score"))
     )
 
 
@@ -134,7 +136,7 @@ def _strict_scored(profiles: DataFrame, shapes: DataFrame, minimum: float) -> Da
         .otherwise(S.income_ok() & (S.age_points() == 0) & neither)
     )
     return (
-        split_hot_join(p, keyed(shapes, theirs), ["_kind", "_key"], "user_id")
+        small_or_split_join(p, keyed(shapes, theirs), ["_kind", "_key"], "user_id")
         .where(first_hit)
         .select("user_id", "r_first_pos", S.strict_score().alias("match_score"))
         .where(F.col("match_score") >= minimum)
@@ -179,18 +181,18 @@ def eligible_and_recommended(profiles: DataFrame, rules: DataFrame, max_results:
 
 # --- lenient dialect ------------------------------------------------------------------------
 
-def _open_or_linked(rules: DataFrame, is_open: Column, text: str, users: DataFrame, user_col: str,
-                    key: str) -> DataFrame:
-    """Rule rows keyed by each user value their text mentions, or once by ``*`` when open."""
-    link = substring_link(
-        users.select(F.lower(user_col).alias(key)), rules.where(~is_open), key, text)
-    mentioned = rules.where(~is_open).join(link, text)
-    return rules.where(is_open).withColumn(key, F.lit(ANY)).unionByName(mentioned)
+def _open_or_linked(rules: DataFrame, texts: DataFrame, is_open: Column, text: str, users: DataFrame,
+                    user_col: str, key: str) -> DataFrame:
+    """Rule rows keyed by each user value their text mentions, or once by ``*`` when open.
+
+    ``texts`` is the plain rule table the texts are read from."""
+    link = substring_link(users.select(F.lower(user_col).alias(key)), texts.where(~is_open), key, text)
+    linked = rules.join(link, text, "left")
+    return linked.withColumn(key, F.when(is_open, ANY).otherwise(F.col(key))).where(F.col(key).isNotNull())
 
 
 def _lenient_profiles(profiles: DataFrame, jurisdiction: bool) -> DataFrame:
-    p = S.with_user_keys(profiles.select(*PROFILE_COLUMNS, _band(F.col("age")).alias("_band")))
-    p = by_user(p)
+    p = by_user(S.with_user_keys(profiles.select(*PROFILE_COLUMNS)))
     p = p.withColumn("_category", F.explode(F.array(F.lit(ANY), F.lower("category"))))
     if jurisdiction:
         p = p.withColumn("_occupation", F.explode(F.array(F.lit(ANY), F.lower("occupation"))))
@@ -200,36 +202,36 @@ def _lenient_profiles(profiles: DataFrame, jurisdiction: bool) -> DataFrame:
 
 def eligible_pairs(profiles: DataFrame, rules: DataFrame) -> DataFrame:
     """Hard-filter eligibility (lenient): one row per user and programme, all columns kept."""
-    r = rules if "r_id" in rules.columns else prefixed(rules)
-    r = _open_or_linked(r, F.col("r_category_open") | F.col("r_category_has_all"), "r_category_text",
+    texts = r = rules if "r_id" in rules.columns else prefixed(rules)
+    r = _open_or_linked(r, texts, F.col("r_category_open") | F.col("r_category_has_all"), "r_category_text",
                         profiles, "category", "_category")
-    r = _open_or_linked(r, F.col("r_occupation_open"), "r_occupation_text", profiles, "occupation", "_occupation")
-    r = (r.withColumn("_band", F.explode(_bands(F.col("r_min_age"), F.col("r_max_age"))))
-         .withColumn("_place", F.lower("r_state")))
-    keys = ["_category", "_occupation", "_place", "_band"]
-    pairs = split_hot_join(_lenient_profiles(profiles, True), r, keys, "user_id")
+    r = _open_or_linked(r, texts, F.col("r_occupation_open"), "r_occupation_text", profiles, "occupation",
+                        "_occupation")
+    r = r.withColumn("_place", F.lower("r_state"))
+    keys = ["_category", "_occupation", "_place"]
+    pairs = small_or_split_join(_lenient_profiles(profiles, True), r, keys, "user_id")
     return pairs.where(S.lenient_ok()).drop(*keys)
 
 
 def eligible_list(profiles: DataFrame, rules: DataFrame) -> DataFrame:
     """Eligible programmes per user with reason and score, best first."""
-    scored = eligible_pairs(profiles, rules).select(
+    users = [*PROFILE_COLUMNS, "u_category", "u_occupation", "u_state"]
+    scored = eligible_pairs(profiles, rules).select(*users, "r_pos", S.lenient_score().alias("match_score"))
+    ranked = top_ranked(scored, ["user_id"], [F.desc("match_score"), F.col("r_pos")], None)
+    # the texts join the ranked rows last, so that they are not sorted along
+    return small_or_split_join(ranked, prefixed(rules), ["r_pos"], "user_id").select(
         "user_id", F.col("r_id").alias("scheme_id"), F.col("r_name").alias("name"),
-        F.col("r_pos").alias("pos"), S.lenient_score().alias("match_score"),
-        S.lenient_reason().alias("reason"))
-    return top_ranked(scored, ["user_id"], [F.desc("match_score"), F.col("pos")], None)
+        F.col("r_pos").alias("pos"), "match_score", S.lenient_reason().alias("reason"), "rank")
 
 
 def relaxed_recommendations(profiles: DataFrame, rules: DataFrame, n: int = 5,
                             include_other_states: bool = True) -> DataFrame:
     """Programmes a user narrowly misses: age and category hold, income may exceed the cap by 30 %,
     occupation or state may differ. Names the user already qualifies for are left out."""
-    r = prefixed(rules)
     first_of_name = rules.groupBy(F.col("name").alias("r_name")).agg(F.min("pos").alias("_name_key"))
-    r = split_hot_join(r, first_of_name, ["r_name"], "r_pos")
-    slim = _open_or_linked(r, F.col("r_category_open"), "r_category_text", profiles, "category", "_category")
-    slim = slim.withColumn("_band", F.explode(_bands(F.col("r_min_age"), F.col("r_max_age"))))
-    pairs = split_hot_join(_lenient_profiles(profiles, False), slim, ["_category", "_band"], "user_id")
+    r = prefixed(rules).join(first_of_name, "r_name")
+    slim = _open_or_linked(r, prefixed(rules), F.col("r_category_open"), "r_category_text", profiles, "category", "_category")
+    pairs = small_or_split_join(_lenient_profiles(profiles, False), slim, ["_category"], "user_id")
     close = pairs.where(
         S.lenient_age_ok() & (F.col("income") <= F.col("r_max_income") * S.RELAXED_INCOME)
         & ~S.lenient_ok())
@@ -243,7 +245,7 @@ def relaxed_recommendations(profiles: DataFrame, rules: DataFrame, n: int = 5,
     order = [F.desc("_central"), F.desc("_named"), F.col("r_pos")]
     best = top_ranked(fresh, ["user_id"], order, n).select("user_id", "r_pos", "rank")
     return (
-        best.join(S.with_user_keys(profiles), "user_id").join(r, "r_pos")
+        small_or_split_join(best.join(S.with_user_keys(profiles), "user_id"), r, ["r_pos"], "user_id")
         .select("user_id", F.col("r_id").alias("scheme_id"), F.col("r_name").alias("name"),
                 F.col("r_pos").alias("pos"), S.relaxed_reason().alias("reason"), "rank")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_KEY_ROWS = 500_000
+BROADCAST_ROWS = 500_000
 
 
 def split_hot_join(left: DataFrame, right: DataFrame, keys: list[str], spread_on: str,
@@ -15,6 +16,8 @@ def split_hot_join(left: DataFrame, right: DataFrame, keys: list[str], spread_on
     Keys with more than ``hot_rows`` left rows get ceil(rows / hot_rows) salts. Left rows take a salt
     from a hash of ``spread_on`` (the same after a retry), matching right rows are repeated once per
     salt. The list of hot keys has at most rows / hot_rows entries. No join is forced to broadcast.
+    ``left`` is read once more to count, so this is for plain tables; a computed left side is better
+    left to the adaptive skew join.
     """
     if how not in ("inner", "left"):
         raise ValueError(how)
@@ -37,6 +40,21 @@ def split_hot_join(left: DataFrame, right: DataFrame, keys: list[str], spread_on
     return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
 
 
+def small_or_split_join(left: DataFrame, right: DataFrame, keys: list[str], spread_on: str,
+                        max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Inner equi join that sends ``right`` to every task only after counting at most ``max_rows``
+    rows in it, and splits hot keys otherwise. Made for narrow right rows (rule tables)."""
+    if right.limit(max_rows + 1).count() <= max_rows:
+        return left.join(F.broadcast(right), keys)
+    return split_hot_join(left, right, keys, spread_on)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores when a small source comes in fewer partitions; large scans stay put."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def _grams(text: Column, width: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(text) - width + 1),
                        lambda i: F.substring(text, i, width))

@@ -17,7 +17,7 @@ MAX_GROUP = 10_000
 
 def _times(requests: DataFrame, keys: list[str], ts: str) -> DataFrame:
     """Distinct request times per key in microseconds, with the number of requests at each."""
-    return (requests.select(*keys, F.unix_micros(ts).alias("t"))
+    return (requests.select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("t"))
             .groupBy(*keys, "t").agg(F.count(F.lit(1)).alias("n")))
 
 

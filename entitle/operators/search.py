@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from entitle.functions import scoring as S
 from entitle.functions.strings import words
 from entitle.operators import tfidf
-from entitle.operators.eligibility import score_pairs, top_ranked
-from entitle.operators.joins import split_hot_join, substring_link
+from entitle.operators.eligibility import by_user, prefixed, top_ranked
+from entitle.operators.joins import small_or_split_join, spread, substring_link
 from entitle.operators.rules import with_criteria
 from entitle.schema import EMBEDDING_DIM
 
@@ -40,11 +40,13 @@ def similarities(queries: DataFrame, items: DataFrame, threshold: float = 0.0,
                  item_id: str = "doc_id") -> DataFrame:
     """(query_id, item, similarity) for every pair with a common term at or above the threshold.
 
-    Both inputs are (id, term, weight) with unit length, so the sum of products is the cosine. The
-    sum starts before the shuffle; long postings are left to the adaptive skew join.
+    Both inputs are (id, term, weight) with unit length, so the sum of products is the cosine. Items
+    are spread by id first: a counted small set of queries then meets them in place and the sums need
+    no shuffle. A large set joins on the term, hot terms split by item.
     """
+    spread_items = by_user(items.withColumnRenamed("weight", "item_weight"), item_id)
     pairs = (
-        items.withColumnRenamed("weight", "item_weight").join(queries, "term")
+        small_or_split_join(spread_items, queries, ["term"], item_id)
         .groupBy("query_id", item_id)
         .agg(F.sum(F.col("weight") * F.col("item_weight")).alias("s"))
     )
@@ -67,27 +69,30 @@ def search(queries: DataFrame, docs: DataFrame, vocabulary: DataFrame, k: int =
 
 
 def _scheme_matches(queries: DataFrame, catalogue: DataFrame, vocabulary: DataFrame, threshold: float) -> DataFrame:
+    """(query_id, pos, similarity); the numeric position stands for the programme until the end."""
     return similarities(query_vectors(queries, vocabulary),
-                        tfidf.vectorise(catalogue, vocabulary, "id", "text"),
-                        threshold, "id").withColumnRenamed("id", "scheme_id")
+                        tfidf.vectorise(catalogue, vocabulary, "pos", "text"), threshold, "pos")
 
 
 def _combined(matches: DataFrame, profiles: DataFrame, rules: DataFrame) -> DataFrame:
-    scored = score_pairs(matches.withColumn("user_id", F.col("query_id")), profiles, rules)
+    users = S.with_user_keys(profiles).withColumnRenamed("user_id", "query_id")
+    by_pos = prefixed(rules).withColumnRenamed("r_pos", "pos")
+    scored = small_or_split_join(matches.join(users, "query_id"), by_pos, ["pos"], "query_id")
     both = (F.col("similarity") * 100 + F.col("match_score")) / 2
-    return scored.drop("user_id").withColumn("combined", F.round(both, 2))
+    return (scored.select(*matches.columns, S.strict_score().alias("match_score"))
+            .withColumn("combined", F.round(both, 3)))
 
 
-def _positions(matches: DataFrame, rules: DataFrame) -> DataFrame:
-    return matches.join(rules.select(F.col("id").alias("scheme_id"), "pos"), "scheme_id")
+def _named(ranked: DataFrame, catalogue: DataFrame) -> DataFrame:
+    return ranked.join(catalogue.select("pos", F.col("id").alias("scheme_id")), "pos")
 
 
 def search_batch(queries: DataFrame, catalogue: DataFrame, vocabulary: DataFrame, profiles: DataFrame,
                  rules: DataFrame, k: int = 5, threshold: float = LIBRARY_THRESHOLD) -> DataFrame:
     """Top-k by similarity; the combined score of the query's user is attached, order unchanged."""
-    matches = _positions(_scheme_matches(queries, catalogue, vocabulary, threshold), rules)
+    matches = _scheme_matches(queries, catalogue, vocabulary, threshold)
     best = top_ranked(matches, ["query_id"], [F.desc("similarity"), F.col("pos")], k)
-    return _combined(best, profiles, rules)
+    return _named(_combined(best, profiles, rules), catalogue)
 
 
 def search_combined(queries: DataFrame, catalogue: DataFrame, vocabulary: DataFrame, profiles: DataFrame,
@@ -98,9 +103,8 @@ def search_combined(queries: DataFrame, catalogue: DataFrame, vocabulary: DataFr
         catalogue = catalogue.where(F.col("category") == category)
     if state:
         catalogue = catalogue.where(F.col("state") == state)
-    matches = _positions(_scheme_matches(queries, catalogue, vocabulary, threshold), rules)
-    combined = _combined(matches, profiles, rules)
-    return top_ranked(combined, ["query_id"], [F.desc("combined"), F.col("pos")], k)
+    combined = _combined(_scheme_matches(queries, catalogue, vocabulary, threshold), profiles, rules)
+    return _named(top_ranked(combined, ["query_id"], [F.desc("combined"), F.col("pos")], k), catalogue)
 
 
 def _matrix(pdf: pd.DataFrame, dim: int) -> np.ndarray:
@@ -131,7 +135,9 @@ def nearest(queries: DataFrame, items: DataFrame, k: int | None, threshold: floa
     n_query, n_item = blocks(queries), blocks(items)
     q = (queries.withColumn("_q", F.pmod(F.xxhash64("query_id"), n_query).cast("int"))
          .withColumn("_i", F.explode(F.sequence(F.lit(0), n_item - 1))))
-    i = (items.withColumn("_i", F.pmod(F.xxhash64("item_id"), n_item).cast("int"))
+    # fresh column ids, so that a table may be compared with itself
+    i = (items.select(*[F.col(c).alias(c) for c in items.columns])
+         .withColumn("_i", F.pmod(F.xxhash64("item_id"), n_item).cast("int"))
          .withColumn("_q", F.explode(F.sequence(F.lit(0), n_query - 1))))
     digits = DIGITS
 
@@ -190,7 +196,7 @@ def similar_items(vectors: DataFrame, items: DataFrame, vocabulary: DataFrame, k
               .join(listed.withColumnRenamed("g", "item_id"), "item_id")
               .select(F.col("query_id").alias("g"), "similar_id", "similar_pos", "similarity"))
     offers = top_ranked(offers, ["g"], [F.desc("similarity"), F.col("similar_pos")], 2 * k + 1, "_o").drop("_o")
-    found = split_hot_join(members, offers, ["g"], "id").where(F.col("id") != F.col("similar_id"))
+    found = members.join(offers, "g").where(F.col("id") != F.col("similar_id"))
     found = found.select("id", "similar_id", "similar_pos", "similarity")
     return top_ranked(found, ["id"], [F.desc("similarity"), F.col("similar_pos")], k).drop("similar_pos")
 
@@ -207,7 +213,7 @@ def soft_fit_pairs(pairs: DataFrame, profiles: DataFrame, catalogue: DataFrame)
     """``pairs`` of (user_id, scheme_id) with the soft fit 0..1 and the fields that matched."""
     rules = with_criteria(catalogue).select(F.col("id").alias("scheme_id"), "c_age", "c_income", "c_occupation")
     users = profiles.select("user_id", "age", "income", "occupation")
-    matched = split_hot_join(split_hot_join(pairs, users, ["user_id"], "scheme_id"), rules, ["scheme_id"], "user_id")
+    matched = pairs.join(users, "user_id").join(rules, "scheme_id")
     matched = matched.withColumn("matches", S.soft_matches())
     return matched.withColumn("fit", F.round(S.soft_fit(F.col("matches")), 2)).select(*pairs.columns, "fit", "matches")
 
@@ -215,11 +221,11 @@ def soft_fit_pairs(pairs: DataFrame, profiles: DataFrame, catalogue: DataFrame)
 def two_stage_search(queries: DataFrame, catalogue: DataFrame, vocabulary: DataFrame, profiles: DataFrame | None,
                      k: int = 5, threshold: float = LIBRARY_THRESHOLD) -> DataFrame:
     """The best 2k by similarity, re-ranked by 0.7 similarity + 0.3 soft fit, cut to k."""
-    matches = _positions(_scheme_matches(queries, catalogue, vocabulary, threshold), catalogue)
+    matches = _scheme_matches(queries, catalogue, vocabulary, threshold)
     order = [F.desc("similarity"), F.col("pos")]
     if profiles is None:
-        return top_ranked(matches, ["query_id"], order, k)
-    first = top_ranked(matches, ["query_id"], order, 2 * k, "first_rank")
+        return _named(top_ranked(matches, ["query_id"], order, k), catalogue)
+    first = _named(top_ranked(matches, ["query_id"], order, 2 * k, "first_rank"), catalogue)
     fitted = soft_fit_pairs(first.withColumn("user_id", F.col("query_id")), profiles, catalogue)
     combined = F.round(F.col("similarity") * SEMANTIC_SHARE + F.col("fit") * FIT_SHARE, 4)
     return top_ranked(fitted.withColumn("combined", combined), ["query_id"],
@@ -235,7 +241,8 @@ def keyword_search(queries: DataFrame, docs: DataFrame, k: int = 10, item_id: st
     """
     terms = (queries.select("query_id", F.explode(words(F.col("query"))).alias("term"))
              .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times")))
-    postings = docs.select(item_id, F.explode(F.array_distinct(words(F.col(text)))).alias("word"))
+    texts = spread(docs.select(item_id, text), item_id)
+    postings = texts.select(item_id, F.explode(F.array_distinct(words(F.col(text)))).alias("word"))
     link = substring_link(terms, postings, "term", "word")
     holds = postings.join(link, "word").groupBy(item_id, "term").agg(F.lit(1).alias("_"))
     hits = (holds.join(terms, "term").groupBy("query_id", item_id)

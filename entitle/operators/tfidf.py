@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from entitle.functions import text as T
 from entitle.functions.strings import words
+from entitle.operators.joins import spread
 from entitle.schema import EMBEDDING_DIM
 
 # Fixed value: terms in more than this share of the documents are dropped.
@@ -24,7 +25,7 @@ MAX_DF = 0.95
 
 def word_counts(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, word, tf) over whitespace-separated lower-case words."""
-    return (docs.select(id_col, F.explode(words(F.col(text))).alias("word"))
+    return (spread(docs.select(id_col, text), id_col).select(id_col, F.explode(words(F.col(text))).alias("word"))
             .groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("tf")))
 
 
@@ -44,7 +45,7 @@ def positional_weights(queries: DataFrame, docs: DataFrame, dim: int = EMBEDDING
 
 
 def tokenised(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.select(id_col, T.tokens(F.col(text)).alias("tokens")).withColumn(
+    return spread(docs.select(id_col, text), id_col).select(id_col, T.tokens(text).alias("tokens")).withColumn(
         "bigrams", T.bigrams(F.col("tokens")))
 
 

@@ -296,10 +296,11 @@ def _(spark, d):
 # --- rule compilation ------------------------------------------------------------------------
 
 @register("p2_p4_p5_strict_rules", sql("""
-    SELECT id, min_age, max_age, max_income, array_to_string(tokens, '|') AS tokens FROM strict""", "strict"))
+    SELECT id, coalesce(min_age, -1) AS min_age, coalesce(max_age, -1) AS max_age, coalesce(max_income, -1.0) AS max_income,
+      array_to_string(tokens, '|') AS tokens FROM strict""", "strict"))
 def _(spark, d):
-    return _strict(spark, d).select("id", "min_age", "max_age", "max_income",
-                                    F.array_join("category_tokens", "|").alias("tokens"))
+    bounds = [F.coalesce(c, F.lit(-1)).alias(c) for c in ("min_age", "max_age", "max_income")]
+    return _strict(spark, d).select("id", *bounds, F.array_join("category_tokens", "|").alias("tokens"))
 
 
 @register("p1_p3_lenient_rules", sql("SELECT id, min_age, max_age, max_income FROM lenient", "lenient"))
@@ -376,13 +377,10 @@ def _(spark, d):
 
 
 @register("e8_e9_e10_assess_applications", sql("""
-    SELECT user_id, scheme_id, match_score, match_score >= 75 AS is_eligible, reason,
-      CAST(row_number() OVER (PARTITION BY user_id ORDER BY match_score DESC, pos) AS INT) AS rank
-    FROM explained""", "applications", "explained", pairs="SELECT * FROM applications"))
+    SELECT user_id, scheme_id, match_score, match_score >= 75 AS is_eligible, reason FROM explained""", "applications", "explained", pairs="SELECT * FROM applications"))
 def _(spark, d):
     assessed = E.assess_pairs(X.applications(spark, d), X.profiles(spark, d), _strict(spark, d))
-    ranked = E.top_ranked(assessed, ["user_id"], [F.desc("match_score"), F.col("pos")], None)
-    return ranked.select("user_id", "scheme_id", "match_score", "is_eligible", "reason", "rank")
+    return assessed.select("user_id", "scheme_id", "match_score", "is_eligible", "reason")
 
 
 _ALL_PAIRS = "SELECT user_id, id AS scheme_id FROM profiles, catalogue"
@@ -577,7 +575,7 @@ def _ranked_sql(order: str, k: int, threshold: float, where: str = "") -> str:
     return f"""SELECT query_id, scheme_id, similarity, match_score, combined, CAST(rank AS INT) AS rank FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {order} DESC, pos) AS rank FROM (
         SELECT s.query_id, s.scheme_id, s.similarity, s.pos, x.match_score,
-          round((s.similarity * 100 + x.match_score) / 2, 2) AS combined
+          round((s.similarity * 100 + x.match_score) / 2, 3) AS combined
         FROM scheme_sims s JOIN scored x ON x.user_id = s.query_id AND x.scheme_id = s.scheme_id
         JOIN catalogue c ON c.id = s.scheme_id WHERE s.similarity >= {threshold} {where})) WHERE rank <= {k}"""
 
@@ -758,11 +756,10 @@ def _(spark, d):
 
 
 @register("a6_storage_report", sql("""
-    WITH v AS (SELECT id, category, state, coalesce(len(embedding), 0) * 4 AS bytes FROM catalogue LEFT JOIN embeddings ON vec_id = pos)
     SELECT 'by_id' AS index_name, count(DISTINCT id) AS keys, count(DISTINCT id) AS entries, CAST(sum(bytes) AS BIGINT) AS vector_bytes FROM v
     UNION ALL SELECT 'by_category', count(DISTINCT category), count(*), CAST(sum(bytes) AS BIGINT) FROM v
-    UNION ALL SELECT 'by_state', count(DISTINCT state), count(*), CAST(sum(bytes) AS BIGINT) FROM v""", "catalogue"
-    ).replace(") \n    WITH v AS", "), v AS", 1))
+    UNION ALL SELECT 'by_state', count(DISTINCT state), count(*), CAST(sum(bytes) AS BIGINT) FROM v""", "catalogue", "v", v="""
+    SELECT id, category, state, coalesce(len(embedding), 0) * 4 AS bytes FROM catalogue LEFT JOIN embeddings ON vec_id = pos"""))
 def _(spark, d):
     return C.storage_report(_with_vectors(spark, d))
 
