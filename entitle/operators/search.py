@@ -227,7 +227,7 @@ def two_stage_search(queries: DataFrame, catalogue: DataFrame, vocabulary: DataF
         return _named(top_ranked(matches, ["query_id"], order, k), catalogue)
     first = _named(top_ranked(matches, ["query_id"], order, 2 * k, "first_rank"), catalogue)
     fitted = soft_fit_pairs(first.withColumn("user_id", F.col("query_id")), profiles, catalogue)
-    combined = F.round(F.col("similarity") * SEMANTIC_SHARE + F.col("fit") * FIT_SHARE, 4)
+    combined = F.round(F.col("similarity") * SEMANTIC_SHARE + F.col("fit") * FIT_SHARE, 5)
     return top_ranked(fitted.withColumn("combined", combined), ["query_id"],
                       [F.desc("combined"), F.col("first_rank")], k).drop("user_id")
 

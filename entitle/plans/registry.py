@@ -655,7 +655,7 @@ _FIT = """round(CASE WHEN occ_fit THEN 0.4 ELSE 0.0 END + CASE WHEN age_fit THEN
 @register("q9_two_stage_search", sql(f"""
     SELECT query_id, scheme_id, similarity, fit, combined, CAST(rank AS INT) AS rank FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY combined DESC, first_rank) AS rank FROM (
-        SELECT *, {_FIT} AS fit, round(similarity * 0.7 + {_FIT} * 0.3, 4) AS combined FROM soft)) WHERE rank <= 5""",
+        SELECT *, {_FIT} AS fit, round(similarity * 0.7 + {_FIT} * 0.3, 5) AS combined FROM soft)) WHERE rank <= 5""",
     "scheme_sims", "profiles", "catalogue", "firsts", "soft",
     firsts="""SELECT query_id AS user_id, query_id, scheme_id, similarity, first_rank FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, pos) AS first_rank
