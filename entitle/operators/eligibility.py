@@ -170,13 +170,14 @@ def eligible_and_recommended(profiles: DataFrame, rules: DataFrame, max_results:
     """Best eligible and best near-eligible programmes per user, with totals after the cut."""
     max_recommended = max(5, max_results // 2)
     shapes, members = rule_shapes(rules, max(max_results, max_recommended))
-    section = F.when(F.col("match_score") >= ELIGIBLE_SCORE, "eligible").otherwise("recommended")
-    scored = _strict_scored(profiles, shapes, RECOMMEND_SCORE).withColumn("section", section)
-    limit = F.when(F.col("section") == "eligible", max_results).otherwise(max_recommended)
-    best = _best_of(scored, members, ["user_id", "section"], max(max_results, max_recommended))
-    best = best.where(F.col("rank") <= limit)
-    total = F.count(F.lit(1)).over(W.partitionBy("user_id", "section"))
-    return best.select("user_id", "section", "rank", "scheme_id", "match_score", total.alias("section_total"))
+    fits = F.col("match_score") >= ELIGIBLE_SCORE
+    scored = _strict_scored(profiles, shapes, RECOMMEND_SCORE).withColumn("_fits", fits)
+    best = _best_of(scored, members, ["user_id", "_fits"], max(max_results, max_recommended))
+    best = best.where(F.col("rank") <= F.when(F.col("_fits"), max_results).otherwise(max_recommended))
+    total = F.count(F.lit(1)).over(W.partitionBy("user_id", "_fits"))
+    section = F.when(F.col("_fits"), "eligible").otherwise("recommended")
+    return best.select("user_id", section.alias("section"), "rank", "scheme_id", "match_score",
+                       total.alias("section_total"))
 
 
 # --- lenient dialect ------------------------------------------------------------------------
@@ -202,7 +203,7 @@ def _lenient_profiles(profiles: DataFrame, jurisdiction: bool) -> DataFrame:
 
 def eligible_pairs(profiles: DataFrame, rules: DataFrame) -> DataFrame:
     """Hard-filter eligibility (lenient): one row per user and programme, all columns kept."""
-    texts = r = rules if "r_id" in rules.columns else prefixed(rules)
+    texts = r = prefixed(rules)
     r = _open_or_linked(r, texts, F.col("r_category_open") | F.col("r_category_has_all"), "r_category_text",
                         profiles, "category", "_category")
     r = _open_or_linked(r, texts, F.col("r_occupation_open"), "r_occupation_text", profiles, "occupation",
@@ -225,9 +226,10 @@ def eligible_list(profiles: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def relaxed_recommendations(profiles: DataFrame, rules: DataFrame, n: int = 5,
-                            include_other_states: bool = True) -> DataFrame:
+                            include_other_states: bool = True, eligible: DataFrame | None = None) -> DataFrame:
     """Programmes a user narrowly misses: age and category hold, income may exceed the cap by 30 %,
-    occupation or state may differ. Names the user already qualifies for are left out."""
+    occupation or state may differ. Names the user already qualifies for are left out; ``eligible``
+    takes the result of ``eligible_pairs`` where it is at hand."""
     first_of_name = rules.groupBy(F.col("name").alias("r_name")).agg(F.min("pos").alias("_name_key"))
     r = prefixed(rules).join(first_of_name, "r_name")
     slim = _open_or_linked(r, prefixed(rules), F.col("r_category_open"), "r_category_text", profiles, "category", "_category")
@@ -240,7 +242,10 @@ def relaxed_recommendations(profiles: DataFrame, rules: DataFrame, n: int = 5,
     named = F.col("r_occupation_text").contains(S.user_occupation())
     close = close.select("user_id", "_name_key", "r_pos",
                          S.is_central().alias("_central"), named.alias("_named"))
-    taken = eligible_pairs(profiles, r).select("user_id", "_name_key").distinct()
+    if eligible is None:
+        eligible = eligible_pairs(profiles, rules)
+    taken = (eligible.select("user_id", "r_name").join(first_of_name, "r_name")
+             .select("user_id", "_name_key").distinct())
     fresh = close.join(taken, ["user_id", "_name_key"], "left_anti")
     order = [F.desc("_central"), F.desc("_named"), F.col("r_pos")]
     best = top_ranked(fresh, ["user_id"], order, n).select("user_id", "r_pos", "rank")
@@ -253,9 +258,9 @@ def relaxed_recommendations(profiles: DataFrame, rules: DataFrame, n: int = 5,
 
 def eligibility_report(profiles: DataFrame, rules: DataFrame, n: int = 5) -> DataFrame:
     """One row per user: how many programmes fit, the best one, and the near misses (n at most)."""
+    pairs = eligible_pairs(profiles, rules)
     eligible = (
-        eligible_pairs(profiles, rules)
-        .select("user_id", F.col("r_id").alias("scheme_id"), F.col("r_pos").alias("pos"),
+        pairs.select("user_id", F.col("r_id").alias("scheme_id"), F.col("r_pos").alias("pos"),
                 S.lenient_score().alias("match_score"))
         .groupBy("user_id")
         .agg(F.count(F.lit(1)).alias("eligible_count"),
@@ -263,7 +268,7 @@ def eligibility_report(profiles: DataFrame, rules: DataFrame, n: int = 5) -> Dat
              F.max("match_score").alias("best_score"))
     )
     near = (
-        relaxed_recommendations(profiles, rules, n)
+        relaxed_recommendations(profiles, rules, n, eligible=pairs)
         .groupBy("user_id")
         .agg(F.count(F.lit(1)).alias("recommended_count"),
              F.array_sort(F.collect_list(F.struct("rank", "scheme_id", "reason"))).alias("recommended"))

@@ -20,6 +20,7 @@ from entitle.operators.eligibility import by_user, prefixed, top_ranked
 from entitle.operators.joins import small_or_split_join, spread, substring_link
 from entitle.operators.rules import with_criteria
 from entitle.schema import EMBEDDING_DIM
+from entitle.session import truncate_lineage
 
 # Default thresholds and weights per entry point.
 LIBRARY_THRESHOLD = 0.3
@@ -178,11 +179,12 @@ def similar_items(vectors: DataFrame, items: DataFrame, vocabulary: DataFrame, k
 
     Items with the same vector form one group, named by its first position. Groups are compared once;
     of a group only its first k + 1 members can be anyone's neighbour. A group of copies of any
-    size costs one comparison and one join.
+    size costs one comparison and one join. The signed vectors are read several times, so they are
+    written to the checkpoint folder once.
     """
     packed = tfidf.packed(vectors, vocabulary, "id").join(items.select("id", "pos"), "id")
-    signed = packed.withColumn("sign", F.md5(F.to_json(F.struct(
-        "places", F.transform("weights", lambda w: F.round(w, 12)).alias("weights")))))
+    signed = truncate_lineage(packed.withColumn("sign", F.md5(F.to_json(F.struct(
+        "places", F.transform("weights", lambda w: F.round(w, 12)).alias("weights"))))))
     groups = signed.groupBy("sign").agg(F.min("pos").alias("g"), F.min_by("places", "pos").alias("places"),
                                         F.min_by("weights", "pos").alias("weights"))
     members = signed.select("id", "pos", "sign").join(groups.select("sign", "g"), "sign").drop("sign")
