@@ -50,9 +50,11 @@ def small_or_split_join(left: DataFrame, right: DataFrame, keys: list[str], spre
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows over all cores when a small source comes in fewer partitions; large scans stay put."""
+    """Rows over all cores when they come from fewer files than that; larger inputs stay put.
+
+    Looks at file names only, so nothing runs."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, key) if 0 < len(df.inputFiles()) < cores else df
 
 
 def _grams(text: Column, width: Column) -> Column:

@@ -20,6 +20,7 @@ from entitle.operators import reuse as U
 from entitle.operators import search as Q
 from entitle.operators import tfidf as T
 from entitle.operators import validate as V
+from entitle.operators.joins import spread
 from entitle.operators.rules import compile_rules
 from entitle.plans import fixtures as X
 from entitle.plans.oracle_views import sql
@@ -935,7 +936,7 @@ def _(spark, d):
 def _(spark, d):
     text = F.concat(F.col("text"), F.lit(" api_key="), F.md5(F.col("doc_id").cast("string")), F.lit(' Password: "'),
                     F.md5("text"), F.lit('"'), F.lit(" Bearer "), F.md5("text"), F.lit(" ABCDE1234F"))
-    redacted = X.corpus(spark, d).select("doc_id", P.redact_text(text).alias("t"))
+    redacted = spread(X.corpus(spark, d), "doc_id").select("doc_id", P.redact_text(text).alias("t"))
     return redacted.select("doc_id", F.md5("t").alias("redacted_md5"), F.length("t").alias("redacted_length"))
 
 
