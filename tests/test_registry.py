@@ -45,3 +45,11 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert entry_file.entry(spark).columns == ["user_id", "section", "rank", "scheme_id", "match_score", "section_total"]
+
+
+def test_worker_functions_travel_with_the_job():
+    from pyspark import cloudpickle
+
+    from entitle.operators import search
+    assert "entitle" in cloudpickle.list_registry_pickle_by_value()
+    assert b"argsort" in cloudpickle.dumps(search.nearest)
