@@ -103,7 +103,11 @@ def common_prefix_reaches(text: np.ndarray, order: np.ndarray, length: int) -> n
     keys, n = _keys(text), len(text)
     a, b = order[:-1], order[1:]
     alive = np.flatnonzero(np.maximum(a, b) + length <= n)
-    for at in [*range(0, length - UNITS, UNITS), max(0, length - UNITS)]:
+    if length < UNITS:
+        keys, steps = keys >> 9 * (UNITS - length), [0]
+    else:
+        steps = [*range(0, length - UNITS, UNITS), length - UNITS]
+    for at in steps:
         alive = alive[keys[a[alive] + at] == keys[b[alive] + at]]
     out = np.zeros(max(0, len(order) - 1), bool)
     out[alive] = True
