@@ -101,7 +101,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that do not stay; all columns in their order. Same cases as ``exact_groups``."""
     stays = exact_groups(docs).where("kept").select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text_key")
-    return rows_of(docs, stays).dropDuplicates(["_id", "_text_key"]).select(*docs.columns)
+    return rows_of(docs, stays, once=True)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

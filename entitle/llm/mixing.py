@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from entitle.llm.shared import NO_ID, WORD, keep, table
+from entitle.llm.shared import NO_ID, WORD, keep, packed, table
 
 #: Words of a block, blocks of an output shard.
 BLOCK_WORDS, SHARD_BLOCKS = 64, 1024
@@ -64,7 +64,7 @@ def _numbered(docs: DataFrame, block_words: int) -> tuple[DataFrame, DataFrame]:
     with their size. A source's rows are dealt to PARTS parts by a hash, parts get offsets from their
     sums, rows from the sum of those before them in the part: no task holds a source."""
     rows = keep(docs.select(
-        F.col("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("text_key"),
+        F.col("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_key"),
         word_count().alias("size"))
         .withColumn("part", F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "text_key"), F.lit(PARTS))))
     parts = rows.groupBy("source", "part").agg(F.sum("size").alias("words"))
@@ -154,23 +154,20 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFram
     used = mix.groupBy("source", "block").agg(F.count(F.lit(1)).alias("times"))
     pieces = spans(placed, block_words).alias("p").join(
         used.alias("u"), F.col("p.source").eqNullSafe(F.col("u.source")) & (F.col("p.block") == F.col("u.block")))
-    lists = (pieces.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-             .groupBy("_id", F.col("text_key").alias("_text_key"), F.col("begin").alias("_begin"))
-             .agg(F.any_value("size").alias("_size"),
-                  F.sort_array(F.collect_list(F.struct("low", "high", "times"))).alias("_pieces")))
-    rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)),
-                             "_text_key": F.xxhash64("text")}).dropDuplicates(["_id", "_text_key"])
-    both = rows.join(lists, ["_id", "_text_key"]).withColumn("_round", F.explode(F.array(F.lit(1), F.lit(2))))
-    both = both.withColumn("_pieces", F.filter("_pieces", lambda p: p["times"] >= F.col("_round")))
-    taken = F.aggregate("_pieces", F.lit(0).cast("long"), lambda n, p: n + p["high"] - p["low"])
-    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    part = F.array_join(F.flatten(F.transform("_pieces", lambda p: F.slice(
-        F.col("_words"), (p["low"] + 1).cast("int"), (p["high"] - p["low"]).cast("int")))), " ")
-    both = both.withColumn("_taken", taken).where("_taken > 0").withColumn("_words", words)
-    both = both.withColumn("text", F.when(F.col("_taken") == F.col("_size"), F.col("text")).otherwise(part))
-    if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.char_length("text").cast("long"))
-    return both.select(*docs.columns)
+    lists = (pieces.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text_key", "begin", "size",
+                           F.struct("low", "high", "times").alias("piece"))
+             .groupBy("id", "text_key", "begin")
+             .agg(F.any_value("size").alias("size"), F.sort_array(F.collect_list("piece")).alias("pieces")))
+    rows = packed(docs).dropDuplicates(["id", "text_key"])
+    both = rows.join(lists, ["id", "text_key"]).withColumn("round", F.explode(F.array(F.lit(1), F.lit(2))))
+    both = both.withColumn("pieces", F.filter("pieces", lambda p: p["times"] >= F.col("round")))
+    both = both.withColumn("taken", F.aggregate("pieces", F.lit(0).cast("long"), lambda n, p: n + p["high"] - p["low"]))
+    both = both.where("taken > 0").withColumn("words", F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0)))
+    part = F.array_join(F.flatten(F.transform("pieces", lambda p: F.slice(
+        F.col("words"), (p["low"] + 1).cast("int"), (p["high"] - p["low"]).cast("int")))), " ")
+    text = F.when(F.col("taken") == F.col("size"), F.col("row.text")).otherwise(part)
+    new = {"text": text} | ({"n_chars": F.char_length(text).cast("long")} if "n_chars" in docs.columns else {})
+    return both.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

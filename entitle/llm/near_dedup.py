@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from entitle.llm.kernels import BASES, LOWER, Rolling, mix, signed, text_slices, words
-from entitle.llm.shared import doc_id, keep, keyed, rows_of, table
+from entitle.llm.shared import doc_id, keep, keyed, rows_of, split_join, table
 
 #: Words of a shingle; links have 100 * intersection >= PERCENT * union.
 SHINGLE_WORDS, PERCENT = 5, 80
@@ -210,9 +210,9 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = split_join(both.where("v > u"), least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = (split_join(large, least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct())
         ends = keep(small)
         seen = ends.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -253,7 +253,7 @@ def near_groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: in
     draw = F.xxhash64("bucket", "node")
     pivot = (parts > 1) & (F.pmod(draw, F.ceil(F.col("size") / PIVOTS)) == 0)
     own = F.pmod(F.xxhash64("node", "bucket"), parts).cast("int")
-    members = (banded.join(filled, "bucket")
+    members = (split_join(banded, filled, ["bucket"])
                .withColumn("part", F.explode(F.when(pivot, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(own))))
                .join(wide.select("node", "n", "sketch"), "node").select("bucket", "part", "node", "n", "sketch"))
     members = keep(members)
@@ -285,8 +285,8 @@ def near_groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: in
     of_node = (nodes.select("a", "b", "node", "least.id").join(found, "node", "left")
                .withColumn("component", F.coalesce("component", "node")))
     least = of_node.groupBy("component").agg(F.min("id").alias("component_id"))
-    of_set = of_node.join(least, "component").select("a", "b", "component_id")
-    full = features.where("n > 0").select("id", "text_key", "n", "a", "b").join(of_set, ["a", "b"])
+    of_set = split_join(of_node, least, ["component"]).select("a", "b", "component_id")
+    full = split_join(features.where("n > 0").select("id", "text_key", "n", "a", "b"), of_set, ["a", "b"])
     both = full.select("id", "text_key", "n", "component_id").unionByName(
         features.where("n = 0").select("id", "text_key", "n", F.col("id").alias("component_id")))
     return both.select(doc_id(), F.col("n").alias("n_shingles"), doc_id("component_id").alias("component_id"),
@@ -296,7 +296,7 @@ def near_groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: in
 def near_dedup(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """One document of each group of ``near_groups`` stays; all columns in their order, repeated rows once."""
     stays = near_groups(docs, shingle_words, percent).where("kept").select("id", "text_key").distinct()
-    return rows_of(docs, stays).dropDuplicates(["_id", "_text_key"]).select(*docs.columns)
+    return rows_of(docs, stays, once=True)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,7 +307,7 @@ OP7_SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
   '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
-  ELSE list_transform(list_zip(w[:-2], w[2:]), x -> x[1] || ' ' || x[2]) END) AS g FROM d),
+  ELSE list_transform(list_zip(w[:-2], w[2:]), lambda x: x[1] || ' ' || x[2]) END) AS g FROM d),
 n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 l AS MATERIALIZED (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * shared >= 80 * (x.n + y.n - shared)),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from entitle.llm.kernels import BASES, BYTE, Rolling, SPACE, mix, text_slices, words
-from entitle.llm.shared import WORD, doc_id, keep, keyed, rows_of, table
+from entitle.llm.shared import WORD, doc_id, keep, keyed, rows_of, split_join, table
 
 #: A line goes if it stands in more documents of its host than both of these allow.
 LINE_DOCS, LINE_SHARE = 20, 0.05
@@ -104,7 +104,7 @@ def quality(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, l
     each = lines.select("row_id", "host", F.explode("lines").alias("l")).select("row_id", "host", "l.line", "l.words")
     common = (texts.select("host", F.explode("lines.line").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > line_docs)
               .join(hosts, "host").where(F.col("n") > F.col("host_docs") * line_share).select("host", "line"))
-    depleted = (each.join(common, ["host", "line"]).groupBy("row_id")
+    depleted = (split_join(each, common, ["host", "line"]).groupBy("row_id")
                 .agg(F.sum("words").cast("long").alias("n_common_words")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     left = F.col("n_words") - F.col("n_common_words")
@@ -117,7 +117,7 @@ def quality(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, l
 def quality_filter(docs: DataFrame, **limits) -> DataFrame:
     """``docs`` without the rejected rows; all columns in their order. Same cases as ``quality``."""
     rejected = quality(docs, **limits).where("NOT kept").select("id", "text_key").distinct()
-    return rows_of(docs, rejected, "left_anti").select(*docs.columns)
+    return rows_of(docs, rejected, "left_anti")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
-from entitle.llm import exact_dedup, mixing, near_dedup, quality_rules, substring_dedup, suffix_dedup
+from entitle.llm import (
+    exact_dedup, html_extraction, language_id, mixing, near_dedup, pieces, quality_rules, secret_scan, substring_dedup,
+    suffix_dedup,
+)
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1,
-    "op10_suffix_dedup": suffix_dedup.op10,
+    "op2_language_id": language_id.op2,
     "op3_mix_sources": mixing.op3,
+    "op4_pieces": pieces.op4,
+    "op5_secret_scan": secret_scan.op5,
     "op6_exact_dedup": exact_dedup.op6,
     "op7_near_dedup": near_dedup.op7,
     "op8_quality_rules": quality_rules.op8,
+    "op9_main_text": html_extraction.op9,
+    "op10_suffix_dedup": suffix_dedup.op10,
 }
 ORACLES = {
     "op1_substring_dedup": substring_dedup.OP1_SQL,
-    "op10_suffix_dedup": suffix_dedup.OP10_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
     "op7_near_dedup": near_dedup.OP7_SQL,
     "op8_quality_rules": quality_rules.OP8_SQL,
+    "op10_suffix_dedup": suffix_dedup.OP10_SQL,
 }
