@@ -73,7 +73,7 @@ def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
     runs = rows.select("id", F.explode(F.regexp_extract_all(F.lower("candidate"), F.lit(r"[a-z]{3,20}"), F.lit(0))).alias("word"))
     known = runs.join(words.select("word"), "word").groupBy("id").agg(F.sum(F.char_length("word")).alias("known"))
     around = F.concat_ws(" ", "before", "word")
-    ahead = F.regexp_extract("word", F.lit(r"^(.*?)[A-Za-z0-9+/_=\-]{16,}"), 1)
+    ahead = F.regexp_extract("word", r"^(.*?)[A-Za-z0-9+/_=\-]{16,}", 1)
     return (rows.join(known, "id", "left").select(
         "doc_id", "position", "candidate", "word", "before", "after", "transition",
         size.cast("double").alias("length"), share("[0-9]").alias("digit_share"), share("[A-Z]").alias("upper_share"),
