@@ -133,57 +133,106 @@ def forest_pairs(sketches: np.ndarray, sizes: np.ndarray, percent: int) -> list[
             pairs.add((min(k, int(parent[k])), max(k, int(parent[k]))))
 
 
-def crossing_pairs(sketches: np.ndarray, sizes: np.ndarray, component: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """All close pairs of a bucket whose members are in different components."""
-    pairs = []
-    for k in range(len(sizes)):
-        near = np.flatnonzero((_close(sketches, sizes, k, percent) <= MOST_BITS) & (component != component[k]))
-        pairs += [(k, int(x)) for x in near if x > k]
-    return pairs
-
-
-def _bucket_pairs(percent: int, crossing: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs of the buckets' parts; rows (bucket, part, node, n, sketch, component) come sorted by part."""
-    def pairs_of(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        bucket, part = rows.column(0).to_numpy(), rows.column(1).to_numpy()
-        node, n = rows.column(2).to_numpy(), rows.column(3).to_numpy()
-        sketch = np.frombuffer(b"".join(rows.column(4).to_pylist()), np.uint64).reshape(len(rows), -1)
-        component = rows.column(5).to_numpy()
-        new = np.ones(len(rows), bool)
-        new[1:] = (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])
-        heads = np.flatnonzero(new)
-        left, right = [], []
-        for low, high in zip(heads.tolist(), np.append(heads[1:], len(rows)).tolist()):
-            if high - low < 2:
-                continue
-            members, where = np.unique(node[low:high], return_index=True)  # a pivot is in its part twice
-            where += low
-            if len(members) < 2:
-                continue
-            found = (crossing_pairs(sketch[where], n[where], component[where], percent) if crossing
-                     else forest_pairs(sketch[where], n[where], percent))
-            if found:
-                ends = np.array(found)
-                left.append(members[ends[:, 0]])
-                right.append(members[ends[:, 1]])
-        if left:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["u", "v"])
+def _whole_parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Rows that come sorted by (bucket, part), about ``rows`` at a time, no part cut."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            whole = pa.Table.from_batches(held)
+            bucket, part = whole.column(0).to_numpy(), whole.column(1).to_numpy()
+            done = np.flatnonzero((bucket != bucket[-1]) | (part != part[-1]))
+            cut = int(done[-1]) + 1 if len(done) else 0
+            if cut:
+                yield whole.slice(0, cut)
+            held = whole.slice(cut).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _members(rows: pa.Table) -> Iterator[np.ndarray]:
+    """Row numbers of each part's distinct members (a pivot is in its own part twice), parts of two at least."""
+    bucket, part, node = (rows.column(k).to_numpy() for k in range(3))
+    new = np.ones(len(rows), bool)
+    new[1:] = (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])
+    heads = np.flatnonzero(new)
+    for low, high in zip(heads.tolist(), np.append(heads[1:], len(rows)).tolist()):
+        if high - low > 1:
+            at = np.unique(node[low:high], return_index=True)[1] + low
+            if len(at) > 1:
+                yield at
+
+
+def _sketches(rows: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(rows.column(4).to_pylist()), np.uint64).reshape(len(rows), -1)
+
+
+def _links(left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
+    ends = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right)]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in ends], ["u", "v"])
+
+
+def _bucket_pairs(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs to be confirmed, from rows (bucket, part, node, n, sketch)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_parts(batches, 20_000):
+            node, n, sketch = rows.column(2).to_numpy(), rows.column(3).to_numpy(), _sketches(rows)
+            left, right = [], []
+            for at in _members(rows):
+                ends = np.array(forest_pairs(sketch[at], n[at], percent), np.int64).reshape(-1, 2)
+                left.append(node[at][ends[:, 0]])
+                right.append(node[at][ends[:, 1]])
+            yield _links(left, right)
+    return run
 
+
+def _crossing(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of rows (bucket, part, node, n, sketch, component) those close to a member of another component."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= 20_000:
-                whole = pa.Table.from_batches(held)
-                bucket, part = whole.column(0).to_numpy(), whole.column(1).to_numpy()
-                done = np.flatnonzero((bucket != bucket[-1]) | (part != part[-1]))
-                cut = int(done[-1]) + 1 if len(done) else 0
-                yield from pairs_of(whole.slice(0, cut)) if cut else ()
-                held = whole.slice(cut).to_batches()
-        if held:
-            yield from pairs_of(pa.Table.from_batches(held))
+        for rows in _whole_parts(batches, 20_000):
+            n, sketch, component = rows.column(3).to_numpy(), _sketches(rows), rows.column(5).to_numpy()
+            involved = [np.zeros(0, np.int64)]
+            for at in _members(rows):
+                own, sizes, kinds = sketch[at], n[at], component[at]
+                if kinds.min() == kinds.max():
+                    continue
+                near = [((_close(own, sizes, k, percent) <= MOST_BITS) & (kinds != kinds[k])).any() for k in range(len(at))]
+                involved.append(at[np.array(near)])
+            yield from rows.take(pa.array(np.concatenate(involved))).to_batches()
+    return run
+
+
+def _confirm_parts(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links between components, from rows (bucket, part, node, n, sketch, component, shingles). A member's
+    set is met by all others of its part at once; components joined by a link found are one from then on."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_parts(batches, 2_000):
+            node, n, sketch, component = (rows.column(2).to_numpy(), rows.column(3).to_numpy(), _sketches(rows),
+                                          rows.column(5).to_numpy())
+            shingles = rows.column(6).combine_chunks()
+            left, right = [], []
+            for at in _members(rows):
+                own, sizes, kinds = sketch[at], n[at], component[at].copy()
+                every = np.concatenate([np.frombuffer(shingles[i].as_buffer(), np.uint64) for i in at.tolist()])
+                begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+                _, code = np.unique(every, return_inverse=True)
+                mark = np.zeros(int(code.max()) + 1, bool)
+                for k in range(len(at)):
+                    near = (_close(own, sizes, k, percent) <= MOST_BITS) & (kinds != kinds[k])
+                    if not near.any():
+                        continue
+                    mine = code[begin[k]:begin[k] + sizes[k]]
+                    mark[mine] = True
+                    both = np.add.reduceat(mark[code].astype(np.int64), begin)
+                    mark[mine] = False
+                    for x in np.flatnonzero(near & (100 * both >= percent * (sizes + sizes[k] - both))).tolist():
+                        if kinds[x] != kinds[k]:
+                            left.append(node[at[[k]]])
+                            right.append(node[at[[x]]])
+                            kinds[kinds == kinds[x]] = kinds[k]
+            yield _links(left, right)
     return run
 
 
@@ -234,8 +283,8 @@ def near_groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: in
     Equal sets are one node. MinHash samples of a node fill the bands that make candidates and, folded
     by parity, its odd sketch: the XOR of two sketches tells how many samples differ. In every bucket the
     pairs of a spanning forest by that estimate, and nearest neighbours, are confirmed on the full sets; then
-    all close pairs that still cross components are. So neither copies nor buckets become all their pairs.
-    Buckets over PART_ROWS members are cut into parts that share PIVOTS members.
+    members that are close to another component meet it with their full sets. So neither copies nor
+    buckets become all their pairs. Buckets over PART_ROWS members are cut into parts that share PIVOTS members.
 
     A null or empty text has an empty set and is linked with nothing; a null doc_id counts as the smallest
     id; rows of one id and text are one document. An empty table gives no rows; other columns are not read.
@@ -258,30 +307,28 @@ def near_groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: in
                .join(wide.select("node", "n", "sketch"), "node").select("bucket", "part", "node", "n", "sketch"))
     members = keep(members)
 
-    def candidates(rows: DataFrame, crossing: bool) -> DataFrame:
-        rows = rows.select("bucket", "part", "node", "n", "sketch", "component").repartition("bucket", "part")
-        return (rows.sortWithinPartitions("bucket", "part")
-                .mapInArrow(_bucket_pairs(percent, crossing), "u long, v long").distinct())
+    def by_part(rows: DataFrame) -> DataFrame:
+        return rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select("u").unionByName(pairs.select(F.col("v").alias("u"))).distinct()
-        rows = wanted.join(nodes.select(F.col("node").alias("u"), "least.*"), "u")
-        sets = keep(texts.join(rows, ["id", "text_key"]).select("u", "text").mapInArrow(
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        rows = wanted.distinct().join(nodes.select("node", "least.*"), "node")
+        return keep(texts.join(rows, ["id", "text_key"]).select("node", "text").mapInArrow(
             _sets(shingle_words), "node long, shingles binary").dropDuplicates(["node"]))
-        one = sets.select(F.col("node").alias("u"), F.col("shingles").alias("x"))
-        two = sets.select(F.col("node").alias("v"), F.col("shingles").alias("y"))
-        return keep(pairs.join(one, "u").join(two, "v").select("u", "v", "x", "y").mapInArrow(_confirm(percent), "u long, v long"))
 
-    tested = keep(candidates(members.withColumn("component", F.col("node")), False))
-    links = confirmed(tested)
+    pairs = keep(by_part(members).mapInArrow(_bucket_pairs(percent), "u long, v long").distinct())
+    sets = sets_of(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))))
+    one = sets.select(F.col("node").alias("u"), F.col("shingles").alias("x"))
+    two = sets.select(F.col("node").alias("v"), F.col("shingles").alias("y"))
+    links = keep(pairs.join(one, "u").join(two, "v").select("u", "v", "x", "y").mapInArrow(_confirm(percent), "u long, v long"))
     found = keep(components(links))
-    labelled = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = (labelled.groupBy("bucket", "part").agg(F.min("component").alias("p"), F.max("component").alias("q"))
-             .where("p != q").select("bucket", "part"))
-    rest = keep(candidates(labelled.join(split, ["bucket", "part"], "left_semi"), True).join(tested, ["u", "v"], "left_anti"))
-    if not rest.isEmpty():
-        links = links.unionByName(confirmed(rest))
-        found = keep(components(links))
+    # members of one bucket that are close but in different components
+    labelled = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).select(
+        "bucket", "part", "node", "n", "sketch", "component")
+    open_ = keep(by_part(labelled).mapInArrow(_crossing(percent), labelled.schema))
+    if not open_.isEmpty():
+        rows = open_.join(sets_of(open_.select("node")), "node").select(*open_.columns, "shingles")
+        more = by_part(rows).mapInArrow(_confirm_parts(percent), "u long, v long").distinct()
+        found = keep(components(links.unionByName(more)))
     of_node = (nodes.select("a", "b", "node", "least.id").join(found, "node", "left")
                .withColumn("component", F.coalesce("component", "node")))
     least = of_node.groupBy("component").agg(F.min("id").alias("component_id"))
