@@ -30,7 +30,10 @@ def with_user_keys(profiles: DataFrame) -> DataFrame:
     """Adds the normalised values the checks compare, once per profile instead of once per pair."""
     return (profiles.withColumn("u_category", F.lower(strip(c("category"))))
             .withColumn("u_occupation", F.lower(strip(c("occupation"))))
-            .withColumn("u_state", F.lower("state")))
+            .withColumn("u_state", F.lower("state"))
+            # the lenient dialect compares values as they are
+            .withColumn("l_category", F.lower("category"))
+            .withColumn("l_occupation", F.lower("occupation")))
 
 
 def user_category() -> Column:
@@ -160,7 +163,7 @@ def lenient_age_ok() -> Column:
 
 
 def category_mentioned() -> Column:
-    return c("r_category_open") | c("r_category_text").contains(user_category())
+    return c("r_category_open") | c("r_category_text").contains(c("l_category"))
 
 
 def lenient_category_ok() -> Column:
@@ -168,7 +171,7 @@ def lenient_category_ok() -> Column:
 
 
 def lenient_occupation_ok() -> Column:
-    return c("r_occupation_open") | c("r_occupation_text").contains(user_occupation())
+    return c("r_occupation_open") | c("r_occupation_text").contains(c("l_occupation"))
 
 
 def is_central() -> Column:

@@ -15,6 +15,8 @@ from entitle.operators.joins import small_or_split_join, substring_link
 from entitle.schema import ELIGIBLE_SCORE, RECOMMEND_SCORE
 
 ANY = "*"
+# An income over the cap by less than this ratio may score 25.0 after rounding; the exact test follows.
+ROUNDS_UP = 0.997
 AGE_BAND = 10
 TOP_BAND = 15
 PROFILE_COLUMNS = ["user_id", "age", "income", "category", "occupation", "state"]
@@ -55,7 +57,7 @@ def _with_rules(pairs: DataFrame, profiles: DataFrame, rules: DataFrame) -> Data
 
 
 def assess_pairs(pairs: DataFrame, profiles: DataFrame, rules: DataFrame) -> DataFrame:
-    """Checks, score, verdict and explanation for each given (user_id, scheme_id)."""
+    """Checks, score, verdict, explanation and rank among the user's pairs for each given (user_id, scheme_id)."""
     return (
         _with_rules(pairs, profiles, rules)
         .withColumn("match_score", S.strict_score())
@@ -63,6 +65,7 @@ def assess_pairs(pairs: DataFrame, profiles: DataFrame, rules: DataFrame) -> Dat
         .withColumn("reason", S.strict_reason())
         .withColumnRenamed("r_id", "scheme_id")
         .withColumnRenamed("r_pos", "pos")
+        .withColumn("rank", F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("match_score"), "pos")))
     )
 
 
@@ -81,13 +84,11 @@ def rule_shapes(rules: DataFrame, members: int) -> tuple[DataFrame, DataFrame]:
 
     Programmes with equal rules score alike for everyone, so a top-n needs no more of them.
     """
-    keyed = rules.withColumn("shape", F.to_json(F.struct(*SHAPE)))
+    keyed = rules.withColumn("shape", F.md5(F.to_json(F.struct(*SHAPE))))
     shapes = keyed.groupBy("shape").agg(F.min("pos").alias("first_pos"),
                                         *[F.first(c).alias(c) for c in SHAPE])
     listed = top_ranked(keyed.select("shape", "id", "pos"), ["shape"], [F.col("pos")], members)
-    listed = listed.join(shapes.select("shape", "first_pos"), "shape")
-    return (prefixed(shapes.drop("shape")),
-            listed.select(F.col("first_pos").alias("r_first_pos"), F.col("id").alias("scheme_id"), "pos"))
+    return prefixed(shapes), listed.select(F.col("shape").alias("r_shape"), F.col("id").alias("scheme_id"), "pos")
 
 
 def by_user(df: DataFrame, *keys: str) -> DataFrame:
@@ -99,9 +100,9 @@ def by_user(df: DataFrame, *keys: str) -> DataFrame:
 def _strict_scored(profiles: DataFrame, shapes: DataFrame, minimum: float) -> DataFrame:
     """(user_id, shape, match_score) for every pair scoring at least ``minimum`` (25 or more).
 
-    A pair reaches 25 only if its category, occupation or income passes, or its age is at most
-    five years off. One equi join finds pairs by each of the four, and keeps a pair under the
-    first that holds.
+    A pair reaches 25 only if its category, occupation or income passes, its age is at most five years
+    off, or its income is so little over the cap that 25 times their ratio rounds up to 25.0. One equi
+    join finds pairs by each of the four, and keeps a pair under the first that holds.
     """
     if minimum < RECOMMEND_SCORE:
         raise ValueError(f"minimum must be at least {RECOMMEND_SCORE}")
@@ -112,7 +113,7 @@ def _strict_scored(profiles: DataFrame, shapes: DataFrame, minimum: float) -> Da
     theirs = [F.when(F.col("r_category_open"), star).otherwise(F.col("r_category_keys")),
               F.when(F.col("r_occupation_open"), star).otherwise(F.col("r_occupation_keys")),
               _bands(F.col("r_min_age") - slack, F.col("r_max_age") + slack),
-              F.sequence(F.lit(0), _income_bucket(F.col("r_max_income")))]
+              F.sequence(F.lit(0), _income_bucket(F.col("r_max_income") / ROUNDS_UP))]
     kinds = ["category", "occupation", "age", "income"]
     if minimum > 2 * S.STRICT_WEIGHT:
         kinds = kinds[:2]
@@ -133,12 +134,12 @@ def _strict_scored(profiles: DataFrame, shapes: DataFrame, minimum: float) -> Da
         F.when(kind == 0, True)
         .when(kind == 1, ~S.category_ok())
         .when(kind == 2, (S.age_points() > 0) & neither)
-        .otherwise(S.income_ok() & (S.age_points() == 0) & neither)
+        .otherwise((S.income_points() >= S.STRICT_WEIGHT * ROUNDS_UP) & (S.age_points() == 0) & neither)
     )
     return (
         small_or_split_join(p, keyed(shapes, theirs), ["_kind", "_key"], "user_id")
         .where(first_hit)
-        .select("user_id", "r_first_pos", S.strict_score().alias("match_score"))
+        .select("user_id", "r_shape", "r_first_pos", S.strict_score().alias("match_score"))
         .where(F.col("match_score") >= minimum)
     )
 
@@ -153,7 +154,7 @@ def _income_bucket(amount: Column) -> Column:
 def _best_of(scored: DataFrame, members: DataFrame, group: list[str], n: int) -> DataFrame:
     """Top ``n`` programmes per group: best shapes first, then their members."""
     by_shape = top_ranked(scored, group, [F.desc("match_score"), F.col("r_first_pos")], n, "_r").drop("_r")
-    items = by_shape.join(members, "r_first_pos")
+    items = by_shape.join(members, "r_shape")
     return top_ranked(items, group, [F.desc("match_score"), F.col("pos")], n)
 
 
@@ -194,9 +195,9 @@ def _open_or_linked(rules: DataFrame, texts: DataFrame, is_open: Column, text: s
 
 def _lenient_profiles(profiles: DataFrame, jurisdiction: bool) -> DataFrame:
     p = by_user(S.with_user_keys(profiles.select(*PROFILE_COLUMNS)))
-    p = p.withColumn("_category", F.explode(F.array(F.lit(ANY), F.lower("category"))))
+    p = p.withColumn("_category", F.explode(F.array(F.lit(ANY), "l_category")))
     if jurisdiction:
-        p = p.withColumn("_occupation", F.explode(F.array(F.lit(ANY), F.lower("occupation"))))
+        p = p.withColumn("_occupation", F.explode(F.array(F.lit(ANY), "l_occupation")))
         p = p.withColumn("_place", F.explode(F.array_distinct(F.array(F.lit("central"), F.lower("state")))))
     return p
 
@@ -214,13 +215,13 @@ def eligible_pairs(profiles: DataFrame, rules: DataFrame) -> DataFrame:
     return pairs.where(S.lenient_ok()).drop(*keys)
 
 
-def eligible_list(profiles: DataFrame, rules: DataFrame) -> DataFrame:
-    """Eligible programmes per user with reason and score, best first."""
-    users = [*PROFILE_COLUMNS, "u_category", "u_occupation", "u_state"]
-    scored = eligible_pairs(profiles, rules).select(*users, "r_pos", S.lenient_score().alias("match_score"))
-    ranked = top_ranked(scored, ["user_id"], [F.desc("match_score"), F.col("r_pos")], None)
+def eligible_list(profiles: DataFrame, rules: DataFrame, n: int | None = None) -> DataFrame:
+    """Eligible programmes per user with reason and score, best first; all of them, or the first ``n``."""
+    users = [*PROFILE_COLUMNS, "l_category", "l_occupation", "u_state"]
+    scored = eligible_pairs(profiles, rules).select(*users, "r_id", "r_pos", S.lenient_score().alias("match_score"))
+    ranked = top_ranked(scored, ["user_id"], [F.desc("match_score"), F.col("r_pos")], n).drop("r_pos")
     # the texts join the ranked rows last, so that they are not sorted along
-    return small_or_split_join(ranked, prefixed(rules), ["r_pos"], "user_id").select(
+    return small_or_split_join(ranked, prefixed(rules), ["r_id"], "user_id").select(
         "user_id", F.col("r_id").alias("scheme_id"), F.col("r_name").alias("name"),
         F.col("r_pos").alias("pos"), "match_score", S.lenient_reason().alias("reason"), "rank")
 
@@ -233,14 +234,16 @@ def relaxed_recommendations(profiles: DataFrame, rules: DataFrame, n: int = 5,
     first_of_name = rules.groupBy(F.col("name").alias("r_name")).agg(F.min("pos").alias("_name_key"))
     r = prefixed(rules).join(first_of_name, "r_name")
     slim = _open_or_linked(r, prefixed(rules), F.col("r_category_open"), "r_category_text", profiles, "category", "_category")
-    pairs = small_or_split_join(_lenient_profiles(profiles, False), slim, ["_category"], "user_id")
+    slim = slim.withColumn("_band", F.explode(_bands(F.col("r_min_age"), F.col("r_max_age"))))
+    users = _lenient_profiles(profiles, False).withColumn("_band", _band(F.col("age")))
+    pairs = small_or_split_join(users, slim, ["_category", "_band"], "user_id")
     close = pairs.where(
         S.lenient_age_ok() & (F.col("income") <= F.col("r_max_income") * S.RELAXED_INCOME)
         & ~S.lenient_ok())
     if not include_other_states:
         close = close.where(S.jurisdiction_ok())
-    named = F.col("r_occupation_text").contains(S.user_occupation())
-    close = close.select("user_id", "_name_key", "r_pos",
+    named = F.col("r_occupation_text").contains(F.col("l_occupation"))
+    close = close.select("user_id", "_name_key", "r_id", "r_pos",
                          S.is_central().alias("_central"), named.alias("_named"))
     if eligible is None:
         eligible = eligible_pairs(profiles, rules)
@@ -248,9 +251,9 @@ def relaxed_recommendations(profiles: DataFrame, rules: DataFrame, n: int = 5,
              .select("user_id", "_name_key").distinct())
     fresh = close.join(taken, ["user_id", "_name_key"], "left_anti")
     order = [F.desc("_central"), F.desc("_named"), F.col("r_pos")]
-    best = top_ranked(fresh, ["user_id"], order, n).select("user_id", "r_pos", "rank")
+    best = top_ranked(fresh, ["user_id"], order, n).select("user_id", "r_id", "rank")
     return (
-        small_or_split_join(best.join(S.with_user_keys(profiles), "user_id"), r, ["r_pos"], "user_id")
+        small_or_split_join(best.join(S.with_user_keys(profiles), "user_id"), r, ["r_id"], "user_id")
         .select("user_id", F.col("r_id").alias("scheme_id"), F.col("r_name").alias("name"),
                 F.col("r_pos").alias("pos"), S.relaxed_reason().alias("reason"), "rank")
     )
