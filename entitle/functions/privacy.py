@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,22 +52,45 @@ def redact_map(values: Column, exact: bool = False) -> Column:
     return F.transform_values(values, lambda k, v: F.when(is_sensitive(k, exact), F.lit(REDACTED)).otherwise(v))
 
 
-def redact_json(text: Column, depth: int = 3, exact: bool = False) -> Column:
-    """A JSON object as map of texts with sensitive keys masked, nested objects to ``depth``.
-
-    Texts inside lists are shortened (not in the exact form), as are they at top level.
+def _mask_nested(text: str | None, exact: bool) -> str | None:
+    """One JSON text with sensitive values masked at any depth; other values keep their types."""
+    if text is None:
+        return None
+    try:
+        root = [json.loads(text)]
+    except RecursionError:
+        return json.dumps(REDACTED)
+    except ValueError:
+        return None
+    todo: list[tuple[dict | list, object]] = [(root, 0)]
+    while todo:
+        held, at = todo.pop()
+        value = held[at]
+        if isinstance(value, dict):
+            for key in value:
+                low = key.lower()
+                if low in SENSITIVE_KEYS if exact else any(part in low for part in SENSITIVE_PARTS):
+                    value[key] = REDACTED
+                elif isinstance(value[key], dict) or (isinstance(value[key], list) and not exact):
+                    todo.append((value, key))
+        elif isinstance(value, list) and not exact:
+            todo += [(value, k) for k in range(len(value))]
+        elif isinstance(value, str) and not exact and len(value) > LONG_TEXT:
+            held[at] = value[:LONG_TEXT] + TRUNCATED
+    try:
+        return json.dumps(root[0], ensure_ascii=False, separators=(",", ":"))
+    except RecursionError:
+        return json.dumps(REDACTED)
+
+
+def redact_json(text: Column, exact: bool = False) -> Column:
+    """JSON text with the values of sensitive keys masked, at any depth; numbers, booleans and nulls stay.
+
+    Texts in lists, and a text that is the whole value, are shortened. The exact form knows fewer keys and
+    leaves lists alone. Text that is no JSON gives null; nesting too deep to be read is masked as a whole.
     """
-    values = F.from_json(text, "map<string,string>")
-
-    def clean(key: Column, value: Column) -> Column:
-        result = F.when(is_sensitive(key, exact), F.lit(REDACTED))
-        if depth > 1:
-            result = result.when(value.startswith("{"), F.to_json(redact_json(value, depth - 1, exact)))
-        if not exact:
-            items = F.from_json(value, "array<string>")
-            result = result.when(value.startswith("["), F.to_json(F.transform(items, lambda item: (
-                F.when(item.startswith("{"), F.to_json(redact_json(item, depth - 1))).otherwise(shorten(item))
-                if depth > 1 else shorten(item)))))
-        return result.otherwise(value)
-
-    return F.transform_values(values, clean)
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: _mask_nested(t, exact))
+
+    return run(text)

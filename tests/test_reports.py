@@ -1,5 +1,7 @@
 import hashlib
+import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from entitle.functions import privacy as P
@@ -79,15 +81,37 @@ def test_redaction_order_and_masks(spark):
 def test_key_redaction(spark):
     text = '{"Company":"a","note":"b","n":{"Phone":"1","deep":{"token":"2","x":"3"}},"list":["' + "y" * 101 + '",{"email":"q"}]}'
     frame = spark.createDataFrame([(text,)], "t string")
-    loose = frame.select(P.redact_json(F.col("t")).alias("m")).first().m
-    assert loose["Company"] == "***REDACTED***" and loose["note"] == "b"
-    assert '"Phone":"***REDACTED***"' in loose["n"] and "***REDACTED***" in loose["n"].split("deep")[1] and '3' in loose["n"]
-    assert "...[truncated]" in loose["list"] and "q" not in loose["list"]
-    exact = frame.select(P.redact_json(F.col("t"), exact=True).alias("m")).first().m
-    assert exact["Company"] == "a" and "Phone" in exact["n"] and '"1"' in exact["n"] and "***REDACTED***" in exact["n"]
+    loose = json.loads(frame.select(P.redact_json(F.col("t"))).first()[0])
+    masked = "***REDACTED***"
+    assert loose == {"Company": masked, "note": "b", "n": {"Phone": masked, "deep": {"token": masked, "x": "3"}},
+                     "list": ["y" * 100 + "...[truncated]", {"email": masked}]}
+    exact = json.loads(frame.select(P.redact_json(F.col("t"), exact=True)).first()[0])
+    assert exact["Company"] == "a" and exact["n"] == {"Phone": "1", "deep": {"token": masked, "x": "3"}}
+    assert exact["list"] == ["y" * 101, {"email": "q"}]
     assert frame.select(P.shorten(F.lit("z" * 120))).first()[0] == "z" * 100 + "...[truncated]"
 
 
+@pytest.mark.parametrize("depth", [1, 2, 3, 4, 5, 6, 400])
+def test_nested_secrets_are_masked_at_any_depth(spark, depth):
+    secret = {"password": "hunter22", "k": 7, "z": True, "none": None, "f": 1.5}
+    in_maps = in_lists = secret
+    for _ in range(depth - 1):
+        in_maps, in_lists = {"a": in_maps}, [in_lists]
+    frame = spark.createDataFrame([(json.dumps(x),) for x in (in_maps, in_lists)], "t string")
+    for row, whole in zip(frame.select(P.redact_json(F.col("t"))).collect(), (in_maps, in_lists)):
+        found, given = json.loads(row[0]), whole
+        for _ in range(depth - 1):
+            found, given = (found["a"], given["a"]) if isinstance(found, dict) else (found[0], given[0])
+        assert found == {**given, "password": "***REDACTED***"}
+
+
+def test_odd_json(spark):
+    frame = spark.createDataFrame([(1, None), (2, "no json"), (3, "[" * 100_000 + "]" * 100_000), (4, '"' + "x" * 150 + '"'), (5, "7")], "i int, t string")
+    found = dict(rows(frame.select("i", P.redact_json(F.col("t")).alias("r")), "i", "r"))
+    assert found[1] is None and found[2] is None and found[4] == '"' + "x" * 100 + '...[truncated]"' and found[5] == "7"
+    assert found[3] in ('"***REDACTED***"', "[" * 100_000 + "]" * 100_000)
+
+
 def test_logs(spark):
     log = spark.createDataFrame([("a", 1000.0, True), ("a", 1000.1, False), ("b", 500.1, True), ("b", 500.0, True)],
                                 "operation string, duration_ms double, success boolean")
