@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WHITESPACE = " \t\n\r\x0b\x0c"
+# The Unicode blanks.
+WHITESPACE = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+              "\u2028\u2029\u202f\u205f\u3000")
 
 
 def strip(text: Column) -> Column:
@@ -14,7 +16,7 @@ def strip(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Lower-cased whitespace-separated words."""
-    return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(text), r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")
 
 
 def money(value: Column) -> Column:

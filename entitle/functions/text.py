@@ -2,25 +2,24 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The English stop words shipped with Spark's StopWordsRemover.
-STOP_WORDS = """
-i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her
-hers herself it its itself they them their theirs themselves what which who whom this that these
-those am is are was were be been being have has had having do does did doing a an the and but if or
-because as until while of at by for with about against between into through during before after
-above below to from up down in out on off over under again further then once here there when where
-why how all any both each few more most other some such no nor not only own same so than too very s
-t can will just don should now
-""".split()
+# Words that count as stop words beside those of Spark's StopWordsRemover.
+MORE_STOP_WORDS = ["cannot", "could", "ought", "would"]
 TOKEN = r"([\p{L}\p{N}_]{2,})"
 
 
+def stop_words() -> list[str]:
+    """Spark's English stop words that can be tokens, and four more."""
+    own = StopWordsRemover.loadDefaultStopWords("english")
+    return sorted({w for w in own if w.isalnum() and len(w) > 1} | set(MORE_STOP_WORDS))
+
+
 def tokens(column: str) -> Column:
     """Lower-cased runs of two or more word characters, stop words removed."""
-    stop = ", ".join(f"'{word}'" for word in STOP_WORDS)
+    stop = ", ".join(f"'{word}'" for word in stop_words())
     return F.expr(f"filter(regexp_extract_all(lower(`{column}`), r'{TOKEN}', 1), t -> t NOT IN ({stop}))")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 HOT_KEY_ROWS = 500_000
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 
 
 def split_hot_join(left: DataFrame, right: DataFrame, keys: list[str], spread_on: str,
@@ -40,21 +41,35 @@ def split_hot_join(left: DataFrame, right: DataFrame, keys: list[str], spread_on
     return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: texts by their length, all else by eight bytes."""
+    total = F.lit(0)
+    for name, kind in df.dtypes:
+        if kind == "string":
+            total = total + F.coalesce(F.octet_length(name), F.lit(0))
+        elif kind == "array<string>":
+            total = total + F.coalesce(F.octet_length(F.array_join(name, " ")), F.lit(0))
+        else:
+            total = total + 8
+    return total
+
+
 def small_or_split_join(left: DataFrame, right: DataFrame, keys: list[str], spread_on: str,
-                        max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Inner equi join that sends ``right`` to every task only after counting at most ``max_rows``
-    rows in it, and splits hot keys otherwise. Made for narrow right rows (rule tables)."""
-    if right.limit(max_rows + 1).count() <= max_rows:
+                        max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Inner equi join that sends ``right`` to every task only after counting at most ``max_rows`` rows and
+    ``max_bytes`` bytes in it, and splits hot keys otherwise."""
+    size = right.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(row_bytes(right)), F.lit(0)).alias("b")).first()
+    if size.n <= max_rows and size.b <= max_bytes:
         return left.join(F.broadcast(right), keys)
     return split_hot_join(left, right, keys, spread_on)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows over all cores when they come from fewer files than that; larger inputs stay put.
+    """Rows over all cores when they come in fewer partitions than that; larger inputs stay put.
 
-    Looks at file names only, so nothing runs."""
+    Looks at the number of partitions only, so nothing runs and no list reaches the driver."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if 0 < len(df.inputFiles()) < cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def _grams(text: Column, width: Column) -> Column:
@@ -72,8 +87,9 @@ def substring_link(needles: DataFrame, haystacks: DataFrame, needle: str, haysta
     n = needles.select(needle).where(F.length(needle) > 0).distinct()
     n = n.withColumn("_gram", F.substring(F.col(needle), F.lit(1), F.lit(width)))
     h = haystacks.select(haystack).where(F.length(haystack) > 0).distinct()
-    lengths = F.filter(F.array(*[F.lit(i) for i in range(1, width + 1)]),
-                       lambda w: w <= F.length(haystack))
+    # pieces of lengths that no needle has would meet nothing
+    found = [r[0] for r in n.select(F.length("_gram")).distinct().collect()]  # 1 .. width
+    lengths = F.filter(F.array(*[F.lit(i) for i in sorted(found)]).cast("array<int>"), lambda w: w <= F.length(haystack))
     grams = F.array_distinct(F.flatten(F.transform(lengths, lambda w: _grams(F.col(haystack), w))))
     h = h.withColumn("_gram", F.explode(grams))
     return n.join(h, "_gram").where(F.col(haystack).contains(F.col(needle))).select(needle, haystack)

@@ -1,7 +1,7 @@
 """Response texts for whole tables of users.
 
-``items`` rows are (user_id, rank, scheme_id, name, description, reason, documents, match_score),
-already cut to the few programmes a response shows; ``users`` rows are (user_id, language).
+``items`` rows are (user_id, rank, scheme_id, name, description, reason, documents, match_score), of which
+the first ``n`` by rank are shown, so that no user's list is unbounded; ``users`` rows are (user_id, language).
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ TEMPLATES = {
         "none": "अभी कोई कार्यक्रम इस प्रोफ़ाइल से मेल नहीं खाता। स्थानीय सहायता केंद्र पर जाँच कराएँ।",
     },
 }
+#: Programmes a response shows by default.
+MAX_ITEMS = 50
 UNASSESSED = "See the eligibility rules"
 # Language names with a translation code.
 LANGUAGE_CODES = {"hindi": "hi", "tamil": "ta", "telugu": "te", "bengali": "bn"}
@@ -52,11 +54,11 @@ def _fill(template: Column, *values: Column) -> Column:
     return filled
 
 
-def format_responses(users: DataFrame, items: DataFrame) -> DataFrame:
+def format_responses(users: DataFrame, items: DataFrame, n: int = MAX_ITEMS) -> DataFrame:
     """(user_id, language, item_count, response): one numbered text per user, or the no-match text."""
     texted = with_template(users)
     lines = (
-        items.join(texted.select("user_id", F.col("item").alias("_t")), "user_id")
+        items.where(F.col("rank") <= n).join(texted.select("user_id", F.col("item").alias("_t")), "user_id")
         .select("user_id", "rank", _fill(F.col("_t"), F.col("rank"), F.col("name"), F.col("description"),
                                          F.col("reason"), F.array_join("documents", ", ")).alias("line"))
         .groupBy("user_id")
@@ -79,11 +81,11 @@ def explain_items(catalogue: DataFrame, language: str = DEFAULT_LANGUAGE) -> Dat
         F.array_join("documents", ", ")).alias("explanation"))
 
 
-def prompts(users: DataFrame, items: DataFrame) -> DataFrame:
+def prompts(users: DataFrame, items: DataFrame, n: int = MAX_ITEMS) -> DataFrame:
     """(user_id, prompt) for an offline batch model; users without items get none."""
     line = F.format_string("%d. %s | %s | %s | %s", F.col("rank"), F.col("name"), F.col("description"),
                            F.col("reason"), F.array_join("documents", ", "))
-    lines = (items.select("user_id", "rank", line.alias("line")).groupBy("user_id")
+    lines = (items.where(F.col("rank") <= n).select("user_id", "rank", line.alias("line")).groupBy("user_id")
              .agg(F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("lines")))
     lead = F.lit("")
     for language, text in PROMPT_LANGUAGE.items():
@@ -92,10 +94,10 @@ def prompts(users: DataFrame, items: DataFrame) -> DataFrame:
     return users.join(lines, "user_id").select("user_id", prompt.alias("prompt"))
 
 
-def fingerprints(users: DataFrame, items: DataFrame) -> DataFrame:
+def fingerprints(users: DataFrame, items: DataFrame, n: int = MAX_ITEMS) -> DataFrame:
     """(user_id, fingerprint): MD5 over the sorted ``id:score`` list and the language."""
     part = F.format_string("%s:%.1f", F.col("scheme_id"), F.col("match_score"))
-    lists = items.groupBy("user_id").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    lists = items.where(F.col("rank") <= n).groupBy("user_id").agg(F.array_sort(F.collect_list(part)).alias("parts"))
     text = F.concat(F.array_join("parts", "-"), F.lit("-"), F.col("language"))
     return users.join(lists, "user_id").select("user_id", F.md5(text).alias("fingerprint"))
 
@@ -126,16 +128,22 @@ def _needs_translation() -> Column:
     return ~((F.lower("language") == "english") | (F.col("language") == "en"))
 
 
+def _text_key() -> Column:
+    """Comes first among the join keys: rows are sorted and compared by it, texts only where it agrees."""
+    return F.xxhash64("text").alias("_key")
+
+
 def translation_backlog(texts: DataFrame, known: DataFrame) -> DataFrame:
     """Distinct (text, language, code) that still lack a translation."""
-    wanted = texts.where(_needs_translation()).select("text", "language").distinct()
-    open_work = wanted.join(known.select("text", "language"), ["text", "language"], "left_anti")
-    return open_work.withColumn("code", language_code(F.col("language")))
+    wanted = texts.where(_needs_translation()).select(_text_key(), "text", "language").distinct()
+    open_work = wanted.join(known.select(_text_key(), "text", "language"), ["_key", "language", "text"], "left_anti").drop("_key")
+    return open_work.select("text", "language").withColumn("code", language_code(F.col("language")))
 
 
 def apply_translations(texts: DataFrame, known: DataFrame) -> DataFrame:
     """English passes through, known translations apply, all else keeps its text."""
-    joined = texts.join(known.select("text", "language", "translation"), ["text", "language"], "left")
+    found = known.select(_text_key(), "text", "language", "translation")
+    joined = texts.withColumn("_key", _text_key()).join(found, ["_key", "language", "text"], "left").drop("_key")
     use = _needs_translation() & F.col("translation").isNotNull()
     return (joined.withColumn("result", F.when(use, F.col("translation")).otherwise(F.col("text")))
             .withColumn("translated", use).drop("translation"))

@@ -1,7 +1,7 @@
-"""Time-to-live reuse: which requests would a cache with fixed expiry have answered?
+"""Repeated requests in a log: how often a key comes again within a time to live.
 
-An entry lives ``ttl`` seconds from its insertion, hits do not extend it. So the first request of a
-key inserts, and each later insertion is the first request at least ``ttl`` after the previous one.
+Time is cut in pieces of one time to live. The request before another lies in the same piece or, if it
+is recent enough to matter, in the piece before; so a key of any size is split over its pieces.
 """
 
 from __future__ import annotations
@@ -10,93 +10,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from entitle.session import truncate_lineage
 
-MAX_GROUP = 10_000
+def repeats(requests: DataFrame, keys: list[str], ttl_seconds: int) -> DataFrame:
+    """``requests`` (keys, ts) with ``repeated``: the key was requested less than ``ttl_seconds`` before."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    timed = requests.withColumn("_t", micros).withColumn("_piece", F.floor(F.col("_t") / (ttl_seconds * 1_000_000)))
+    last = timed.groupBy(*keys, "_piece").agg(F.max("_t").alias("_before")).withColumn("_piece", F.col("_piece") + 1)
+    inside = F.lag("_t").over(W.partitionBy(*keys, "_piece").orderBy("_t"))
+    both = timed.withColumn("_own", inside).join(last, [*keys, "_piece"], "left")
+    gap = F.col("_t") - F.coalesce("_own", "_before")
+    return both.withColumn("repeated", F.coalesce(gap < ttl_seconds * 1_000_000, F.lit(False))).drop("_t", "_piece", "_own", "_before")
 
 
-def _times(requests: DataFrame, keys: list[str], ts: str) -> DataFrame:
-    """Distinct request times per key in microseconds, with the number of requests at each."""
-    return (requests.select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("t"))
-            .groupBy(*keys, "t").agg(F.count(F.lit(1)).alias("n")))
-
-
-def _fold(times: DataFrame, keys: list[str], ttl: int) -> DataFrame:
-    """Insertion times of keys small enough for one array each."""
-    start = F.struct(F.array().cast("array<bigint>").alias("kept"), F.lit(None).cast("bigint").alias("last"))
-
-    def step(state, t):
-        fresh = state["last"].isNull() | (t - state["last"] >= ttl)
-        return F.struct(
-            F.when(fresh, F.concat(state["kept"], F.array(t))).otherwise(state["kept"]).alias("kept"),
-            F.when(fresh, t).otherwise(state["last"]).alias("last"))
-
-    kept = F.aggregate(F.array_sort(F.collect_list("t")), start, step, lambda s: s["kept"])
-    return times.groupBy(*keys).agg(kept.alias("kept")).select(*keys, F.explode("kept").alias("t"))
-
-
-def _successors(times: DataFrame, keys: list[str], ttl: int) -> DataFrame:
-    """(keys, t, nxt): the first time at least ``ttl`` after t, null when there is none.
-
-    A key's timeline is cut into slices of one ``ttl``, so a hot key spreads over many tasks; what a
-    slice cannot answer is the first time of the next slice that has one.
-    """
-    piece = F.floor(F.col("at") / ttl)
-    events = times.select(*keys, F.col("t").alias("at"), F.lit(None).cast("bigint").alias("origin"))
-    probes = times.select(*keys, (F.col("t") + ttl).alias("at"), F.col("t").alias("origin"))
-    line = events.unionByName(probes).withColumn("piece", piece)
-    event_time = F.when(F.col("origin").isNull(), F.col("at"))
-    later = (W.partitionBy(*keys, "piece").orderBy(F.desc("at"), F.asc_nulls_first("origin"))
-             .rowsBetween(W.unboundedPreceding, W.currentRow))
-    inside = line.withColumn("nxt", F.min(event_time).over(later)).where(F.col("origin").isNotNull())
-    following = (W.partitionBy(*keys).orderBy(F.desc("piece")).rowsBetween(W.unboundedPreceding, -1))
-    firsts = (line.groupBy(*keys, "piece").agg(F.min(event_time).alias("first"))
-              .withColumn("next_first", F.min("first").over(following)).drop("first"))
-    return (inside.join(firsts, [*keys, "piece"])
-            .select(*keys, F.col("origin").alias("t"), F.coalesce("nxt", "next_first").alias("nxt")))
-
-
-def _orbit(times: DataFrame, keys: list[str], ttl: int) -> DataFrame:
-    """Insertion times of hot keys: follow the successors from the first time, doubling the stride.
-
-    Every join key contains the time, so no key is hot. log2(chain length) rounds.
-    """
-    jump = truncate_lineage(_successors(times, keys, ttl).where(F.col("nxt").isNotNull()))
-    reached = times.groupBy(*keys).agg(F.min("t").alias("t"))
-    while not jump.isEmpty():
-        ahead = reached.join(jump, [*keys, "t"]).select(*keys, F.col("nxt").alias("t"))
-        reached = truncate_lineage(reached.unionByName(ahead))
-        second = jump.select(*keys, F.col("t").alias("nxt"), F.col("nxt").alias("after"))
-        jump = truncate_lineage(jump.join(second, [*keys, "nxt"]).select(*keys, "t", F.col("after").alias("nxt")))
-    return reached
-
-
-def insertions(requests: DataFrame, keys: list[str], ttl_seconds: int, ts: str = "ts",
-               max_group: int = MAX_GROUP) -> DataFrame:
-    """(keys, t): the request times, in microseconds, that insert an entry."""
-    ttl = int(ttl_seconds * 1_000_000)
-    times = _times(requests, keys, ts)
-    sizes = times.groupBy(*keys).agg((F.count(F.lit(1)) > max_group).alias("hot"))
-    hot_keys = sizes.where("hot").drop("hot")
-    if hot_keys.isEmpty():
-        return _fold(times, keys, ttl)
-    ordinary = _fold(times.join(sizes.where(~F.col("hot")).drop("hot"), keys), keys, ttl)
-    return ordinary.unionByName(_orbit(times.join(hot_keys, keys, "left_semi").drop("n"), keys, ttl))
-
-
-def reuse_by_key(requests: DataFrame, keys: list[str], ttl_seconds: int, ts: str = "ts",
-                 max_group: int = MAX_GROUP) -> DataFrame:
-    """Requests, misses, hits and hit rate per key."""
-    totals = requests.groupBy(*keys).agg(F.count(F.lit(1)).alias("requests"))
-    inserted = (insertions(requests, keys, ttl_seconds, ts, max_group)
-                .groupBy(*keys).agg(F.count(F.lit(1)).alias("misses")))
-    return (totals.join(inserted, keys)
-            .withColumn("hits", F.col("requests") - F.col("misses"))
-            .withColumn("hit_rate", F.round(F.col("hits") / F.col("requests"), 4)))
+def reuse_by_key(requests: DataFrame, keys: list[str], ttl_seconds: int) -> DataFrame:
+    """Requests, repeats and their share for each key."""
+    hit = F.col("repeated").cast("int")
+    return (repeats(requests.select(*keys, "ts"), keys, ttl_seconds).groupBy(*keys)
+            .agg(F.count(F.lit(1)).alias("requests"), F.sum(hit).alias("repeats"))
+            .withColumn("repeat_share", F.round(F.col("repeats") / F.col("requests"), 4)))
 
 
 def reuse_summary(by_key: DataFrame) -> DataFrame:
+    """One row over all keys."""
     return by_key.agg(
-        F.count(F.lit(1)).alias("keys"), F.sum("requests").alias("requests"),
-        F.sum("hits").alias("hits"), F.sum("misses").alias("misses"),
-        F.round(F.sum("hits") / F.sum("requests"), 4).alias("hit_rate"))
+        F.count(F.lit(1)).alias("keys"), F.sum("requests").alias("requests"), F.sum("repeats").alias("repeats"),
+        F.round(F.sum("repeats") / F.sum("requests"), 4).alias("repeat_share"))

@@ -58,21 +58,28 @@ def similarities(queries: DataFrame, items: DataFrame, threshold: float = 0.0,
 
 def search(queries: DataFrame, docs: DataFrame, vocabulary: DataFrame, k: int = 5,
            threshold: float = LIBRARY_THRESHOLD, item_id: str = "doc_id", text: str = "text",
-           order: str | None = None, item_filter: Column | None = None) -> DataFrame:
-    """Top-k documents per query by similarity; ties in ``order`` (the id by default)."""
+           order: str | None = None, item_filter: Column | None = None,
+           postings: DataFrame | None = None) -> DataFrame:
+    """Top-k documents per query by similarity; ties in ``order`` (the id by default).
+
+    ``postings`` of an index spare the texts; ``docs`` is then read for the filter and the order only."""
     if item_filter is not None:
         docs = docs.where(item_filter)
-    found = similarities(query_vectors(queries, vocabulary),
-                         tfidf.vectorise(docs, vocabulary, item_id, text), threshold, item_id)
+        if postings is not None:
+            postings = postings.join(docs.select(item_id), item_id, "left_semi")
+    if postings is None:
+        postings = tfidf.vectorise(docs, vocabulary, item_id, text)
+    found = similarities(query_vectors(queries, vocabulary), postings, threshold, item_id)
     if order:
         found = found.join(docs.select(item_id, order), item_id)
     return top_ranked(found, ["query_id"], [F.desc("similarity"), F.col(order or item_id)], k)
 
 
-def _scheme_matches(queries: DataFrame, catalogue: DataFrame, vocabulary: DataFrame, threshold: float) -> DataFrame:
+def _scheme_matches(queries: DataFrame, catalogue: DataFrame, index: tfidf.Index, threshold: float,
+                    filtered: bool = False) -> DataFrame:
     """(query_id, pos, similarity); the numeric position stands for the programme until the end."""
-    return similarities(query_vectors(queries, vocabulary),
-                        tfidf.vectorise(catalogue, vocabulary, "pos", "text"), threshold, "pos")
+    postings = index.postings.join(catalogue.select("pos"), "pos", "left_semi") if filtered else index.postings
+    return similarities(query_vectors(queries, index.vocabulary), postings, threshold, "pos")
 
 
 def _combined(matches: DataFrame, profiles: DataFrame, rules: DataFrame) -> DataFrame:
@@ -88,15 +95,15 @@ def _named(ranked: DataFrame, catalogue: DataFrame) -> DataFrame:
     return ranked.join(catalogue.select("pos", F.col("id").alias("scheme_id")), "pos")
 
 
-def search_batch(queries: DataFrame, catalogue: DataFrame, vocabulary: DataFrame, profiles: DataFrame,
+def search_batch(queries: DataFrame, catalogue: DataFrame, index: tfidf.Index, profiles: DataFrame,
                  rules: DataFrame, k: int = 5, threshold: float = LIBRARY_THRESHOLD) -> DataFrame:
     """Top-k by similarity; the combined score of the query's user is attached, order unchanged."""
-    matches = _scheme_matches(queries, catalogue, vocabulary, threshold)
+    matches = _scheme_matches(queries, catalogue, index, threshold)
     best = top_ranked(matches, ["query_id"], [F.desc("similarity"), F.col("pos")], k)
     return _named(_combined(best, profiles, rules), catalogue)
 
 
-def search_combined(queries: DataFrame, catalogue: DataFrame, vocabulary: DataFrame, profiles: DataFrame,
+def search_combined(queries: DataFrame, catalogue: DataFrame, index: tfidf.Index, profiles: DataFrame,
                     rules: DataFrame, k: int = 5, threshold: float = API_THRESHOLD,
                     category: str | None = None, state: str | None = None) -> DataFrame:
     """Everything at or above the threshold is combined with the user's match score, then cut to k."""
@@ -104,7 +111,8 @@ def search_combined(queries: DataFrame, catalogue: DataFrame, vocabulary: DataFr
         catalogue = catalogue.where(F.col("category") == category)
     if state:
         catalogue = catalogue.where(F.col("state") == state)
-    combined = _combined(_scheme_matches(queries, catalogue, vocabulary, threshold), profiles, rules)
+    matches = _scheme_matches(queries, catalogue, index, threshold, bool(category or state))
+    combined = _combined(matches, profiles, rules)
     return _named(top_ranked(combined, ["query_id"], [F.desc("combined"), F.col("pos")], k), catalogue)
 
 
@@ -120,6 +128,18 @@ def _matrix(pdf: pd.DataFrame, dim: int) -> np.ndarray:
     return out / np.where(norms == 0, 1.0, norms)
 
 
+def _cosines(left: pd.DataFrame, right: pd.DataFrame, dim: int) -> np.ndarray:
+    """Cosines of all rows of two blocks; vectors of different widths have similarity 0."""
+    if "vector" not in left.columns:
+        return _matrix(left, dim) @ _matrix(right, dim).T
+    out = np.zeros((len(left), len(right)))
+    width, other = left["vector"].map(len).to_numpy(), right["vector"].map(len).to_numpy()
+    for n in set(width) & set(other):
+        i, j = np.flatnonzero(width == n), np.flatnonzero(other == n)
+        out[np.ix_(i, j)] = _matrix(left.iloc[i], dim) @ _matrix(right.iloc[j], dim).T
+    return out
+
+
 def nearest(queries: DataFrame, items: DataFrame, k: int | None, threshold: float,
             dim: int = EMBEDDING_DIM, exclude_same: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, item_id, similarity, rank): exact best k items per query at or above the threshold.
@@ -146,7 +166,7 @@ def nearest(queries: DataFrame, items: DataFrame, k: int | None, threshold: floa
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": [], "item_id": [], "similarity": []})
         right = right.sort_values("item_id", kind="stable")
-        sims = np.round(_matrix(left, dim) @ _matrix(right, dim).T, digits)
+        sims = np.round(_cosines(left, right, dim), digits)
         query_ids, item_ids = left["query_id"].to_numpy(), right["item_id"].to_numpy()
         if exclude_same:
             sims[query_ids[:, None] == item_ids[None, :]] = -2.0
@@ -220,10 +240,10 @@ def soft_fit_pairs(pairs: DataFrame, profiles: DataFrame, catalogue: DataFrame)
     return matched.withColumn("fit", F.round(S.soft_fit(F.col("matches")), 2)).select(*pairs.columns, "fit", "matches")
 
 
-def two_stage_search(queries: DataFrame, catalogue: DataFrame, vocabulary: DataFrame, profiles: DataFrame | None,
+def two_stage_search(queries: DataFrame, catalogue: DataFrame, index: tfidf.Index, profiles: DataFrame | None,
                      k: int = 5, threshold: float = LIBRARY_THRESHOLD) -> DataFrame:
     """The best 2k by similarity, re-ranked by 0.7 similarity + 0.3 soft fit, cut to k."""
-    matches = _scheme_matches(queries, catalogue, vocabulary, threshold)
+    matches = _scheme_matches(queries, catalogue, index, threshold)
     order = [F.desc("similarity"), F.col("pos")]
     if profiles is None:
         return _named(top_ranked(matches, ["query_id"], order, k), catalogue)
@@ -272,7 +292,8 @@ def mentions(messages: DataFrame, items: DataFrame) -> DataFrame:
     starts = items.select(F.lower(F.substring("name", 1, MENTION_LENGTH)).alias("piece"), "pos")
     starts = starts.groupBy("piece").agg(F.min("pos").alias("pos"))
     text = F.lower("text")
-    lengths = F.filter(F.array(*[F.lit(n) for n in range(1, MENTION_LENGTH + 1)]), lambda n: n <= F.length(text))
+    found = [r[0] for r in starts.select(F.length("piece")).distinct().collect() if r[0]]  # 1 .. MENTION_LENGTH
+    lengths = F.filter(F.array(*[F.lit(n) for n in sorted(found)]).cast("array<int>"), lambda n: n <= F.length(text))
     pieces = F.flatten(F.transform(lengths, lambda n: F.transform(
         F.sequence(F.lit(1), F.length(text) - n + 1), lambda at: F.substring(text, at, n))))
     found = (

@@ -6,11 +6,9 @@ most, which bounds every vector and makes it safe to broadcast.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,6 +16,7 @@ from entitle.functions import text as T
 from entitle.functions.strings import words
 from entitle.operators.joins import spread
 from entitle.schema import EMBEDDING_DIM
+from entitle.session import truncate_lineage
 
 # Fixed value: terms in more than this share of the documents are dropped.
 MAX_DF = 0.95
@@ -58,11 +57,12 @@ def fit_vocabulary(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                    dim: int = EMBEDDING_DIM, max_df: float = MAX_DF) -> DataFrame:
     """(term, tf, df, idf): the ``dim`` most frequent terms that are not in nearly every document."""
     n = docs.agg(F.count(F.lit(1))).scalar()
-    stats = (
-        _exploded(docs, id_col, text)
-        .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
-        .groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
-    )
+    counts = _exploded(docs, id_col, text).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return _vocabulary(counts, n, dim, max_df)
+
+
+def _vocabulary(counts: DataFrame, n: Column, dim: int, max_df: float) -> DataFrame:
+    stats = counts.groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
     idf = F.ln((1 + n) / (1 + F.col("df"))) + 1
     return (stats.where(F.col("df") <= max_df * n)
             .orderBy(F.desc("tf"), "term").limit(dim)
@@ -71,9 +71,15 @@ def fit_vocabulary(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 def vectorise(docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, term, weight): tf x idf, scaled to length 1. Terms outside the vocabulary go first."""
-    kept = _exploded(docs, id_col, text).join(F.broadcast(vocabulary.select("term", "idf")), "term")
-    raw = (kept.groupBy(id_col, "term", "idf").agg(F.count(F.lit(1)).alias("tf"))
-           .select(id_col, "term", (F.col("tf") * F.col("idf")).alias("raw")))
+    known = vocabulary.select("term", "idf")
+    counts = (_exploded(docs, id_col, text).join(F.broadcast(known.select("term")), "term")
+              .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
+    return _unit_weights(counts, known, id_col)
+
+
+def _unit_weights(counts: DataFrame, vocabulary: DataFrame, id_col: str) -> DataFrame:
+    known = vocabulary.select("term", "idf")
+    raw = counts.join(F.broadcast(known), "term").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("raw"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy(id_col)))
     return raw.select(id_col, "term", (F.col("raw") / norm).alias("weight"))
 
@@ -115,37 +121,29 @@ def backfill(existing: DataFrame, catalogue: DataFrame, vocabulary: DataFrame,
             .unionByName(added.withColumn("added", F.lit(True))))
 
 
-def hashing_model(dim: int) -> Callable[[list[str]], np.ndarray]:
-    """Offline stand-in for an embedding model: hashed word counts, length 1."""
-    import xxhash
-
-    def embed(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dim), dtype=np.float32)
-        for row, text in enumerate(texts):
-            for word in text.lower().split():
-                out[row, xxhash.xxh64_intdigest(word) % dim] += 1.0
-        norms = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.where(norms == 0, 1.0, norms)
-
-    return embed
-
-
-def embed_with_model(text: Column, dim: int = EMBEDDING_DIM, batch: int = 64,
-                     model: Callable[[int], Callable[[list[str]], np.ndarray]] = hashing_model) -> Column:
-    """Vector per text from a model loaded once per task; a failing batch yields zero vectors."""
-
-    @F.pandas_udf("array<float>")
-    def run(chunks: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        embed = model(dim)
-        for chunk in chunks:
-            texts = chunk.fillna("").tolist()
-            out: list[list[float]] = []
-            for start in range(0, len(texts), batch):
-                part = texts[start:start + batch]
-                try:
-                    out.extend(np.asarray(embed(part), dtype=np.float32).tolist())
-                except Exception:
-                    out.extend([[0.0] * dim] * len(part))
-            yield pd.Series(out)
-
-    return run(text)
+class Index(NamedTuple):
+    """What a search needs of a corpus: its vocabulary (term, tf, df, idf) and postings (id, term, weight)."""
+
+    vocabulary: DataFrame
+    postings: DataFrame
+
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text", dim: int = EMBEDDING_DIM,
+                max_df: float = MAX_DF) -> Index:
+    """Vocabulary and unit vectors of ``docs``, whose texts are read and cut into terms once.
+
+    The counts of (document, term) go to the checkpoint folder; both tables come from them."""
+    n = docs.agg(F.count(F.lit(1))).scalar()
+    counts = truncate_lineage(_exploded(docs, id_col, text).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
+    vocabulary = _vocabulary(counts, n, dim, max_df)
+    return Index(vocabulary, _unit_weights(counts, vocabulary, id_col))
+
+
+def write_index(index: Index, path: str) -> None:
+    """The index as two Parquet tables, to be read by any number of searches."""
+    index.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
+    index.postings.write.mode("overwrite").parquet(f"{path}/postings")
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    return Index(spark.read.parquet(f"{path}/vocabulary"), spark.read.parquet(f"{path}/postings"))

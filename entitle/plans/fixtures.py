@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Words of a supplier's search text.
+QUERY_WORDS = 6
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -43,7 +48,7 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
                  .when(k % 3 == 1, " Identity card ,, Marksheet,Identity card")
                  .otherwise("Ration card,   "))
     return (
-        table(spark, sf_dir, "part").withColumn("pos", F.col("p_partkey").cast("int")).select(
+        table(spark, sf_dir, "part").withColumn("pos", F.col("p_partkey")).select(
             "pos",
             F.concat(F.lit("s-"), k.cast("string")).alias("id"),
             F.concat_ws(" ", "p_name", "p_brand").alias("name"),
@@ -69,13 +74,19 @@ def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scheme_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One search text per supplier: the parts it delivers most extremely named."""
+    """One search text per supplier: how often it delivers what, the six commonest words and kinds first.
+
+    All of a supplier's deliveries count. Words are few (those of part names and types), so a supplier has a
+    short list of counts, from which the text takes the most telling ones."""
     items, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
-    return (
-        items.join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .groupBy(F.col("l_suppkey").alias("query_id"))
-        .agg(F.concat_ws(" ", F.min("p_name"), F.max("p_type")).alias("query"))
-    )
+    words = F.explode(F.concat(F.split("p_name", " "), F.array(F.lower("p_type"), F.lower("p_brand"))))
+    counts = (items.join(part, F.col("l_partkey") == F.col("p_partkey"))
+              .select(F.col("l_suppkey").alias("query_id"), words.alias("word"))
+              .groupBy("query_id", "word").agg(F.count(F.lit(1)).alias("n")))
+    ranked = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("n"), "word"))
+    best = counts.withColumn("r", ranked).where(F.col("r") <= QUERY_WORDS)
+    return best.groupBy("query_id").agg(F.array_join(
+        F.array_sort(F.collect_list(F.struct("r", "word")))["word"], " ").alias("query"))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

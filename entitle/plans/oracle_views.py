@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from entitle.functions.text import STOP_WORDS
-
-_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+# The English stop words of two letters and more.
+_STOP = ", ".join(f"'{w}'" for w in """
+me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its
+itself they them their theirs themselves what which who whom this that these those am is are was were be been being
+have has had having do does did doing an the and but if or because as until while of at by for with about against
+between into through during before after above below to from up down in out on off over under again further then once
+here there when where why how all any both each few more most other some such no nor not only own same so than too very
+can will just don should now cannot could ought would
+""".split())
 
 
 def _vectors(prefix: str, docs: str, key: str, text: str) -> dict[str, tuple[list[str], str]]:
@@ -68,14 +74,17 @@ VIEWS: dict[str, tuple[list[str], str]] = {
             WHEN 1 THEN ' Identity card ,, Marksheet,Identity card' ELSE 'Ration card,   ' END, ',') AS documents,
           CASE WHEN k % 3 = 0 THEN 'Central' ELSE concat('NATION_', CAST(k % 25 AS VARCHAR)) END AS state,
           lower(p_type) AS category, p_size
-        FROM (SELECT *, CAST(p_partkey AS INT) AS k FROM part)"""),
+        FROM (SELECT *, p_partkey AS k FROM part)"""),
     "schemes": (["catalogue"], "SELECT *, name || ' ' || description || ' ' || keywords AS text FROM catalogue"),
     "applications": ([], """
         SELECT DISTINCT o_custkey AS user_id, concat('s-', CAST(l_partkey AS VARCHAR)) AS scheme_id
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""),
     "queries": ([], """
-        SELECT l_suppkey AS query_id, min(p_name) || ' ' || max(p_type) AS query
-        FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey"""),
+        SELECT query_id, string_agg(word, ' ' ORDER BY r) AS query FROM (
+          SELECT query_id, word, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, word) AS r FROM (
+            SELECT l_suppkey AS query_id, unnest(list_concat(string_split(p_name, ' '), [lower(p_type), lower(p_brand)])) AS word
+            FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY query_id, word)
+        WHERE r <= 6 GROUP BY query_id"""),
     "passages": ([], "SELECT item_id AS query_id, text AS query FROM benchmark"),
     "synonyms": ([], """
         SELECT * FROM (VALUES ('student', 'student'), ('student', 'pupil'), ('student', 'learner'),

@@ -24,7 +24,7 @@ from entitle.operators.joins import spread
 from entitle.operators.rules import compile_rules
 from entitle.plans import fixtures as X
 from entitle.plans.oracle_views import sql
-from entitle.sources.catalogue_io import as_json
+from entitle.sources.catalogue_io import as_json, parsed, verify_written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -68,6 +68,36 @@ def _(spark, d):
     return as_json(X.catalogue(spark, d).select("id", "name", "state"), "id")
 
 
+def _catalogue_texts(spark, d):
+    """Catalogue documents as JSON texts, by size and block of parts; every 13th part lacks its papers."""
+    c = X.catalogue(spark, d)
+    papers = F.when(F.col("pos") % 13 == 0, F.array(F.lit(" "))).otherwise(F.col("documents"))
+    part = X.table(spark, d, "part").select(F.col("p_partkey").alias("pos"), "p_size")
+    scheme = F.struct("id", "name", "description", "eligibility", papers.alias("documents"), "state", "category", "keywords")
+    block = F.floor(F.col("pos") / 1000)  # so many programmes a document at most
+    listed = F.array_sort(F.collect_list(F.struct("pos", scheme.alias("s"))))["s"]
+    return (c.join(part, "pos").groupBy("p_size", block.alias("block")).agg(listed.alias("schemes"))
+            .select(F.format_string("part-%05d-%012d", "p_size", "block").alias("file"), F.to_json(F.struct("schemes")).alias("json")))
+
+
+_LOADED = """
+    SELECT id, row_number() OVER (ORDER BY p_size, pos) - 1 AS pos, pos % 13 <> 0 AS valid FROM catalogue"""
+
+
+@register("s1_parse_catalogue", sql(_LOADED, "catalogue"))
+def _(spark, d):
+    checked = V.validate_catalogue(parsed(_catalogue_texts(spark, d)), TEST_STATES, [*TEST_CATEGORIES, "large"])
+    return checked.select("id", "pos", "valid")
+
+
+@register("s6_load_report", sql("""
+    SELECT count(*) AS source_rows, count(*) FILTER (valid) AS written_rows, count(*) = count(*) FILTER (valid) AS matches
+    FROM loaded""", "catalogue", "loaded", loaded=_LOADED))
+def _(spark, d):
+    rows = parsed(_catalogue_texts(spark, d))
+    return verify_written(V.validate_catalogue(rows, TEST_STATES, [*TEST_CATEGORIES, "large"]).where("valid"), rows)
+
+
 # --- validation ------------------------------------------------------------------------------
 
 def _bad_profiles(spark, d):
@@ -161,15 +191,15 @@ def _(spark, d):
 
 
 @register("v5_validate_format_requests", sql("""
-    SELECT c_custkey AS user_id, count(o_orderkey) > 0 AS valid FROM customer LEFT JOIN orders ON o_custkey = c_custkey
-    GROUP BY c_custkey"""))
+    SELECT c_custkey AS user_id, count(o_orderkey) AS n_items, count(o_orderkey) > 0 AS valid
+    FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey"""))
 def _(spark, d):
-    # the orders of a customer stand for the items of one request
+    # the orders of a customer are the items of one request
     orders = X.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("user_id")).agg(
-        F.max("o_orderkey").alias("last"))
+        F.collect_list("o_orderkey").alias("items"))
     requests = X.profiles(spark, d).select("user_id").join(orders, "user_id", "left").select(
-        "user_id", F.array_compact(F.array("last")).alias("items"), F.lit("english").alias("language"))
-    return V.validate_format_requests(requests).select("user_id", "valid")
+        "user_id", F.coalesce("items", F.array().cast("array<bigint>")).alias("items"), F.lit("english").alias("language"))
+    return V.validate_format_requests(requests).select("user_id", F.size("items").cast("bigint").alias("n_items"), "valid")
 
 
 @register("v6_validate_browse_requests", sql("""
@@ -235,10 +265,10 @@ def _(spark, d):
     LEFT JOIN (SELECT id, upper(name) AS name FROM catalogue WHERE p_size > 25) later ON later.id = r.id""", "catalogue"))
 def _(spark, d):
     catalogue = X.catalogue(spark, d)
-    big = X.table(spark, d, "part").where("p_size > 25").select(F.col("p_partkey").cast("int").alias("pos"))
-    revised = catalogue.join(big, "pos", "left_semi").select(
-        "id", F.upper("name").alias("name"), (F.col("pos") + 1_000_000_000).alias("pos"))
-    loads = catalogue.select("id", "name", "pos").unionByName(revised)
+    big = X.table(spark, d, "part").where("p_size > 25").select(F.col("p_partkey").alias("pos"))
+    # a second load follows the first: its positions come after all others
+    revised = catalogue.join(big, "pos", "left_semi").select("id", F.upper("name").alias("name"), (2 * F.col("pos") + 1).alias("pos"))
+    loads = catalogue.select("id", "name", (2 * F.col("pos")).alias("pos")).unionByName(revised)
     ids = X.table(spark, d, "supplier").select(F.concat(F.lit("s-"), (F.col("s_suppkey") * 30).cast("string")).alias("id"))
     return C.lookup(loads, ids).select("id", "name")
 
@@ -294,6 +324,21 @@ def _(spark, d):
     return E.jurisdiction_counts(X.profiles(spark, d), X.catalogue(spark, d))
 
 
+@register("f6_browse_requests", sql("""
+    SELECT request_id, id, place, total_available, off + lim < total_available AS has_more FROM (
+      SELECT r.request_id, r.lim, r.off, c.id, row_number() OVER w AS place, count(*) OVER (PARTITION BY r.request_id) AS total_available
+      FROM asked r JOIN catalogue c ON (r.category IS NULL OR c.category = r.category) AND (r.state IS NULL OR c.state = r.state)
+      WINDOW w AS (PARTITION BY r.request_id ORDER BY c.pos)) WHERE place > off AND place <= off + lim""", "catalogue", "asked", asked="""
+    SELECT s_suppkey AS request_id, s_suppkey % 50 + 1 AS lim, s_suppkey * 7 % 40 AS off,
+      CASE WHEN s_suppkey % 2 = 0 THEN 'small' END AS category, CASE WHEN s_suppkey % 3 = 0 THEN 'Central' END AS state FROM supplier"""))
+def _(spark, d):
+    k = F.col("s_suppkey")
+    requests = X.table(spark, d, "supplier").select(
+        k.alias("request_id"), (k % 50 + 1).alias("limit"), (k * 7 % 40).alias("offset"),
+        F.when(k % 2 == 0, "small").alias("category"), F.when(k % 3 == 0, "Central").alias("state"))
+    return C.browse_requests(X.catalogue(spark, d), requests)
+
+
 # --- rule compilation ------------------------------------------------------------------------
 
 @register("p2_p4_p5_strict_rules", sql("""
@@ -378,10 +423,11 @@ def _(spark, d):
 
 
 @register("e8_e9_e10_assess_applications", sql("""
-    SELECT user_id, scheme_id, match_score, match_score >= 75 AS is_eligible, reason FROM explained""", "applications", "explained", pairs="SELECT * FROM applications"))
+    SELECT user_id, scheme_id, match_score, match_score >= 75 AS is_eligible, reason,
+      CAST(row_number() OVER (PARTITION BY user_id ORDER BY match_score DESC, pos) AS INT) AS rank FROM explained""", "applications", "explained", pairs="SELECT * FROM applications"))
 def _(spark, d):
     assessed = E.assess_pairs(X.applications(spark, d), X.profiles(spark, d), _strict(spark, d))
-    return assessed.select("user_id", "scheme_id", "match_score", "is_eligible", "reason")
+    return assessed.select("user_id", "scheme_id", "match_score", "is_eligible", "reason", "rank")
 
 
 _ALL_PAIRS = "SELECT user_id, id AS scheme_id FROM profiles, catalogue"
@@ -416,18 +462,18 @@ def _(spark, d):
 
 @register("t2_word_counts", """
     SELECT doc_id, word, count(*) AS tf FROM (
-      SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS word FROM documents)
+      SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[\\s\\p{Z}\\x0b\\x1c-\\x1f\\x{85}]+')) AS word FROM documents)
     WHERE word <> '' GROUP BY doc_id, word""")
 def _(spark, d):
     return T.word_counts(X.corpus(spark, d))
 
 
 @register("t3_positional_weights", """
-    WITH words AS (SELECT item_id AS query_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '') AS ws
+    WITH words AS (SELECT item_id AS query_id, list_filter(regexp_split_to_array(lower(text), '[\\s\\p{Z}\\x0b\\x1c-\\x1f\\x{85}]+'), lambda w: w <> '') AS ws
                    FROM benchmark),
       placed AS (SELECT query_id, unnest(ws) AS word, unnest(range(len(ws))) AS position FROM words),
       totals AS (SELECT word, count(*) AS tf FROM (
-        SELECT unnest(regexp_split_to_array(lower(text), '\\s+')) AS word FROM documents) GROUP BY word)
+        SELECT unnest(regexp_split_to_array(lower(text), '[\\s\\p{Z}\\x0b\\x1c-\\x1f\\x{85}]+')) AS word FROM documents) GROUP BY word)
     SELECT query_id, CAST(position AS INT) AS position,
       round(coalesce(least(1.0, tf / (SELECT count(*) FROM documents)), 0.0), 6) AS weight
     FROM placed LEFT JOIN totals USING (word) WHERE position < 384""")
@@ -453,8 +499,7 @@ def _(spark, d):
 
 @register("t6_tfidf_vectors", sql("SELECT k AS doc_id, term, round(w, 5) AS weight FROM d_vec", "d_vec"))
 def _(spark, d):
-    docs = X.corpus(spark, d)
-    return T.vectorise(docs, T.fit_vocabulary(docs)).withColumn("weight", F.round("weight", 5))
+    return T.build_index(X.corpus(spark, d)).postings.withColumn("weight", F.round("weight", 5))
 
 
 _DENSE = """
@@ -499,11 +544,6 @@ def _(spark, d):
         F.element_at(padded, -1).alias("padded_last"))
 
 
-@register("t10_model_embedding")
-def _(spark, d):
-    return X.corpus(spark, d).select("doc_id", T.embed_with_model(F.col("text")).alias("vector"))
-
-
 # --- search ----------------------------------------------------------------------------------
 
 def _centroid_sql(value: str) -> str:
@@ -550,9 +590,8 @@ def _(spark, d):
 
 @register("q3_similarity_matrix", sql("SELECT * FROM doc_sims", "doc_sims"))
 def _(spark, d):
-    docs = X.corpus(spark, d)
-    vocabulary = T.fit_vocabulary(docs)
-    return Q.similarities(Q.query_vectors(X.text_queries(spark, d), vocabulary), T.vectorise(docs, vocabulary))
+    index = T.build_index(X.corpus(spark, d))
+    return Q.similarities(Q.query_vectors(X.text_queries(spark, d), index.vocabulary), index.postings)
 
 
 @register("q3_passages_in_corpus_top_k", sql("""
@@ -561,12 +600,13 @@ def _(spark, d):
       FROM doc_sims WHERE similarity >= 0.3) WHERE rank <= 5""", "doc_sims"))
 def _(spark, d):
     docs = X.corpus(spark, d)
-    return Q.search(X.text_queries(spark, d), docs, T.fit_vocabulary(docs))
+    index = T.build_index(docs)
+    return Q.search(X.text_queries(spark, d), docs, index.vocabulary, postings=index.postings)
 
 
 def _search_inputs(spark, d):
     schemes = _schemes(spark, d)
-    return (X.scheme_queries(spark, d), schemes, T.fit_vocabulary(schemes, "id"), X.profiles(spark, d))
+    return (X.scheme_queries(spark, d), schemes, T.build_index(schemes, "pos"), X.profiles(spark, d))
 
 
 _SIM_PAIRS = "SELECT query_id AS user_id, scheme_id FROM scheme_sims WHERE similarity >= {t}"
@@ -615,8 +655,8 @@ _SIMILAR = """
 
 def _similar(spark, d):
     schemes = _schemes(spark, d)
-    vocabulary = T.fit_vocabulary(schemes, "id")
-    return schemes, Q.similar_items(T.vectorise(schemes, vocabulary, "id"), schemes, vocabulary)
+    index = T.build_index(schemes, "id")
+    return schemes, Q.similar_items(index.postings, schemes, index.vocabulary)
 
 
 @register("q7_similar_items", sql(_SIMILAR, "s_vec", "catalogue"))
@@ -681,7 +721,7 @@ def _(spark, d):
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY matches DESC, doc_id) AS rank FROM (
         SELECT query_id, doc_id, CAST(sum(times) AS BIGINT) AS matches FROM (
             SELECT query_id, term, count(*) AS times FROM (
-              SELECT item_id AS query_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS term FROM benchmark)
+              SELECT item_id AS query_id, unnest(regexp_split_to_array(lower(text), '[\\s\\p{Z}\\x0b\\x1c-\\x1f\\x{85}]+')) AS term FROM benchmark)
             WHERE term <> '' GROUP BY query_id, term) q
           JOIN (SELECT doc_id, lower(text) AS body FROM documents) t ON contains(t.body, q.term)
         GROUP BY query_id, doc_id)) WHERE rank <= 10""")
@@ -752,31 +792,23 @@ def _(spark, d):
     "schemes", "s_vec"))
 def _(spark, d):
     schemes = _schemes(spark, d)
-    vocabulary = T.fit_vocabulary(schemes, "id")
-    return Q.index_summary(schemes, T.vectorise(schemes, vocabulary, "id"), vocabulary)
+    index = T.build_index(schemes, "id")
+    return Q.index_summary(schemes, index.postings, index.vocabulary)
 
 
 @register("a6_storage_report", sql("""
-    SELECT 'by_id' AS index_name, count(DISTINCT id) AS keys, count(DISTINCT id) AS entries, CAST(sum(bytes) AS BIGINT) AS vector_bytes FROM v
-    UNION ALL SELECT 'by_category', count(DISTINCT category), count(*), CAST(sum(bytes) AS BIGINT) FROM v
-    UNION ALL SELECT 'by_state', count(DISTINCT state), count(*), CAST(sum(bytes) AS BIGINT) FROM v""", "catalogue", "v", v="""
-    SELECT id, category, state, coalesce(len(embedding), 0) * 4 AS bytes FROM catalogue LEFT JOIN embeddings ON vec_id = pos"""))
+    SELECT 'category' AS kind, category AS value, count(*) AS rows, CAST(sum(bytes) AS BIGINT) AS vector_bytes FROM v GROUP BY category
+    UNION ALL SELECT 'state', state, count(*), CAST(sum(bytes) AS BIGINT) FROM v GROUP BY state""", "catalogue", "v", v="""
+    SELECT category, state, coalesce(len(embedding), 0) * 4 AS bytes FROM catalogue LEFT JOIN embeddings ON vec_id = pos"""))
 def _(spark, d):
     return C.storage_report(_with_vectors(spark, d))
 
 
 _REUSE = f"""
-    WITH RECURSIVE chain AS (
-      SELECT user_id, event_type, min(ts) AS t FROM events GROUP BY user_id, event_type
-      UNION ALL
-      SELECT c.user_id, c.event_type, (SELECT min(e.ts) FROM events e WHERE e.user_id = c.user_id
-          AND e.event_type = c.event_type AND e.ts >= c.t + INTERVAL {TTL_SECONDS} SECOND) AS t
-      FROM chain c WHERE c.t IS NOT NULL),
-    misses AS (SELECT user_id, event_type, count(t) AS misses FROM chain WHERE t IS NOT NULL GROUP BY user_id, event_type),
-    by_key AS (SELECT user_id, event_type, requests, misses, requests - misses AS hits,
-        round((requests - misses) / requests, 4) AS hit_rate
-      FROM (SELECT user_id, event_type, count(*) AS requests FROM events GROUP BY user_id, event_type)
-      JOIN misses USING (user_id, event_type))"""
+    WITH by_key AS (SELECT user_id, event_type, count(*) AS requests, count(*) FILTER (ts - before < INTERVAL {TTL_SECONDS} SECOND) AS repeats,
+        round(count(*) FILTER (ts - before < INTERVAL {TTL_SECONDS} SECOND) / count(*), 4) AS repeat_share
+      FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS before FROM events)
+      GROUP BY user_id, event_type)"""
 
 
 @register("a7_reuse_by_key", _REUSE + " SELECT * FROM by_key")
@@ -785,8 +817,8 @@ def _(spark, d):
 
 
 @register("a7_reuse_summary", _REUSE + """
-    SELECT count(*) AS keys, CAST(sum(requests) AS BIGINT) AS requests, CAST(sum(hits) AS BIGINT) AS hits,
-      CAST(sum(misses) AS BIGINT) AS misses, round(sum(hits) / sum(requests), 4) AS hit_rate FROM by_key""")
+    SELECT count(*) AS keys, CAST(sum(requests) AS BIGINT) AS requests, CAST(sum(repeats) AS BIGINT) AS repeats,
+      round(sum(repeats) / sum(requests), 4) AS repeat_share FROM by_key""")
 def _(spark, d):
     return U.reuse_summary(U.reuse_by_key(X.table(spark, d, "events"), ["user_id", "event_type"], TTL_SECONDS))
 
@@ -879,7 +911,7 @@ def _translation_inputs(spark, d):
     docs = X.corpus(spark, d)
     languages = F.when(F.col("lang") == "en", "english").when(F.col("lang") == "fr", "hindi").when(
         F.col("lang") == "de", "Tamil").otherwise("odia")
-    texts = docs.select("doc_id", F.md5("text").alias("text"), languages.alias("language"))
+    texts = docs.select("doc_id", "text", languages.alias("language"))
     quality = X.table(spark, d, "labels").where("quality = 1").select("doc_id")
     known = texts.join(quality, "doc_id").groupBy("text", "language").agg(
         F.concat(F.lit("translated:"), F.first("text")).alias("translation"))
@@ -887,25 +919,25 @@ def _translation_inputs(spark, d):
 
 
 _TRANSLATIONS = {"texts": """
-    SELECT doc_id, md5(text) AS text, CASE lang WHEN 'en' THEN 'english' WHEN 'fr' THEN 'hindi' WHEN 'de' THEN 'Tamil'
+    SELECT doc_id, text, CASE lang WHEN 'en' THEN 'english' WHEN 'fr' THEN 'hindi' WHEN 'de' THEN 'Tamil'
       ELSE 'odia' END AS language FROM documents""",
     "known": "SELECT DISTINCT text, language FROM texts JOIN labels USING (doc_id) WHERE quality = 1"}
 
 
 @register("r8_translation_backlog", sql("""
-    SELECT DISTINCT text, language, CASE language WHEN 'hindi' THEN 'hi' WHEN 'Tamil' THEN 'ta' ELSE language END AS code
+    SELECT DISTINCT md5(text) AS text_md5, language, CASE language WHEN 'hindi' THEN 'hi' WHEN 'Tamil' THEN 'ta' ELSE language END AS code
     FROM texts t WHERE language <> 'english' AND NOT EXISTS (
       SELECT 1 FROM known k WHERE k.text = t.text AND k.language = t.language)""", "texts", "known", **_TRANSLATIONS))
 def _(spark, d):
-    return R.translation_backlog(*_translation_inputs(spark, d))
+    return R.translation_backlog(*_translation_inputs(spark, d)).select(F.md5("text").alias("text_md5"), "language", "code")
 
 
 @register("r8_apply_translations", sql("""
-    SELECT t.doc_id, CASE WHEN t.language <> 'english' AND k.text IS NOT NULL THEN 'translated:' || t.text ELSE t.text END AS result,
+    SELECT t.doc_id, md5(CASE WHEN t.language <> 'english' AND k.text IS NOT NULL THEN 'translated:' || t.text ELSE t.text END) AS result_md5,
       t.language <> 'english' AND k.text IS NOT NULL AS translated
     FROM texts t LEFT JOIN known k ON k.text = t.text AND k.language = t.language""", "texts", "known", **_TRANSLATIONS))
 def _(spark, d):
-    return R.apply_translations(*_translation_inputs(spark, d)).select("doc_id", "result", "translated")
+    return R.apply_translations(*_translation_inputs(spark, d)).select("doc_id", F.md5("result").alias("result_md5"), "translated")
 
 
 @register("r9_resolve_responses", sql("""
@@ -957,6 +989,26 @@ def _(spark, d):
                          F.col("exact")["company"].alias("company_exact"), F.col("exact")["auth"].alias("auth_exact"))
 
 
+def _nested(inner: str, deep: str, shut: str) -> str:
+    return '{"level":1,"a":{"b":{"c":{"d":{"e":{' + inner + '}}}}},"lists":[[{' + deep + '}],[true,null,1.5]]' + shut + '}'
+
+
+_SHUT = '"***REDACTED***"'
+
+
+@register("l2_redact_nested", f"""
+    SELECT event_id, replace(replace('{_nested(f'"password":{_SHUT},"n":@', f'"token":{_SHUT},"kept":#', ',"Email":' + _SHUT)}', '@', CAST(event_id AS VARCHAR)),
+        '#', replace(props, ': ', ':')) AS masked,
+      replace(replace('{_nested(f'"password":{_SHUT},"n":~', '"token":"t","kept":#', ',"Email":"x@y"')}', '~', CAST(event_id AS VARCHAR)),
+        '#', replace(props, ': ', ':')) AS exact FROM events""")
+def _(spark, d):
+    text = _nested('"password":"hunter22","n":@', '"token":"t","kept":#', ',"Email":"x@y"')
+    filled = F.replace(F.replace(F.lit(text), F.lit("@y"), F.lit("~y")), F.lit("@"), F.col("event_id").cast("string"))
+    filled = F.replace(F.replace(filled, F.lit("~y"), F.lit("@y")), F.lit("#"), F.col("props"))
+    return X.table(spark, d, "events").select("event_id", P.redact_json(filled).alias("masked"),
+                                              P.redact_json(filled, exact=True).alias("exact"))
+
+
 @register("l3_duration_classes", sql("""
     SELECT operation, CASE WHEN duration_ms > 1000 THEN 'slow' WHEN duration_ms > 500 THEN 'moderate' ELSE 'normal' END AS class,
       count(*) AS calls, round(avg(duration_ms), 2) AS avg_ms FROM op_log GROUP BY ALL""", "op_log"))

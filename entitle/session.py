@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -26,16 +24,12 @@ def build_session(app: str = "entitle", master: str | None = None, **conf: str)
 def truncate_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` on the shared folder named by ``spark.checkpoint.dir``.
 
-    The copy is reliable: it outlives lost executors. Only a local session that names no
-    folder gets one of its own.
+    The copy is reliable: it outlives lost executors. A session that names no folder uses one in its
+    warehouse, which executors share.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            shared = tempfile.mkdtemp(prefix="entitle-checkpoint-")
-        context.setCheckpointDir(shared)
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", f"{warehouse}/checkpoints"))
     return df.checkpoint(eager=True)

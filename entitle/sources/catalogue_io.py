@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,23 +12,42 @@ from entitle.operators import validate as V
 
 
 def load_catalogue(spark: SparkSession, path: str, lines: bool = False, **validation) -> tuple[DataFrame, DataFrame]:
-    """(valid, rejected) catalogue rows with their load position.
+    """(valid, rejected) catalogue rows with their load position; an empty catalogue is refused.
 
     ``lines=False`` reads documents of the form {"schemes": [...]} (one task per file, split large
-    catalogues over several files); ``lines=True`` reads one programme per line with its ``pos``,
-    as ``write_catalogue`` writes it, and splits files as well.
+    catalogues over several files; positions run on from file to file in order of path);
+    ``lines=True`` reads one programme per line with its ``pos``, as ``write_catalogue`` writes it, and
+    splits files as well.
     """
     if lines:
-        fields = [*D.CATALOGUE.fields, T.StructField("pos", T.IntegerType())]
+        fields = [*D.CATALOGUE.fields, T.StructField("pos", T.LongType())]
         rows = spark.read.schema(T.StructType(fields)).json(path)
     else:
         wrapper = T.StructType([T.StructField("schemes", T.ArrayType(D.CATALOGUE))])
         documents = spark.read.schema(wrapper).option("multiLine", True).json(path)
-        rows = documents.select(F.posexplode("schemes").alias("pos", "s")).select("s.*", "pos")
+        rows = numbered(documents.withColumn("file", F.col("_metadata.file_path")))
+    require_rows(rows)
     checked = V.validate_catalogue(rows, **validation)
     return V.split_valid(checked)
 
 
+def numbered(documents: DataFrame) -> DataFrame:
+    """Programmes of ``documents`` (file, schemes) with ``pos``: dense, unique, in order of file and place.
+
+    Files get offsets from their counts, one small row each; the programmes are not sorted."""
+    sizes = documents.groupBy("file").agg(F.sum(F.coalesce(F.size("schemes"), F.lit(0)).cast("long")).alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = documents.select("file", F.posexplode("schemes").alias("_at", "s"))
+    return (placed.join(sizes.select("file", before.alias("_offset")), "file")
+            .select("s.*", (F.col("_offset") + F.col("_at")).alias("pos")))
+
+
+def parsed(texts: DataFrame) -> DataFrame:
+    """Programmes of ``texts`` (file, json): catalogue documents held as text."""
+    wrapper = T.StructType([T.StructField("schemes", T.ArrayType(D.CATALOGUE))])
+    return numbered(texts.select("file", F.from_json("json", wrapper)["schemes"].alias("schemes")))
+
+
 def require_rows(catalogue: DataFrame) -> DataFrame:
     """Fail early on an empty catalogue."""
     if catalogue.isEmpty():

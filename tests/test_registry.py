@@ -5,11 +5,12 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry_file
+from entitle.plans.registry import QUERIES
 
 SMALL = entry_file.SMALL
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
-PYTHON_NODES = {"t10_model_embedding", "q2_dense_top_k", "q2_dense_top_k_in_category", "q7_similar_items",
+PYTHON_NODES = {"l2_redact_nested", "q2_dense_top_k", "q2_dense_top_k_in_category", "q7_similar_items",
                 "q7_similar_vectors", "q8_item_details"}
 
 
@@ -28,7 +29,7 @@ def tidy(frame: pd.DataFrame) -> list[tuple]:
     return sorted(values, key=str)
 
 
-@pytest.mark.parametrize("name", sorted(entry_file.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     frame = entry_file.queries()[name](spark, SMALL)
     plan = frame._jdf.queryExecution().executedPlan().toString()

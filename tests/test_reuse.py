@@ -1,39 +1,21 @@
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from entitle.operators import reuse as U
-from tests.helpers import rows
 
 
-def requests(spark, events):
-    frame = spark.createDataFrame(events, "key string, at double")
-    return frame.select("key", F.timestamp_seconds(F.col("at")).alias("ts"))
-
-
-def brute(events, ttl):
-    inserted = {}
-    for key, at in sorted(events):
-        kept = inserted.setdefault(key, [])
-        if not kept or at - kept[-1] >= ttl:
-            kept.append(at)
-    return sorted((k, int(t * 1_000_000)) for k, ts in inserted.items() for t in ts)
-
-
-def test_golden(spark):
-    events = [("a", float(t)) for t in (0, 1800, 3599, 3600, 7199, 7200)]
-    row = U.reuse_by_key(requests(spark, events), ["key"], 3600).first()
-    assert (row.requests, row.misses, row.hits, row.hit_rate) == (6, 3, 3, 0.5)
-
-
-@pytest.mark.parametrize("max_group", [10_000, 15])
-def test_hot_keys_equal_brute_force(spark, max_group):
+def test_repeats_equal_brute_force(spark):
     rng = random.Random(4)
-    events = [("hot", float(rng.randrange(4000))) for _ in range(300)]
-    events += [(f"k{rng.randrange(5)}", float(rng.randrange(4000))) for _ in range(40)]
-    events += [("hot", 4000.0), ("hot", 9000.0), ("hot", 9100.0)]
-    found = U.insertions(requests(spark, events), ["key"], 100, max_group=max_group)
-    assert sorted(rows(found, "key", "t")) == brute(events, 100)
-    summary = U.reuse_summary(U.reuse_by_key(requests(spark, events), ["key"], 100, max_group=max_group)).first()
-    assert summary.requests == len(events) and summary.misses == len(brute(events, 100))
+    events = [("hot", rng.randrange(4000)) for _ in range(300)] + [(f"k{rng.randrange(5)}", rng.randrange(4000)) for _ in range(40)]
+    events += [("edge", t) for t in (0, 99, 199, 299, 300, 300)]
+    frame = spark.createDataFrame(events, "key string, at long").select("key", F.timestamp_seconds("at").alias("ts"))
+    want = {}
+    for key in {k for k, _ in events}:
+        times = sorted(t for k, t in events if k == key)
+        want[key] = (len(times), sum(b - a < 100 for a, b in zip(times, times[1:])))
+    found = U.reuse_by_key(frame, ["key"], 100)
+    assert {r.key: (r.requests, r.repeats) for r in found.collect()} == want
+    assert want["edge"] == (6, 3)
+    summary = U.reuse_summary(found).first()
+    assert (summary.keys, summary.requests, summary.repeats) == (len(want), len(events), sum(r for _, r in want.values()))

@@ -31,7 +31,31 @@ def test_json_catalogue(spark, tmp_path):
     assert (report.source_rows, report.written_rows, report.matches) == (2, 2, True)
     (tmp_path / "empty.json").write_text('{"schemes": []}')
     with pytest.raises(ValueError):
-        IO.require_rows(IO.load_catalogue(spark, str(tmp_path / "empty.json"))[0])
+        IO.load_catalogue(spark, str(tmp_path / "empty.json"))
+
+
+def test_several_files_load_as_one(spark, tmp_path):
+    made = [record(name, eligibility={**CRITERIA, "age": age}) for name, age in (("a", "18-25"), ("b", "60+"), ("c", "All"), ("d", "All"))]
+    (tmp_path / "one").mkdir()
+    (tmp_path / "two").mkdir()
+    (tmp_path / "one" / "x.json").write_text(json.dumps({"schemes": made}))
+    (tmp_path / "two" / "x.json").write_text(json.dumps({"schemes": made[:1]}))
+    (tmp_path / "two" / "y.json").write_text(json.dumps({"schemes": []}))
+    (tmp_path / "two" / "z.json").write_text(json.dumps({"schemes": made[1:]}))
+    p = profiles(spark, (20, 1000.0, "OBC", "student", "Goa"))
+    found = []
+    for folder in ("one", "two"):
+        valid, _ = IO.load_catalogue(spark, str(tmp_path / folder))
+        assert dict(valid.dtypes)["pos"] == "bigint"
+        assert sorted(rows(valid, "pos", "id")) == [(0, "a"), (1, "b"), (2, "c"), (3, "d")]
+        best = E.recommend(p, IO_rules(valid))
+        found.append(sorted(rows(best, "scheme_id", "match_score", "rank")))
+    assert found[0] == found[1] and len(found[0]) == 4
+
+
+def IO_rules(catalogue):
+    from entitle.operators.rules import compile_rules
+    return compile_rules(catalogue, "strict")
 
 
 def test_managed_table(spark, tmp_path):
