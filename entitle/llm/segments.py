@@ -16,8 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from entitle.llm.kernels import BYTE, Words, covered, signed, text_slices, winnowed, words
-from entitle.llm.shared import keep
+from entitle.llm.kernels import BASES, BYTE, Rolling, Words, covered, signed, text_slices, winnowed, words
+from entitle.llm.shared import keep, split_join
 
 SEGMENT = "id long, text_key long, anchor long, body long, first int, last int, lead int"
 #: Kinds of a marked segment: all windows found earlier; to be compared; to be compared, of a hot anchor.
@@ -56,10 +56,10 @@ def marked(docs: DataFrame, by_word: bool, length: int, seed: int, later: Callab
     """
     segments = docs.select("id", "text_key", "text").mapInArrow(_cut(by_word, length, seed), SEGMENT)
     again = segments.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    shared = keep(segments.join(again, "anchor", "left_semi"))
+    shared = keep(split_join(segments, again, ["anchor"], "left_semi"))
     classes = shared.groupBy("anchor", "body").agg(F.min(F.struct("id", "text_key", "first")).alias("least"))
     several = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
-    rows = (shared.join(classes, ["anchor", "body"]).join(several, "anchor", "left")
+    rows = (split_join(split_join(shared, classes, ["anchor", "body"]), several, ["anchor"], "left")
             .withColumn("kind", F.when(later(F.col("least")), EARLIER).when(F.col("classes") > hot_classes, HOT)
                         .when(F.col("classes") > 1, EDGE)).where("kind IS NOT NULL"))
     return rows.groupBy("id", "text_key").agg(
@@ -77,16 +77,16 @@ def field(values: pa.Array, name: str) -> np.ndarray:
     return values.field(name).to_numpy(zero_copy_only=False)
 
 
-def removed(marks: pa.Array, starts: pa.Array, i: int, j: int, bounds: np.ndarray, length: int, n: int) -> np.ndarray:
+def removed(marks: pa.Array, found: pa.Array, i: int, j: int, bounds: np.ndarray, length: int, n: int) -> np.ndarray:
     """Which units of a slice are covered by a window found earlier: those of marked segments of kind
-    EARLIER, and those that begin at ``starts``."""
+    EARLIER, and those that begin from ``first`` to ``last`` of an entry of ``found``."""
     row, values = listed(marks, i, j)
     early = field(values, "kind") == EARLIER
     base = bounds[row[early]]
-    row_2, found = listed(starts, i, j)
-    low_2 = bounds[row_2] + found.to_numpy(zero_copy_only=False)
-    low = np.concatenate([base + field(values, "first")[early], low_2]).astype(np.int64)
-    high = np.concatenate([base + field(values, "last")[early], low_2]).astype(np.int64) + length
+    row_2, more = listed(found, i, j)
+    base_2 = bounds[row_2]
+    low = np.concatenate([base + field(values, "first")[early], base_2 + field(more, "first")]).astype(np.int64)
+    high = np.concatenate([base + field(values, "last")[early], base_2 + field(more, "last")]).astype(np.int64) + length
     return covered(n, low, high)
 
 
@@ -101,8 +101,6 @@ def windows_of(segments: pa.Array, row: np.ndarray) -> tuple[np.ndarray, np.ndar
 def window_rows(by_word: bool, length: int, kinds: tuple[int, ...]
                 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(id, text_key, anchor, window, start): the windows of marked segments of some kinds, by their hash."""
-    from entitle.llm.kernels import BASES, Rolling
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in text_slices(batch.column(2)):
@@ -126,9 +124,9 @@ WINDOW = "id long, text_key long, anchor long, window long, start int"
 
 
 def found_earlier(windows: DataFrame, later: Callable[[Column], Column]) -> DataFrame:
-    """(id, text_key, start) of the windows that come after the first of their kind."""
+    """(id, text_key, first, last) of the windows that come after the first of their kind, one by one."""
     least = (windows.groupBy("anchor", "window")
              .agg(F.min(F.struct("id", "text_key", F.col("start").alias("first"))).alias("least"), F.count(F.lit(1)).alias("n"))
              .where("n > 1").drop("n"))
-    return (windows.withColumnRenamed("start", "first").join(least, ["anchor", "window"]).where(later(F.col("least")))
-            .select("id", "text_key", F.col("first").alias("start")))
+    return (split_join(windows.withColumnRenamed("start", "first"), least, ["anchor", "window"]).where(later(F.col("least")))
+            .select("id", "text_key", "first", F.col("first").alias("last")))

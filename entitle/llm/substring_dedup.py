@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from entitle.llm.kernels import joined_words, text_slices, words
 from entitle.llm.segments import EDGE, HOT, WINDOW, found_earlier, marked, removed, window_rows
-from entitle.llm.shared import WORD, doc_id, keyed, keep, table
+from entitle.llm.shared import WORD, compact, doc_id, keep, keyed, table
 
 #: Words of a repeat that goes, words of a seed.
 LENGTH, SEED_WORDS = 50, 16
@@ -60,12 +60,12 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, seed_words: int = SEE
     other's words, and repeated rows give repeated results. Texts shorter than ``length`` words stay whole. A
     very long text is handled in one task, as a row. An empty table gives no rows; other columns are not read.
     """
-    texts = keyed(docs)
+    texts = compact(keyed(docs))
     marks = keep(marked(texts, True, length, seed_words, _later, 1 << 30))
     both = texts.join(marks, ["id", "text_key"], "left")
     windows = both.select("id", "text_key", "text", "marks").mapInArrow(window_rows(True, length, (EDGE, HOT)), WINDOW)
-    starts = found_earlier(windows, _later).groupBy("id", "text_key").agg(F.collect_list("start").alias("starts"))
-    return (both.join(starts, ["id", "text_key"], "left").select("id", "text_key", "text", "marks", "starts")
+    found = found_earlier(windows, _later).groupBy("id", "text_key").agg(F.collect_list(F.struct("first", "last")).alias("found"))
+    return (both.join(found, ["id", "text_key"], "left").select("id", "text_key", "text", "marks", "found")
             .mapInArrow(_cut_out(length), "id long, text_key long, n_words long, n_removed long, "
                         "spans array<struct<low:int,high:int>>, kept_text string")
             .select(doc_id(), "n_words", "n_removed", "spans", "kept_text"))

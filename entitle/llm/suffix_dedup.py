@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from entitle.llm.kernels import text_array, text_slices
 from entitle.llm.segments import EDGE, HOT, WINDOW, found_earlier, listed, field, marked, removed, window_rows
-from entitle.llm.shared import doc_id, keep, keyed, table
+from entitle.llm.shared import compact, doc_id, keep, keyed, table
 
 #: Bytes of a repeat that goes, bytes of a seed.
-LENGTH, SEED_BYTES = 100, 16
-#: A seed with more classes of surroundings is hot; its windows are summed up by hash, not sorted in one task.
-HOT_CLASSES = 512
+LENGTH, SEED_BYTES = 100, 24
+#: A seed with more classes of surroundings (3 MB of pieces) is hot; its windows are summed up by hash, not sorted
+#: in one task.
+HOT_CLASSES = 20_000
 #: Pieces of whole seeds are sorted together until they have so many bytes.
 SORT_BYTES = 1 << 21
 #: Units of 9 bits in a sort key.
@@ -163,10 +164,16 @@ def _sort_pieces(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
         first = rows.column("first").to_numpy().astype(np.int64)
         count = rows.column("last").to_numpy() - first + 1
         piece, start = repeats_in(rows.column("piece").to_pylist(), count, length)
-        of = pa.array(piece)
+        by = np.lexsort((start, piece))
+        piece, start = piece[by], start[by]
+        new = np.ones(len(piece), bool)
+        new[1:] = (piece[1:] != piece[:-1]) | (start[1:] != start[:-1] + 1)
+        head = np.flatnonzero(new)
+        tail = np.append(head[1:], len(piece))[:len(head)] - 1
+        of = pa.array(piece[head])
         return pa.RecordBatch.from_arrays([
             rows.column("id").combine_chunks().take(of), rows.column("text_key").combine_chunks().take(of),
-            pa.array((first[piece] + start).astype(np.int32))], ["id", "text_key", "start"])
+            *(pa.array((first[piece[k]] + start[k]).astype(np.int32)) for k in (head, tail))], ["id", "text_key", "first", "last"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -224,14 +231,14 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, seed_bytes: int = SEED_B
     ``text_key`` is the earlier; repeated rows give repeated results. A very long text is handled in one
     task, as a row. An empty table gives no rows; other columns are not read.
     """
-    texts = keyed(docs)
+    texts = compact(keyed(docs))
     marks = keep(marked(texts, False, length, seed_bytes, _later, HOT_CLASSES))
     both = texts.join(marks, ["id", "text_key"], "left").select("id", "text_key", "text", "marks")
     sorted_ = (both.mapInArrow(_pieces(length), PIECE).repartition("anchor").sortWithinPartitions("anchor")
-               .mapInArrow(_sort_pieces(length), "id long, text_key long, start int"))
+               .mapInArrow(_sort_pieces(length), "id long, text_key long, first int, last int"))
     hot = found_earlier(both.mapInArrow(window_rows(False, length, (HOT,)), WINDOW), _later)
-    starts = sorted_.unionByName(hot).groupBy("id", "text_key").agg(F.collect_list("start").alias("starts"))
-    return (both.join(starts, ["id", "text_key"], "left").select("id", "text_key", "text", "marks", "starts")
+    found = sorted_.unionByName(hot).groupBy("id", "text_key").agg(F.collect_list(F.struct("first", "last")).alias("found"))
+    return (both.join(found, ["id", "text_key"], "left").select("id", "text_key", "text", "marks", "found")
             .mapInArrow(_cut_out(length), "id long, text_key long, n_bytes long, n_removed long, n_spans long, kept binary")
             .select(doc_id(), "n_bytes", "n_removed", "n_spans", "kept"))
 
