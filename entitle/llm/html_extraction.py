@@ -160,7 +160,7 @@ def noise_branches(pages: DataFrame) -> DataFrame:
                                                      F.struct(F.lit(1).alias("of"), F.col("content").alias("value")))))
     counts = rows.groupBy("host", "branch", "kind").agg(F.count(F.lit(1)).alias("n"))
     m, s = F.sum("n"), F.sum(F.col("n") * F.log("n"))
-    entropies = counts.groupBy("host", "branch", "kind.of").agg(m.alias("pages"), (1 - s / (m * F.log(m))).alias("entropy"))
+    entropies = counts.groupBy("host", "branch", "kind.of").agg(m.alias("pages"), (1 - F.try_divide(s, m * F.log(m))).alias("entropy"))
     return (entropies.groupBy("host", "branch").agg(F.max("entropy").alias("importance"), F.max("pages").alias("pages"))
             .where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE)).select("host", "branch"))
 

@@ -91,7 +91,7 @@ def mixed_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks:
     order = Window.orderBy(F.col("source").isNull(), F.encode("source", "UTF-8"))
     targets = keep(source_targets(sizes).withColumns({
         "blocks": F.ceil(F.col("source_size") / block_words),
-        "slots": F.least(F.round(F.col("target") / F.col("source_size") * F.ceil(F.col("source_size") / block_words)),
+        "slots": F.least(F.round(F.try_divide(F.col("target"), F.col("source_size")) * F.ceil(F.col("source_size") / block_words)),
                          REPEATS * F.ceil(F.col("source_size") / block_words)).cast("long")})
         .withColumn("slots", F.coalesce("slots", F.lit(0).cast("long")))
         .withColumn("first", F.sum("slots").over(order) - F.col("slots")))

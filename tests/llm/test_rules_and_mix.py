@@ -98,6 +98,15 @@ def test_mix_sources(spark, docs):
     assert sorted(map(repr, again)) == sorted(map(repr, got))
 
 
+def test_sources_without_words(spark):
+    docs = spark.createDataFrame(rows(["a b c", "", None, "d"], sources=["x", "empty", None, None]), SCHEMA)
+    got = {r.doc_id: (r.size, r.source_size, r.target, r.taken) for r in mix_sources(docs, block_words=1).collect()}
+    # the words share 6: "empty" can take none, x and the null source by 1 to 3
+    assert got[1] == (0, 0, 0.0, 0) and got[2][0] == 0 and got[2][3] == 0
+    assert {got[i][2] for i in (0, 2, 3)} == {4.0, 2.0} and got[0][3] == 4 and got[3][3] == 2
+    assert mixed_documents(docs, 1).count() == 4
+
+
 def test_shards_hold_their_blocks(spark, docs):
     _, targets, mix = mixed_blocks(docs, 4, 32)
     sizes = [r["count"] for r in mix.groupBy("shard").count().collect()]

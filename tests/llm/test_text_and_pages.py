@@ -29,7 +29,7 @@ def odd_texts():
 def test_pieces_equal_the_library(spark, model):
     from sentencepiece import SentencePieceProcessor
     sp = SentencePieceProcessor(model_file=MODEL)
-    texts = odd_texts() + [r.text for r in awkward(4)]
+    texts = odd_texts() + [r[1] for r in awkward(4)]
     tokens = encode(spark.createDataFrame(rows(texts), SCHEMA).repartition(2), "doc_id", model=model)
     got = {r.doc_id: r for r in tokens.collect()}
     assert len(got) == len(texts)
