@@ -19,7 +19,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: The character that stands for a space in pieces, in UTF-8.
 MARK = "▁"
 #: Code points of new chunks that are matched at once; slices of text that are encoded at once.
-MATCH_UNITS, TEXT_BYTES = 1 << 19, 1 << 20
+MATCH_UNITS, TEXT_BYTES = 1 << 18, 1 << 19
 #: Entries of the direct-mapped cache of piece pairs.
 CACHE = 1 << 20
 
@@ -315,9 +315,25 @@ class Encoder:
         return ids, np.concatenate([[0], total])[np.searchsorted(start, offsets)]
 
 
-def _encode(model: Model, columns: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+class Decoder:
+    """Ids to the bytes they stand for, the leading space included."""
+
+    def __init__(self, model: Model):
+        self.data = np.frombuffer(b"".join(model.text), np.uint8)
+        self.begin = np.concatenate([[0], np.cumsum([len(x) for x in model.text])])
+
+    def rows(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        size = np.diff(self.begin)[ids]
+        stop = np.cumsum(size)
+        total = int(stop[-1]) if len(stop) else 0
+        raw = self.data[np.repeat(self.begin[ids] - (stop - size), size) + np.arange(total)].tobytes()
+        cuts = np.concatenate([[0], stop])[bounds].tolist()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def _encode(model: Model, columns: int, check: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model)
+        encoder, decoder = Encoder(model), Decoder(model)
         for batch in batches:
             text = pc.replace_substring(batch.column(0), MARK, " ")
             text = pc.if_else(pc.greater(pc.binary_length(text), 0), pc.binary_join_element_wise(" ", text, ""), "")
@@ -325,15 +341,20 @@ def _encode(model: Model, columns: int) -> Callable[[Iterator[pa.RecordBatch]],
                 ids, bounds = encoder.encode(data, offsets)
                 raw, cuts = ids.tobytes(), (bounds * 4).tolist()
                 sha = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(cuts, cuts[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(k).slice(i, j - i) for k in range(columns)]
-                    + [pa.array(np.diff(bounds)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)), pa.array(sha)],
-                    [*batch.schema.names[:columns], "n_tokens", "ids", "ids_sha256"])
+                made = [pa.array(np.diff(bounds)), pa.array(sha)]
+                if check:
+                    whole, edges = data.tobytes(), offsets.tolist()
+                    made.append(pa.array([x == whole[a:b] for x, a, b in zip(decoder.rows(ids, bounds), edges, edges[1:])], pa.bool_()))
+                else:
+                    made.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)))
+                yield pa.RecordBatch.from_arrays([batch.column(k).slice(i, j - i) for k in range(1, columns)] + made,
+                                                 [*batch.schema.names[1:columns], "n_tokens", "ids_sha256", "round_trip" if check else "ids"])
     return run
 
 
-def encode(docs: DataFrame, *columns: str, model: Model | None = None) -> DataFrame:
-    """_text, ``columns`` of ``docs``, n_tokens, ids and ids_sha256 (of the ids as little-endian 32-bit numbers).
+def encode(docs: DataFrame, *columns: str, model: Model | None = None, check: bool = False) -> DataFrame:
+    """``columns`` of ``docs``, n_tokens, ids_sha256 (of the ids as little-endian 32-bit numbers) and ids; with
+    ``check`` instead of the ids round_trip: they were decoded again and gave the text, its marks as spaces.
 
     The ids are those of SentencePiece's BPE encoding of the whole text. In each task the new chunks of a
     batch are joined and indexed by a suffix array; binary search finds the range of every piece; the ranges
@@ -348,34 +369,23 @@ def encode(docs: DataFrame, *columns: str, model: Model | None = None) -> DataFr
     """
     model = model or load()
     rows = docs.select(F.coalesce("text", F.lit("")).alias("_text"), *columns)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(_encode(model, len(rows.columns)),
-                           f"{schema}, n_tokens long, ids array<int>, ids_sha256 string")
-
-
-def decoded(ids: np.ndarray, bounds: np.ndarray, data: np.ndarray, begin: np.ndarray) -> list[str]:
-    size = np.diff(begin)[ids]
-    stop = np.cumsum(size)
-    total = int(stop[-1]) if len(stop) else 0
-    raw = data[np.repeat(begin[ids] - (stop - size), size) + np.arange(total)].tobytes()
-    cuts = np.concatenate([[0], stop])[bounds].tolist()
-    out = [raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
-    return [x[1:] if x[:1] == " " else x for x in out]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:])
+    return rows.mapInArrow(_encode(model, len(rows.columns), check),
+                           f"{schema}, n_tokens long, ids_sha256 string, {'round_trip boolean' if check else 'ids array<int>'}")
 
 
 def decode(tokens: DataFrame, *columns: str, model: Model | None = None) -> DataFrame:
     """``columns`` of ``tokens`` and ``decoded``, the text of its ``ids``; null ids give an empty text."""
     model = model or load()
-    data = np.frombuffer(b"".join(model.text), np.uint8)
-    begin = np.concatenate([[0], np.cumsum([len(x) for x in model.text])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = Decoder(model)
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
                 counts = pc.fill_null(pc.list_value_length(part.column(0)), 0).to_numpy(zero_copy_only=False)
                 ids = part.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                text = decoded(ids, np.concatenate([[0], np.cumsum(counts)]), data, begin)
+                text = [x.removeprefix(b" ").decode("utf-8", "replace") for x in decoder.rows(ids, np.concatenate([[0], np.cumsum(counts)]))]
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(text, pa.string())], [*columns, "decoded"])
 
     rows = tokens.select("ids", *columns)
@@ -385,12 +395,8 @@ def decode(tokens: DataFrame, *columns: str, model: Model | None = None) -> Data
 
 def encoded_documents(docs: DataFrame) -> DataFrame:
     """doc_id, source, n_tokens and ids of every row: the last stage of the pipeline."""
-    return encode(docs, "doc_id", "source").drop("_text", "ids_sha256")
+    return encode(docs, "doc_id", "source").drop("ids_sha256")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = load()
-    tokens = encode(table(spark, sf_dir, "documents"), "doc_id", model=model)
-    both = decode(tokens, "_text", "doc_id", "n_tokens", "ids_sha256", model=model)
-    return both.select("doc_id", "n_tokens", "ids_sha256",
-                       (F.col("decoded") == F.replace("_text", F.lit(MARK), F.lit(" "))).alias("round_trip"))
+    return encode(table(spark, sf_dir, "documents"), "doc_id", check=True)

@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from entitle.llm.kernels import BASES, BYTE, Rolling, Words, covered, signed, text_slices, winnowed, words
 from entitle.llm.shared import keep, split_join
 
-SEGMENT = "id long, text_key long, anchor long, body long, first int, last int, lead int"
+SEGMENT = "id long, text_key long, anchor long, body long, place long"
+#: ``place`` holds first and, in so many bits, last - first.
+BITS = 12
 #: Kinds of a marked segment: all windows found earlier; to be compared; to be compared, of a hot anchor.
 EARLIER, EDGE, HOT = 0, 1, 2
 
@@ -41,8 +43,8 @@ def _cut(by_word: bool, length: int, seed: int) -> Callable[[Iterator[pa.RecordB
                 row, base = pa.array(s.row + i), bounds[s.row]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).take(row), batch.column(1).take(row), signed(s.anchor), signed(s.body),
-                    *(pa.array(x.astype(np.int32)) for x in (s.first - base, s.last - base, s.lead))],
-                    ["id", "text_key", "anchor", "body", "first", "last", "lead"])
+                    pa.array((s.first - base) << BITS | (s.last - s.first))],
+                    ["id", "text_key", "anchor", "body", "place"])
     return run
 
 
@@ -54,16 +56,21 @@ def marked(docs: DataFrame, by_word: bool, length: int, seed: int, later: Callab
     Anchors found once are dropped after a count with partial sums; hot anchors are split by the skew join.
     A document's list is as long as the document, never as long as a group.
     """
+    if length >= 1 << BITS:
+        raise ValueError(f"windows have fewer than {1 << BITS} units")
     segments = docs.select("id", "text_key", "text").mapInArrow(_cut(by_word, length, seed), SEGMENT)
     again = segments.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     shared = keep(split_join(segments, again, ["anchor"], "left_semi"))
+    first = F.shiftright("place", BITS)
+    shared = shared.select("id", "text_key", "anchor", "body", first.cast("int").alias("first"),
+                           (first + F.col("place").bitwiseAND(F.lit((1 << BITS) - 1))).cast("int").alias("last"))
     classes = shared.groupBy("anchor", "body").agg(F.min(F.struct("id", "text_key", "first")).alias("least"))
     several = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
     rows = (split_join(split_join(shared, classes, ["anchor", "body"]), several, ["anchor"], "left")
             .withColumn("kind", F.when(later(F.col("least")), EARLIER).when(F.col("classes") > hot_classes, HOT)
                         .when(F.col("classes") > 1, EDGE)).where("kind IS NOT NULL"))
     return rows.groupBy("id", "text_key").agg(
-        F.collect_list(F.struct("first", "last", "lead", "anchor", "kind")).alias("marks"))
+        F.collect_list(F.struct("first", "last", "anchor", "kind")).alias("marks"))
 
 
 def listed(column: pa.Array, i: int, j: int) -> tuple[np.ndarray, pa.Array]:

@@ -54,8 +54,11 @@ def _sorted_directly(places: np.ndarray, keys: np.ndarray, depth: int) -> np.nda
     return order
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Order of all suffixes of ``text`` (units 0 to 256, 0 ends a piece), compared over ``depth`` units at least.
+def suffix_array(text: np.ndarray, depth: int, ends: np.ndarray | None = None) -> np.ndarray:
+    """Order of the suffixes of ``text`` (units 0 to 256, 0 ends a piece), compared over ``depth`` units at least.
+
+    ``ends`` has for each piece the place up to which its suffixes are wanted; of the others only those come along
+    that the wanted ones are induced from. By default all suffixes are ordered.
 
     Two stages. A suffix smaller than its successor is sorted directly. All others are induced: buckets of
     the first unit are scanned upwards; the suffix one place before each one scanned, if it is larger than
@@ -71,7 +74,12 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     end = runs[np.searchsorted(runs, np.arange(n))]  # last place of the run of equal units
     smaller = text[end] < follow[end]
     smaller |= text == 0
-    direct = _sorted_directly(np.flatnonzero(smaller), _keys(text), depth)
+    places = np.flatnonzero(smaller)
+    if ends is not None:
+        stop = places[np.searchsorted(places, ends)]  # the first such suffix after the wanted ones
+        piece = np.cumsum(text == 0) - (text == 0)
+        places = places[places <= stop[piece[places]]]
+    direct = _sorted_directly(places, _keys(text), depth)
     counts = np.bincount(text[direct], minlength=258)
     cuts = np.concatenate([[0], np.cumsum(counts)])
     fronts: list[list[np.ndarray]] = [[] for _ in range(257)]
@@ -122,12 +130,11 @@ def repeats_in(pieces: list[bytes], windows: np.ndarray, length: int) -> tuple[n
     begin = np.cumsum(sizes) - sizes
     joined = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8).astype(np.uint16) + 1
     joined[begin + sizes - 1] = 0
-    order = suffix_array(joined, length)
+    order = suffix_array(joined, length, begin + windows)
     piece = np.searchsorted(begin, order, "right") - 1
     window = order - begin[piece] < windows[piece]
-    linked = common_prefix_reaches(joined, order, length)
-    group = np.concatenate([[0], np.cumsum(~linked)])
-    order, piece, group = order[window], piece[window], group[window]
+    order, piece = order[window], piece[window]
+    group = np.concatenate([[0], np.cumsum(~common_prefix_reaches(joined, order, length))])[:len(order)]
     first = np.full(int(group.max()) + 1 if len(group) else 0, len(joined))
     np.minimum.at(first, group, order)
     again = order > first[group]
