@@ -19,6 +19,8 @@ ANY = "*"
 ROUNDS_UP = 0.997
 AGE_BAND = 10
 TOP_BAND = 15
+# Distinct income caps up to which users are put in classes.
+MAX_CAPS = 500
 PROFILE_COLUMNS = ["user_id", "age", "income", "category", "occupation", "state"]
 SHAPE = ["min_age", "max_age", "max_income", "category_open", "category_keys",
          "occupation_open", "occupation_keys"]
@@ -91,6 +93,36 @@ def rule_shapes(rules: DataFrame, members: int) -> tuple[DataFrame, DataFrame]:
     return prefixed(shapes), listed.select(F.col("shape").alias("r_shape"), F.col("id").alias("scheme_id"), "pos")
 
 
+def profile_classes(profiles: DataFrame, shapes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(users with their class, one profile per class): users of a class score alike under all rules.
+
+    Scores depend on age, category and occupation, and on the income only in two ways: which caps it exceeds, and by
+    how much where it is little over one. So users outside every cap's tolerance share a class by the
+    number of caps below them, the others by their income. With more than MAX_CAPS distinct caps every income is a
+    class of its own. The class is named after its first user.
+    """
+    caps = sorted(r[0] for r in shapes.select("r_max_income").where("r_max_income IS NOT NULL").distinct().limit(MAX_CAPS + 1).collect())
+    keyed = S.with_user_keys(profiles.select(*PROFILE_COLUMNS))
+    income = F.col("income")
+    if len(caps) > MAX_CAPS:
+        below, near = F.lit(0), income
+    else:
+        bounds = F.array(*[F.lit(float(c)) for c in caps]).cast("array<double>")
+        below = F.size(F.filter(bounds, lambda c: c < income))
+        close = F.exists(bounds, lambda c: (c < income) & (c >= income * (S.INCOME_TOLERANCE - 0.01)))
+        near = F.when(close | income.isNull(), income)
+    keyed = keyed.withColumn("_class", F.to_json(F.struct("age", "u_category", "u_occupation", below.alias("below"), near.alias("near"),
+                                                         income.isNull().alias("unknown"))))
+    first = keyed.groupBy("_class").agg(F.min_by(F.struct(*PROFILE_COLUMNS), "user_id").alias("p"))
+    return keyed.select("user_id", "_class"), first.select("_class", "p.*")
+
+
+def _for_all(classes: DataFrame, users: DataFrame, best: DataFrame) -> DataFrame:
+    """The list of each class's profile for every user of the class."""
+    listed = best.join(classes.select("user_id", "_class"), "user_id").drop("user_id")
+    return users.join(listed, "_class").drop("_class")
+
+
 def by_user(df: DataFrame, *keys: str) -> DataFrame:
     """Spread rows by key before an expanding join: the wide result then needs no shuffle."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -162,23 +194,28 @@ def recommend(profiles: DataFrame, rules: DataFrame, n: int = 5,
               minimum: float = RECOMMEND_SCORE) -> DataFrame:
     """Top-n programmes per user with a score of at least ``minimum``, eligible ones included."""
     shapes, members = rule_shapes(rules, n)
-    best = _best_of(_strict_scored(profiles, shapes, minimum), members, ["user_id"], n)
-    return best.select("user_id", "scheme_id", "match_score",
+    users, classes = profile_classes(profiles, shapes)
+    best = _best_of(_strict_scored(classes, shapes, minimum), members, ["user_id"], n)
+    return _for_all(classes, users, best).select("user_id", "scheme_id", "match_score",
                        (F.col("match_score") >= ELIGIBLE_SCORE).alias("is_eligible"), "rank")
 
 
-def eligible_and_recommended(profiles: DataFrame, rules: DataFrame, max_results: int = 10) -> DataFrame:
-    """Best eligible and best near-eligible programmes per user, with totals after the cut."""
+def eligible_and_recommended(profiles: DataFrame, rules: DataFrame, max_results: int = 10,
+                             shaped: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Best eligible and best near-eligible programmes per user, with totals after the cut. ``shaped`` takes the
+    result of ``rule_shapes`` where it is at hand."""
     max_recommended = max(5, max_results // 2)
-    shapes, members = rule_shapes(rules, max(max_results, max_recommended))
+    shapes, members = shaped or rule_shapes(rules, max(max_results, max_recommended))
+    users, classes = profile_classes(profiles, shapes)
     fits = F.col("match_score") >= ELIGIBLE_SCORE
-    scored = _strict_scored(profiles, shapes, RECOMMEND_SCORE).withColumn("_fits", fits)
+    scored = _strict_scored(classes, shapes, RECOMMEND_SCORE).withColumn("_fits", fits)
     best = _best_of(scored, members, ["user_id", "_fits"], max(max_results, max_recommended))
     best = best.where(F.col("rank") <= F.when(F.col("_fits"), max_results).otherwise(max_recommended))
     total = F.count(F.lit(1)).over(W.partitionBy("user_id", "_fits"))
     section = F.when(F.col("_fits"), "eligible").otherwise("recommended")
-    return best.select("user_id", section.alias("section"), "rank", "scheme_id", "match_score",
-                       total.alias("section_total"))
+    listed = best.select("user_id", section.alias("section"), "rank", "scheme_id", "match_score",
+                         total.alias("section_total"))
+    return _for_all(classes, users, listed).select(*listed.columns)
 
 
 # --- lenient dialect ------------------------------------------------------------------------

@@ -12,14 +12,18 @@ from entitle.functions import scoring as S
 from entitle.functions.privacy import redact_text
 from entitle.operators import eligibility as E
 from entitle.operators.oplogs import rate_violations, slow_per_window
+from entitle.session import truncate_lineage
 
 
 def eligibility_batches(profiles: DataFrame, rules: DataFrame,
                         sink: Callable[[DataFrame, int], None], max_results: int = 10) -> DataStreamWriter:
     """Ranked eligible and recommended programmes for each micro-batch of profiles."""
 
+    # the static rules are put together once, not in every batch
+    shaped = tuple(truncate_lineage(t) for t in E.rule_shapes(rules, max(max_results, 5, max_results // 2)))
+
     def run(batch: DataFrame, batch_id: int) -> None:
-        sink(E.eligible_and_recommended(batch, rules, max_results), batch_id)
+        sink(E.eligible_and_recommended(batch, rules, max_results, shaped), batch_id)
 
     return profiles.writeStream.foreachBatch(run)
 
