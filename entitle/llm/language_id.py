@@ -53,7 +53,11 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          ["lang", "bucket", "n"])
 
 
-def text_model(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], np.ndarray]:
+#: Languages and their table of log likelihoods, as ``text_model`` gives them.
+Fitted = tuple[list[str], np.ndarray]
+
+
+def text_model(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Fitted:
     """Languages and, by language and bucket, log likelihoods; BUCKETS numbers a language reach the driver."""
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
     n = max(1, rows.count())
@@ -68,26 +72,26 @@ def text_model(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[lis
     return langs, np.log(table_ / table_.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
-EVIDENCE = "page_id long, url string, host string, domain string, suffix string, declared string, n_chars long, score array<double>"
+EVIDENCE = "id long, url string, host string, domain string, suffix string, declared string, n_chars long, score array<double>"
 
 
-def _evidence(model: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _evidence(model: np.ndarray, plain: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     by_bucket = np.ascontiguousarray(model.T)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[list] = [[] for _ in range(8)]
-            for page_id, url, page in zip(*(batch.column(k) for k in range(3))):
-                page, host = page.as_py() or "", host_of(url.as_py())
-                labels = host.split(":")[0].split(".")
-                text = "\n".join(b.text for b in blocks_of(page))
+            for row_id, url, page in zip(*(batch.column(k) for k in range(3))):
+                page, host = page.as_py() or "", (url.as_py() or "") if plain else host_of(url.as_py())
+                labels = [host] if plain else host.split(":")[0].split(".")
+                text = page if plain else "\n".join(b.text for b in blocks_of(page))
                 at = _grams(np.frombuffer(text.encode("utf-8", "replace"), np.uint8))
                 total = np.zeros(by_bucket.shape[1])
                 for i in range(0, len(at), 1 << 16):
                     total += by_bucket[at[i:i + (1 << 16)]].sum(axis=0, dtype=np.float64)
                 weight = TEMPER * min(1.0, MOST_GRAMS / max(1, len(at)))
-                found = DECLARED.search(page[:4096]) if page else None
-                for column, value in zip(rows, (page_id.as_py(), url.as_py(), host, ".".join(labels[-2:]), labels[-1],
+                found = None if plain else DECLARED.search(page[:4096])
+                for column, value in zip(rows, (row_id.as_py(), url.as_py(), host, ".".join(labels[-2:]), "" if plain else labels[-1],
                                                 found.group(1).lower() if found else "", len(text), (total * weight).tolist())):
                     column.append(value)
             kinds = [pa.int64(), *[pa.string()] * 5, pa.int64(), pa.list_(pa.float64())]
@@ -104,7 +108,7 @@ def _softmax(scores: Column) -> Column:
     return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda a, b: a + b))
 
 
-def identify(pages: DataFrame, labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def identify(pages: DataFrame, labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, fitted: Fitted | None = None) -> DataFrame:
     """One row per row of ``pages``: page_id, url, lang, probability, text_lang, declared, n_chars.
 
     Four kinds of evidence are fused by Bayes' rule. Text: likelihoods of hashed grams of the page's text,
@@ -118,10 +122,23 @@ def identify(pages: DataFrame, labelled: DataFrame, sample_docs: int = SAMPLE_DO
     posteriors go to the language first by name. Without labelled rows lang is null. Repeated rows give repeated results,
     each counts as a page. An empty table gives no rows; other columns are not read.
     """
-    langs, model = text_model(labelled, sample_docs)
-    rows = keep(pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(_evidence(model), EVIDENCE))
+    langs, model = fitted or text_model(labelled, sample_docs)
+    rows = keep(pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(_evidence(model, False), EVIDENCE))
+    return _fused(rows, langs).withColumnRenamed("id", "page_id")
+
+
+def identify_documents(docs: DataFrame, labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, fitted: Fitted | None = None) -> DataFrame:
+    """doc_id, source, lang, probability, text_lang and n_chars of every row of ``docs``: as ``identify``, for plain
+    text, which has no markup and no address; its source takes the place of the host. Same cases."""
+    langs, model = fitted or text_model(labelled, sample_docs)
+    rows = keep(docs.select(F.col("doc_id").cast("long"), "source", "text").mapInArrow(_evidence(model, True), EVIDENCE))
+    return _fused(rows, langs).drop("declared").withColumnsRenamed({"id": "doc_id", "url": "source"})
+
+
+def _fused(rows: DataFrame, langs: list[str]) -> DataFrame:
+    """id, url, lang, probability, text_lang, declared and n_chars from the evidence of each row."""
     if not langs:
-        return rows.select("page_id", "url", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("probability"),
+        return rows.select("id", "url", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("probability"),
                            F.lit(None).cast("string").alias("text_lang"), "declared", "n_chars")
     k = range(len(langs))
     rows = rows.withColumn("by_text", _softmax(F.col("score")))
@@ -160,9 +177,13 @@ def identify(pages: DataFrame, labelled: DataFrame, sample_docs: int = SAMPLE_DO
     def best(column: str) -> Column:
         return F.element_at(names, F.array_position(column, F.array_max(column)).cast("int"))
 
-    return found.select("page_id", "url", best("posterior").alias("lang"), F.array_max("posterior").alias("probability"),
+    return found.select("id", "url", best("posterior").alias("lang"), F.array_max("posterior").alias("probability"),
                         best("by_text").alias("text_lang"), F.nullif("declared", F.lit("")).alias("declared"), "n_chars")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+    """Every page and every document; pages have a null doc_id, documents a null page_id and url."""
+    docs = table(spark, sf_dir, "documents")
+    fitted = text_model(docs)
+    pages = identify(table(spark, sf_dir, "pages"), docs, fitted=fitted)
+    return identify_documents(docs, docs, fitted=fitted).drop("source").unionByName(pages, allowMissingColumns=True)

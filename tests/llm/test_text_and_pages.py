@@ -7,7 +7,7 @@ from helpers import SCHEMA, awkward, rows
 from pyspark.sql import functions as F
 
 from entitle.llm.html_extraction import blocks_of, main_text
-from entitle.llm.language_id import identify
+from entitle.llm.language_id import identify, identify_documents
 from entitle.llm.pieces import MODEL, decode, encode, load
 from entitle.llm.secret_scan import scan, with_features
 
@@ -94,6 +94,14 @@ def test_language_accuracy(spark):
     assert hits > 0.97
 
 
+def test_language_of_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = docs.where("doc_id % 5 = 0")
+    got = identify_documents(held, docs.where("doc_id % 5 <> 0")).join(held.select("doc_id", F.col("lang").alias("true")), "doc_id")
+    assert got.count() == held.count() and got.agg(F.avg((F.col("lang") == F.col("true")).cast("int"))).first()[0] > 0.97
+    assert identify_documents(spark.createDataFrame(awkward(6), SCHEMA), docs).count() == len(awkward(6))
+
+
 def test_other_evidence_decides_where_text_does_not(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) < 3000")
     some = docs.where("lang IN ('fr', 'en')").select("doc_id", "text", "lang").limit(80).collect()
