@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from helpers import SCHEMA, WORD, awkward, removed_windows, rows
+from llm_helpers import SCHEMA, WORD, awkward, removed_windows, rows
 
 from entitle.llm import near_dedup as near
 from entitle.llm.exact_dedup import exact_dedup, exact_groups

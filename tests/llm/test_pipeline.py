@@ -2,7 +2,7 @@
 
 import duckdb
 import pytest
-from helpers import WORD
+from llm_helpers import WORD
 
 import corpus_pipeline
 from entitle.llm.exact_dedup import exact_groups

@@ -3,7 +3,7 @@
 from collections import Counter, defaultdict
 
 import pytest
-from helpers import SCHEMA, WORD, awkward, rows
+from llm_helpers import SCHEMA, WORD, awkward, rows
 
 from entitle.llm.mixing import PRIMES, mix_sources, mixed_blocks, mixed_documents, permuted, source_targets
 from entitle.llm.quality_rules import quality, quality_filter

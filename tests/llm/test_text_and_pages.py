@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from helpers import SCHEMA, awkward, rows
+from llm_helpers import SCHEMA, awkward, rows
 from pyspark.sql import functions as F
 
 from entitle.llm.html_extraction import blocks_of, main_text
