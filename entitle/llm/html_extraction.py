@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entitle.llm.shared import keep, table
+from entitle.llm.shared import keep, small_batches, table
 
 #: A branch found on fewer pages of a site says nothing; one of less importance is noise.
 LEAST_PAGES, LEAST_IMPORTANCE = 8, 0.3
@@ -195,7 +195,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     a very long page is handled in one task. An empty table gives no rows; other columns are not read. Sites
     are summed up by (site, branch, value) in the tasks, so a large site is no group.
     """
-    noise = keep(noise_branches(pages))
+    noise = keep(noise_branches(small_batches(pages)))
     by_host = noise.groupBy("host").agg(F.collect_set("branch").alias("noise"))
     if noise.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         by_host = F.broadcast(by_host)

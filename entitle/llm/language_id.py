@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from entitle.llm.html_extraction import blocks_of, host_of
 from entitle.llm.kernels import LOWER, mix, text_slices
-from entitle.llm.shared import keep, table
+from entitle.llm.shared import keep, small_batches, table
 
 #: Labelled documents that the text model is fitted on, about; chosen by a hash of their id.
 SAMPLE_DOCS = 4000
@@ -123,7 +123,7 @@ def identify(pages: DataFrame, labelled: DataFrame, sample_docs: int = SAMPLE_DO
     each counts as a page. An empty table gives no rows; other columns are not read.
     """
     langs, model = fitted or text_model(labelled, sample_docs)
-    rows = keep(pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(_evidence(model, False), EVIDENCE))
+    rows = keep(small_batches(pages).select(F.col("page_id").cast("long"), "url", "html").mapInArrow(_evidence(model, False), EVIDENCE))
     return _fused(rows, langs).withColumnRenamed("id", "page_id")
 
 
@@ -131,7 +131,7 @@ def identify_documents(docs: DataFrame, labelled: DataFrame, sample_docs: int =
     """doc_id, source, lang, probability, text_lang and n_chars of every row of ``docs``: as ``identify``, for plain
     text, which has no markup and no address; its source takes the place of the host. Same cases."""
     langs, model = fitted or text_model(labelled, sample_docs)
-    rows = keep(docs.select(F.col("doc_id").cast("long"), "source", "text").mapInArrow(_evidence(model, True), EVIDENCE))
+    rows = keep(small_batches(docs).select(F.col("doc_id").cast("long"), "source", "text").mapInArrow(_evidence(model, True), EVIDENCE))
     return _fused(rows, langs).drop("declared").withColumnsRenamed({"id": "doc_id", "url": "source"})
 
 

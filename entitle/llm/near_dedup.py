@@ -208,7 +208,7 @@ def _confirm_parts(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     """Links between components, from rows (bucket, part, node, n, sketch, component, shingles). A member's
     set is met by all others of its part at once; components joined by a link found are one from then on."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _whole_parts(batches, 2_000):
+        for rows in _whole_parts(batches, 600):
             node, n, sketch, component = (rows.column(2).to_numpy(), rows.column(3).to_numpy(), _sketches(rows),
                                           rows.column(5).to_numpy())
             shingles = rows.column(6).combine_chunks()

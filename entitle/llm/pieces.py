@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from entitle.llm.kernels import BYTE, Rolling, text_array, text_slices
-from entitle.llm.shared import table
+from entitle.llm.shared import small_batches, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: The character that stands for a space in pieces, in UTF-8.
@@ -368,7 +368,7 @@ def encode(docs: DataFrame, *columns: str, model: Model | None = None, check: bo
     table gives no rows.
     """
     model = model or load()
-    rows = docs.select(F.coalesce("text", F.lit("")).alias("_text"), *columns)
+    rows = small_batches(docs).select(F.coalesce("text", F.lit("")).alias("_text"), *columns)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:])
     return rows.mapInArrow(_encode(model, len(rows.columns), check),
                            f"{schema}, n_tokens long, ids_sha256 string, {'round_trip boolean' if check else 'ids array<int>'}")

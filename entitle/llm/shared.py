@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A word, in the dialects of Java and of DuckDB alike.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of a batch that goes to Python.
+BATCH_ROWS = 1000
 #: Stands for a null doc_id inside the operators.
 NO_ID = -(1 << 63)
 
@@ -37,13 +39,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; from now on its session hands whole texts to Python in batches of BATCH_ROWS rows at most, so that neither
+    side of a worker holds many megabytes at once."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def keyed(docs: DataFrame, *more: str) -> DataFrame:
     """id, text_key and text of every row, and the columns named. A null doc_id counts as the smallest of
     all ids, a null text as empty. Rows that share an id but not a text keep apart by ``text_key``, the
     64-bit hash of the text; rows that share both are one document."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"),
-                       F.xxhash64(text).alias("text_key"), text.alias("text"), *more)
+    return small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"),
+                                      F.xxhash64(text).alias("text_key"), text.alias("text"), *more)
 
 
 def compact(texts: DataFrame) -> DataFrame:
