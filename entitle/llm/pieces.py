@@ -19,7 +19,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: The character that stands for a space in pieces, in UTF-8.
 MARK = "▁"
 #: Code points of new chunks that are matched at once; slices of text that are encoded at once.
-MATCH_UNITS, TEXT_BYTES = 1 << 18, 1 << 19
+MATCH_UNITS, TEXT_BYTES = 1 << 19, 1 << 21
 #: Entries of the direct-mapped cache of piece pairs.
 CACHE = 1 << 20
 
