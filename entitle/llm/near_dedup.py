@@ -20,8 +20,10 @@ BANDS, ROWS = 32, 5
 #: bits differ on average, with a standard deviation of 8.5.
 SKETCH_BITS, MOST_BITS = 512, 92
 #: Members of a bucket that are compared in one task; larger buckets are cut, and PIVOTS of their members
-#: stand in every part.
+#: stand in every part. What the parts leave apart meets by shared rare shingles.
 PART_ROWS, PIVOTS = 512, 32
+#: Places of the table that tells rare shingles from frequent ones; shingles of one place count together.
+RARITY = 1 << 18
 #: Nearest neighbours of a member that are confirmed besides the spanning forest.
 NEAREST = 2
 
@@ -236,6 +238,39 @@ def _confirm_parts(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     return run
 
 
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(place, n) of the shingles of a partition's sets (node, shingles), summed up in it."""
+    total = np.zeros(RARITY, np.int64)
+    for batch in batches:
+        for s in batch.column(1):
+            total += np.bincount(mix(np.frombuffer(s.as_buffer(), np.uint64)) % np.uint64(RARITY), minlength=RARITY)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["place", "n"])
+
+
+def rare_prefixes(shingles: np.ndarray, often: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rarest shingles of a set by which it is found as the smaller of a linked pair, and as the larger.
+
+    In one order of all shingles, the first that two linked sets share stands so early in both: of n shingles a
+    partner that is no smaller shares 2 * percent / (100 + percent) at least, any other percent / 100.
+    The order decides only how many sets share a shingle here, never whether a pair is found."""
+    n = len(shingles)
+    first = np.lexsort((shingles, often[mix(shingles) % np.uint64(len(often))]))
+    return (shingles[first[:n + 1 + -2 * percent * n // (100 + percent)]], shingles[first[:n + 1 + -percent * n // 100]])
+
+
+def _prefixes(often: np.ndarray, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(bucket, node, smaller) from sets (node, shingles)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, s in zip(batch.column(0), batch.column(1)):
+                both = rare_prefixes(np.frombuffer(s.as_buffer(), np.uint64), often, percent)
+                bucket, smaller = np.concatenate(both), np.repeat([True, False], [len(x) for x in both])
+                yield pa.RecordBatch.from_arrays([signed(bucket), pa.array(np.full(len(bucket), node.as_py())), pa.array(smaller)],
+                                                 ["bucket", "node", "smaller"])
+    return run
+
+
 def _confirm(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,6 +307,33 @@ def components(links: DataFrame) -> DataFrame:
         ends.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def rare_blocks(entries: DataFrame) -> DataFrame:
+    """(bucket, part, node, component): the members of a shingle, dealt into blocks of about PART_ROWS rows so that each
+    smaller set meets each larger one of another component in one of them.
+
+    ``entries`` has bucket, node, smaller, component and nodes, the size of the component. Nothing in the largest
+    component of a shingle has to meet itself, so it meets only the rest. A frequent shingle is in no prefix of
+    smaller sets, unless the sets that share it are linked by it, and then makes no blocks."""
+    main = F.max(F.struct("nodes", "component")).alias("main")
+    groups = entries.groupBy("bucket").agg(main, F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    rest = F.col("component") != F.col("main.component")
+    rows = keep(split_join(entries, groups.select("bucket", "main"), ["bucket"]).select("bucket", "node", "smaller", "component", rest.alias("rest")))
+    # side 0: smaller sets of the rest with all larger ones; side 1: those of the main component with larger ones of the rest
+    sides = (F.when(F.col("smaller"), F.array(F.when(F.col("rest"), 0).otherwise(1)))
+             .otherwise(F.when(F.col("rest"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    sided = rows.withColumn("side", F.explode(sides)).drop("rest")
+    half = max(1, PART_ROWS // 2)
+    count = lambda of: F.ceil(F.sum(of.cast("long")) / half).cast("long")
+    blocks = (sided.groupBy("bucket", "side").agg(count(F.col("smaller")).alias("down"), count(~F.col("smaller")).alias("across"))
+              .where("down > 0 AND across > 0"))
+    own = F.pmod(F.xxhash64("node", "bucket"), F.when(F.col("smaller"), F.col("down")).otherwise(F.col("across")))
+    last = F.when(F.col("smaller"), F.col("across")).otherwise(F.col("down")) - 1
+    dealt = (split_join(sided, blocks, ["bucket", "side"]).withColumn("own", own)
+             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last))))
+    at = F.when(F.col("smaller"), F.col("own") * F.col("across") + F.col("other")).otherwise(F.col("other") * F.col("across") + F.col("own"))
+    return dealt.select("bucket", (at * 2 + F.col("side")).alias("part"), "node", "component").distinct()
+
+
 def near_groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, id, text_key.
 
@@ -284,7 +346,9 @@ def near_groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: in
     by parity, its odd sketch: the XOR of two sketches tells how many samples differ. In every bucket the
     pairs of a spanning forest by that estimate, and nearest neighbours, are confirmed on the full sets; then
     members that are close to another component meet it with their full sets. So neither copies nor
-    buckets become all their pairs. Buckets over PART_ROWS members are cut into parts that share PIVOTS members.
+    buckets become all their pairs. Buckets over PART_ROWS members are cut into parts that share PIVOTS members;
+    members of such a bucket that are still in different components meet by their rarest shingles, of which every
+    linked pair has one in common (``rare_prefixes``), so that no link is lost between parts.
 
     A null or empty text has an empty set and is linked with nothing; a null doc_id counts as the smallest
     id; rows of one id and text are one document. An empty table gives no rows; other columns are not read.
@@ -328,7 +392,29 @@ def near_groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: in
     if not open_.isEmpty():
         rows = open_.join(sets_of(open_.select("node")), "node").select(*open_.columns, "shingles")
         more = by_part(rows).mapInArrow(_confirm_parts(percent), "u long, v long").distinct()
-        found = keep(components(links.unionByName(more)))
+        links = keep(links.unionByName(more))
+        found = keep(components(links))
+    # members of one large bucket that are in different components
+    cut = members.where("part > 0").select("bucket").distinct()
+    large = keep(split_join(members.select("bucket", "node").distinct(), cut, ["bucket"])
+                 .join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    mixed = large.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    apart = keep(split_join(large, mixed.select("bucket"), ["bucket"]).select("node", "component").distinct())
+    if not apart.isEmpty():
+        sets = sets_of(apart.select("node"))
+        counts = sets.mapInArrow(_places, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+        often = np.zeros(RARITY, np.int64)
+        often[counts["place"].to_numpy()] = counts["n"].to_numpy()
+        sizes = apart.groupBy("component").agg(F.count(F.lit(1)).alias("nodes"))
+        labels = split_join(apart, sizes, ["component"])
+        entries = keep(sets.mapInArrow(_prefixes(often, percent), "bucket long, node long, smaller boolean").join(labels, "node"))
+        rows = keep(rare_blocks(entries).join(wide.select("node", "n", "sketch"), "node")
+                    .select("bucket", "part", "node", "n", "sketch", "component"))
+        open_ = keep(by_part(rows).mapInArrow(_crossing(percent), rows.schema))
+        if not open_.isEmpty():
+            rows = open_.join(sets.join(open_.select("node").distinct(), "node"), "node").select(*open_.columns, "shingles")
+            more = by_part(rows).mapInArrow(_confirm_parts(percent), "u long, v long").distinct()
+            found = keep(components(links.unionByName(more)))
     of_node = (nodes.select("a", "b", "node", "least.id").join(found, "node", "left")
                .withColumn("component", F.coalesce("component", "node")))
     least = of_node.groupBy("component").agg(F.min("id").alias("component_id"))

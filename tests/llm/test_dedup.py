@@ -175,6 +175,32 @@ def test_large_buckets_are_cut_into_parts(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == plain_components(texts, 2, 80)[0]
 
 
+def test_pairs_within_a_template_meet_across_parts(spark, monkeypatch):
+    """Texts of one template are under the threshold, but for pairs that share a few more words."""
+    monkeypatch.setattr(near, "PART_ROWS", 2)
+    monkeypatch.setattr(near, "PIVOTS", 1)
+    template, texts = [f"t{i}" for i in range(86)], []
+    for i in range(240):
+        pair = [f"p{i // 2}x{k}" for k in range(3)] if i < 120 else [f"q{i}x{k}" for k in range(3)]
+        texts.append(" ".join(template + pair + [f"o{i}x{k}" for k in range(11)]))
+    got = {r.doc_id: r.component_id for r in near_groups(spark.createDataFrame(rows(texts), SCHEMA), 2).collect()}
+    want = plain_components(texts, 2, 80)[0]
+    assert len(set(want)) == 180 and [got[i] for i in range(len(texts))] == want
+
+
+def test_linked_sets_share_a_rare_shingle():
+    draw = np.random.default_rng(8)
+    often = draw.integers(0, 5, 64)
+    for _ in range(500):
+        base = np.unique(draw.integers(0, 1 << 60, draw.integers(4, 60), dtype=np.uint64))
+        sets = [np.unique(np.append(base[draw.random(len(base)) < 0.95], draw.integers(0, 1 << 60, draw.integers(0, 4), dtype=np.uint64)))
+                for _ in range(2)]
+        small, large = sorted(sets, key=len)
+        both = len(np.intersect1d(small, large))
+        if len(small) and 100 * both >= 80 * (len(small) + len(large) - both):
+            assert len(np.intersect1d(near.rare_prefixes(small, often, 80)[0], near.rare_prefixes(large, often, 80)[1]))
+
+
 def test_near_groups_of_awkward_rows(spark, docs):
     got = near_groups(docs).collect()
     assert len(got) == docs.count()
