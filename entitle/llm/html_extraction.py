@@ -51,24 +51,28 @@ class Block(NamedTuple):
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Text blocks of a page in order, without elements that are not the article by their kind or name. Open
-    elements are kept on a stack: a p ends where a block begins, an end tag closes all within its element."""
-    out: list[Block] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # name, label, dropped, within article or main
+    """Text blocks of a page in order, without elements that are not the article by their kind or name, unless
+    such an element holds more than half of the page's text. Open elements are kept on a stack: a p ends where
+    a block begins, an end tag closes all within its element."""
+    out: list[tuple[Block, tuple[int, ...]]] = []
+    stack: list[tuple[str, str, tuple[int, ...], bool]] = []  # name, label, marked elements around, within article or main
     held: list[str] = []
+    sizes: list[int] = []  # characters of each marked element
 
     def flush() -> None:
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             held.clear()
-            if text and not (stack and stack[-1][2]):
-                out.append(Block(tuple(s[1] for s in stack), bool(stack) and stack[-1][3], text))
+            if text:
+                marked = stack[-1][2] if stack else ()
+                for k in marked:
+                    sizes[k] += len(text)
+                out.append((Block(tuple(s[1] for s in stack), bool(stack) and stack[-1][3], text), marked))
 
     for m in TOKEN.finditer(page):
         text = m.group("text")
         if text is not None:
-            if not (stack and stack[-1][2]):
-                held.append(text)
+            held.append(text)
             continue
         name = m.group("name")
         if name is None:
@@ -108,13 +112,16 @@ def blocks_of(page: str) -> list[Block]:
                 else:
                     marks.update(PART.findall(value))
                     label += "." + value if kind.lower() == "class" else ""
-        dropped, inside = (stack[-1][2], stack[-1][3]) if stack else (False, False)
-        dropped = (dropped or hidden or name in DROPPED or role in ROLES or (name == "header" and not inside)
-                   or (name not in ("html", "body", "main") and not marks.isdisjoint(MARKS)))
+        marked, inside = (stack[-1][2], stack[-1][3]) if stack else ((), False)
         if not (rest and rest.rstrip().endswith("/") and name not in SCOPES | {"p"}):
-            stack.append((name, label, dropped, inside or name in ("article", "main") or role == "main"))
+            if (hidden or name in DROPPED or role in ROLES or (name == "header" and not inside)
+                    or (name not in ("html", "body", "main") and not marks.isdisjoint(MARKS))):
+                marked += (len(sizes),)
+                sizes.append(0)
+            stack.append((name, label, marked, inside or name in ("article", "main") or role == "main"))
     flush()
-    return out
+    total = sum(len(b.text) for b, _ in out)
+    return [b for b, marked in out if all(2 * sizes[k] > total for k in marked)]
 
 
 def _hash(*parts: str) -> int:
@@ -129,17 +136,16 @@ BRANCHES = "host string, page_key long, branch long, style long, content long"
 
 
 def _branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each branch of a page outside its landmarks: which children it has (style) and what text (content)."""
+    """Each branch of a page: which children it has (style) and what text (content)."""
     for batch in batches:
         rows: list[tuple[str, int, int, int, int]] = []
         for url, page in zip(batch.column(0), batch.column(1)):
             page, host = page.as_py() or "", host_of(url.as_py())
             parts: dict[tuple[str, ...], list[tuple[str, str]]] = {}
             for b in blocks_of(page):
-                if not b.landmark:
-                    for k in range(1, len(b.path) + 1):
-                        if b.path[k - 1] not in ("html", "body"):
-                            parts.setdefault(b.path[:k], []).append((b.path[k] if k < len(b.path) else "#text", b.text))
+                for k in range(1, len(b.path) + 1):
+                    if b.path[k - 1] not in ("html", "body"):
+                        parts.setdefault(b.path[:k], []).append((b.path[k] if k < len(b.path) else "#text", b.text))
             key = _hash(page) if parts else 0
             rows += [(host, key, _hash(*path), _hash(*(s for s, _ in v)), _hash(*(t for _, t in v))) for path, v in parts.items()]
         columns = list(zip(*rows)) if rows else [()] * 5
@@ -172,10 +178,11 @@ def _extract(columns: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
             for page, noise in zip(batch.column(0), batch.column(1)):
                 noise = set(noise.as_py() or ())
                 blocks = blocks_of(page.as_py() or "")
-                if any(b.landmark for b in blocks):
-                    blocks = [b for b in blocks if b.landmark]
-                elif noise:
+                if noise:
                     blocks = [b for b in blocks if not any(_hash(*b.path[:k]) in noise for k in range(1, len(b.path) + 1))]
+                inside = sum(len(b.text) for b in blocks if b.landmark)
+                if 2 * inside >= sum(len(b.text) for b in blocks):
+                    blocks = [b for b in blocks if b.landmark]
                 texts.append("\n".join(b.text for b in blocks))
             yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(texts, pa.string())],
                                              [*batch.schema.names[2:], "text"])
@@ -186,10 +193,11 @@ def main_text(pages: DataFrame) -> DataFrame:
     """One row per row of ``pages``: page_id, url, text, n_chars.
 
     Scripts, styles, forms, menus, headers, footers, sidebars, notices, adverts and reader comments are
-    known by tag, role or the words of their class or id. Of what is left, a page's article or main element
-    is its text; where it has none, branches that the site style tree finds of little importance
-    (``noise_branches``) are removed from the page. References are decoded, white space in a block is one
-    space, blocks are lines.
+    known by tag, role or the words of their class or id; an element with more than half of a page's text is
+    none of them. Of what is left, branches that the site style tree finds of little importance
+    (``noise_branches``) are removed from every page, within its article or main element too. That element
+    is the text then if it has half of what remains at least; otherwise all of it stays. References are
+    decoded, white space in a block is one space, blocks are lines.
 
     A null html gives an empty text, a null url belongs to a site of its own; repeated rows give repeated results;
     a very long page is handled in one task. An empty table gives no rows; other columns are not read. Sites

@@ -77,6 +77,17 @@ def test_style_tree_removes_what_all_pages_of_a_site_show(spark):
     assert all(r.n_chars == len(r.text) for r in got)
 
 
+def test_style_tree_decides_within_landmarks_too(spark):
+    """Boilerplate of a neutral class in the article goes; text outside a small landmark, or in a marked element, stays."""
+    some = [(i, f"http://a.example.org/{i}", f"<article><div class='x1'>Read on our site</div><p>Text {i} of its own</p></article><div>Side {i}</div>")
+            for i in range(12)]
+    some += [(20, "http://b.example.org/", "<main>Hello</main><div class='text'><p>All of the long text of this page</p></div>"),
+             (21, "http://c.example.org/", "<div class='promotion'><p>All of the long text</p><nav>Menu</nav></div><p>End</p><div class='ad'>Buy</div>")]
+    texts = {r.page_id: r.text for r in main_text(spark.createDataFrame(some, PAGES)).collect()}
+    assert all(texts[i] == f"Text {i} of its own" for i in range(12))
+    assert texts[20] == "Hello\nAll of the long text of this page" and texts[21] == "All of the long text\nEnd"
+
+
 def test_small_sites_and_large_noise_tables(spark, monkeypatch):
     few = main_text(spark.createDataFrame(pages(5)[:5], PAGES)).collect()
     assert {r.text for r in few} == {f"Welcome all\nText {i} of its own\nMore {i * 7}\nImprint" for i in range(5)}
