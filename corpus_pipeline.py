@@ -15,7 +15,7 @@ from entitle.llm.shared import keep, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are not depleted of common lines."""
+    """Documents that pass the base rules and are not depleted of common lines, without those lines."""
     return quality_filter(docs)
 
 

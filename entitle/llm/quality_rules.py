@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from entitle.llm.kernels import BASES, BYTE, Rolling, SPACE, mix, text_slices, words
-from entitle.llm.shared import WORD, doc_id, keep, keyed, rows_of, split_join, table
+from entitle.llm.shared import WORD, doc_id, keep, keyed, packed, split_join, table
 
 #: A line goes if it stands in more documents of its host than both of these allow.
 LINE_DOCS, LINE_SHARE = 20, 0.05
@@ -18,6 +20,7 @@ LINE_DOCS, LINE_SHARE = 20, 0.05
 LEFT_SHARE = 0.5
 #: Fixed by the query's contract.
 MIN_WORDS, REPEAT_PERCENT = 50, 50
+FULL = re.compile(WORD)
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -82,21 +85,14 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ["id", "text_key", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"])
 
 
-def quality(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE,
-            left_share: float = LEFT_SHARE) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, n_common_words, kept, and id and text_key to find its row by.
+def _host(column: str):
+    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit("-")).alias("host")
 
-    Lines are hashed by their sequence of words, so white space does not matter, and counted once per
-    distinct text and host: exact copies are one document here, their removal is dedup's work. A line in more than ``line_docs`` documents and more than ``line_share`` of the
-    documents of its host is common; its words (``n_common_words``) go. A document with less than
-    ``left_share`` of its words left is depleted and rejected, as one that fails the base rules is.
 
-    A null text has no words and fails; a null host is a host of its own; rows with one id are judged each; a long text is measured in its task. An empty table gives no rows. Other
-    columns are not read. Counts are aggregated in the tasks before the shuffle, and the rows to
-    be judged are found by the common lines alone, so no group gathers in one task.
-    """
-    rows = keyed(docs, F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit("-")).alias("host"))
+def _judged(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE,
+            left_share: float = LEFT_SHARE) -> DataFrame:
+    """The rows of ``quality`` with host and common, the hashes of their common lines or null."""
+    rows = keyed(docs, _host(host))
     lines = keep(rows.select("id", "text_key", "host", "text").mapInArrow(_measure, MEASURES)
                  .withColumn("row_id", F.monotonically_increasing_id()))
     texts = lines.groupBy("host", "text_key").agg(F.any_value("lines").alias("lines"))
@@ -105,19 +101,74 @@ def quality(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, l
     common = (texts.select("host", F.explode("lines.line").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > line_docs)
               .join(hosts, "host").where(F.col("n") > F.col("host_docs") * line_share).select("host", "line"))
     depleted = (split_join(each, common, ["host", "line"]).groupBy("row_id")
-                .agg(F.sum("words").cast("long").alias("n_common_words")))
+                .agg(F.sum("words").cast("long").alias("n_common_words"), F.collect_list("line").alias("common")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     left = F.col("n_words") - F.col("n_common_words")
-    return (lines.drop("lines", "host").join(depleted, "row_id", "left")
+    return (lines.drop("lines").join(depleted, "row_id", "left")
             .withColumns({"n_common_words": F.coalesce("n_common_words", F.lit(0).cast("long")), "base_failed": failed})
-            .withColumn("kept", ~F.col("base_failed") & (left >= F.col("n_words") * left_share))
-            .select(doc_id(), *BASE, "n_common_words", "kept", "id", "text_key"))
+            .withColumn("kept", ~F.col("base_failed") & (left >= F.col("n_words") * left_share)))
 
 
-def quality_filter(docs: DataFrame, **limits) -> DataFrame:
-    """``docs`` without the rejected rows; all columns in their order. Same cases as ``quality``."""
-    rejected = quality(docs, **limits).where("NOT kept").select("id", "text_key").distinct()
-    return rows_of(docs, rejected, "left_anti")
+def quality(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE,
+            left_share: float = LEFT_SHARE) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    base_failed, n_common_words, kept, and id and text_key to find its row by.
+
+    Lines are hashed by their sequence of words, so white space does not matter, and counted once per
+    distinct text and host: exact copies are one document here, their removal is dedup's work. A line in more than ``line_docs`` documents and more than ``line_share`` of the
+    documents of its host is common; its words (``n_common_words``) do not count as left, and ``quality_filter``
+    removes it. A document with less than
+    ``left_share`` of its words left is depleted and rejected, as one that fails the base rules is.
+
+    A null text has no words and fails; a null host is a host of its own; rows with one id are judged each; a long text is measured in its task. An empty table gives no rows. Other
+    columns are not read. Counts are aggregated in the tasks before the shuffle, and the rows to
+    be judged are found by the common lines alone, so no group gathers in one task.
+    """
+    judged = _judged(docs, host, line_docs, line_share, left_share)
+    return judged.select(doc_id(), *BASE, "n_common_words", "kept", "id", "text_key")
+
+
+def _without_lines(schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (common, ...) without common; lines whose hashes it has are taken out of their text, and n_chars follows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns, common = list(batch.columns[1:]), batch.column(0)
+            at = np.flatnonzero(common.is_valid().to_numpy(zero_copy_only=False))
+            if len(at):
+                where = schema.get_field_index("text")
+                texts = columns[where].to_pylist()
+                for i, j, data, offsets in text_slices(columns[where].take(pa.array(at))):
+                    w = words(data, offsets)
+                    rolling = Rolling(w.hashes(data), BASES[1])
+                    for k in range(i, j):
+                        gone, lines, low = set(common[int(at[k])].as_py()), texts[at[k]].split("\n"), int(w.first[k - i])
+                        high = low + np.cumsum([len(FULL.findall(x)) for x in lines])
+                        starts = np.concatenate([[low], high[:-1]])
+                        full = np.flatnonzero(high > starts)
+                        found = rolling.spans(starts[full], high[full]).view(np.int64).tolist()
+                        out = {x for x, line in zip(full.tolist(), found) if line in gone}
+                        texts[at[k]] = "\n".join(x for n, x in enumerate(lines) if n not in out)
+                columns[where] = pa.array(texts, schema.field(where).type)
+                size = schema.get_field_index("n_chars")
+                if size >= 0 and pa.types.is_integer(schema.field(size).type):
+                    sizes = columns[size].to_pylist()
+                    for k in at.tolist():
+                        sizes[k] = len(texts[k])
+                    columns[size] = pa.array(sizes, schema.field(size).type)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[1:])
+    return run
+
+
+def quality_filter(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
+    """``docs`` without the rejected rows, and without the common lines of those that stay: their ``text`` has its
+    other lines as they were, ``n_chars`` (if there is one) counts them. All columns in their order. Same
+    cases as ``quality``; rows that share id and text stay if each of them does."""
+    noted = _judged(docs, host, **limits).where("NOT kept OR common IS NOT NULL").select("id", "text_key", "host", "kept", "common")
+    notes = noted.groupBy("id", "text_key").agg(
+        F.min("kept").alias("kept"), F.map_from_entries(F.collect_set(F.struct("host", F.sort_array("common")))).alias("of_host"))
+    found = (packed(docs, _host(host)).join(notes, ["id", "text_key"], "left").where("coalesce(kept, true)")
+             .select(F.try_element_at("of_host", F.col("host")).alias("common"), "row.*"))
+    return found.mapInArrow(_without_lines(to_arrow_schema(docs.schema)), docs.schema)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,6 +53,17 @@ def test_quality_filter_keeps_rows_whole(spark, docs):
     assert got.columns == docs.columns and got.count() == quality(docs).where("kept").count()
 
 
+def test_quality_filter_removes_common_lines(spark):
+    own = [[" ".join(f"u{i}x{k}é{part}" for k in range(40)) for part in "ab"] for i in range(30)]
+    texts = [f"{a}\n \nthe  menu of all\r\n{b}\nthe menu\tof all" for a, b in own]
+    texts += ["\n".join(own[0]) + "\nthe menu of all\n", "\n".join(own[1])]
+    sources = ["s"] * 30 + ["t", "s"]
+    got = {r.doc_id: r for r in quality_filter(spark.createDataFrame(rows(texts, sources=sources), SCHEMA)).collect()}
+    assert all(got[i].text == f"{a}\n \n{b}" for i, (a, b) in enumerate(own))
+    assert got[30].text == texts[30] and got[31].text == texts[31]  # not common in its source; without the line
+    assert all(r.n_chars == len(r.text) and (r.id, r._bit) == ("x", 2) for r in got.values())
+
+
 def plain_targets(sizes):
     weights = {s: (3, 1, 2)[i % 3] for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, (s or "").encode())))}
     target, total, free = {}, 1.5 * sum(sizes.values()), set(sizes)
