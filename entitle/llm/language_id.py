@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entitle.llm.html_extraction import blocks_of, host_of
+from entitle.llm.html_extraction import TOKEN, blocks_of, host_of
 from entitle.llm.kernels import LOWER, mix, text_slices
 from entitle.llm.shared import keep, small_batches, table
 
@@ -25,7 +25,19 @@ TEMPER, MOST_GRAMS = 0.25, 400
 PRIOR_PAGES = 5.0
 #: Counts added to each value of a declared language or suffix.
 SMOOTH = 0.5
-DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([a-zA-Z]{2,3})\b", re.I)
+HTML_TAG = re.compile(r"<html\b", re.I)
+DECLARED = re.compile(r"\blang\s*=\s*[\"']?([a-zA-Z]{2,3})\b", re.I)
+
+
+def declared_language(page: str) -> str:
+    """Language of the first html tag that has one, wherever it stands outside comments and scripts; else ''."""
+    if HTML_TAG.search(page):
+        for m in TOKEN.finditer(page):
+            if (m.group("name") or "").lower() == "html" and not m.group("end"):
+                found = DECLARED.search(m.group("rest"))
+                if found:
+                    return found.group(1).lower()
+    return ""
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
@@ -90,9 +102,8 @@ def _evidence(model: np.ndarray, plain: bool) -> Callable[[Iterator[pa.RecordBat
                 for i in range(0, len(at), 1 << 16):
                     total += by_bucket[at[i:i + (1 << 16)]].sum(axis=0, dtype=np.float64)
                 weight = TEMPER * min(1.0, MOST_GRAMS / max(1, len(at)))
-                found = None if plain else DECLARED.search(page[:4096])
                 for column, value in zip(rows, (row_id.as_py(), url.as_py(), host, ".".join(labels[-2:]), "" if plain else labels[-1],
-                                                found.group(1).lower() if found else "", len(text), (total * weight).tolist())):
+                                                "" if plain else declared_language(page), len(text), (total * weight).tolist())):
                     column.append(value)
             kinds = [pa.int64(), *[pa.string()] * 5, pa.int64(), pa.list_(pa.float64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], EVIDENCE_NAMES)
