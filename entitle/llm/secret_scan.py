@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from entitle.llm.shared import keep, table
 
-#: A candidate: so many characters of keys, hashes and numbers, one of them a digit at least.
+#: A candidate: so many characters of keys, hashes and numbers.
 CANDIDATE = r"[A-Za-z0-9+/_=\-]{16,}"
 LEAST_CHARS = 16
 #: Words of so many documents at least are the dictionary.
@@ -20,6 +20,10 @@ TRAIN_ROWS = 20_000
 TREES, DEPTH, THRESHOLD, SEED = 20, 6, 0.5, 7
 #: Names that stand before a credential.
 NAMES = r"(?i)(token|secret|passw|pwd|api|auth|key|credential|private|bearer)"
+#: A candidate too: what is quoted after such a name or assigned to it, of 8 characters or more; its closing quote may follow.
+VALUE = NAMES + (r"[\w.\-]*[\"'`\]]*(?:\s*(?::=|=>|[=:])\s*|\s+(?=[\"'`]))[\"'`]?"
+                 r"((?<=\")[^\"\s][^\"\n]{7,}(?=\")|(?<=')[^'\s][^'\n]{7,}(?=')|(?<=`)[^`\s][^`\n]{7,}(?=`)|[^\s\"'`]{7,}[^\s\"'`,;])[\"'`]?")
+BLANKS = r"[\x20\x09-\x0D]+"
 FEATURES = ("length", "digit_share", "upper_share", "changes", "variety", "transition", "coverage", "path", "quoted",
             "assigned", "named", "plain_before")
 
@@ -47,15 +51,28 @@ def transitions(words: DataFrame) -> DataFrame:
 
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, position, word, candidate, before, after): every candidate of every whole text with the words around it."""
-    words = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+").alias("w"))
+    text = F.coalesce("text", F.lit(""))
+    words = docs.select("doc_id", text.alias("t"), F.split(text, BLANKS).alias("w"))
     hit = lambda i: (F.char_length(F.get("w", i)) >= LEAST_CHARS) & F.rlike(F.get("w", i), F.lit(CANDIDATE))
-    found = words.withColumn("at", F.explode(F.filter(F.sequence(F.lit(0), F.size("w") - 1), hit)))
-    rows = found.select(
+    at = lambda i, c: F.struct(i.cast("int").alias("at"), c.alias("candidate"))
+    runs = F.flatten(F.transform(F.filter(F.sequence(F.lit(0), F.size("w") - 1), hit), lambda i: F.transform(
+        F.regexp_extract_all(F.get("w", i), F.lit(CANDIDATE), F.lit(0)), lambda c: at(i, c))))
+    # the matches in order, each with the place where it ends, so that equal ones are told apart
+    matches = F.arrays_zip(F.regexp_extract_all("t", F.lit(VALUE), F.lit(0)).alias("m"), F.regexp_extract_all("t", F.lit(VALUE), F.lit(2)).alias("v"))
+    start = F.struct(F.lit(1).alias("end"), F.array().cast("array<struct<at:int,candidate:string>>").alias("found"))
+
+    def step(held: Column, x: Column) -> Column:
+        end = F.call_function("locate", x["m"], F.col("t"), held["end"]) + F.char_length(x["m"])
+        first = end - F.rlike(x["m"], F.lit("[\"'`]$")).cast("int") - F.char_length(x["v"])
+        before = F.size(F.split(F.substring(F.col("t"), F.lit(1), first), BLANKS)) - 1
+        return F.struct(end.alias("end"), F.concat(held["found"], F.array(at(before, x["v"]))).alias("found"))
+
+    found = (words.withColumns({"runs": runs, "values": F.aggregate(matches, start, step)["found"]})
+             .withColumn("c", F.explode(F.array_union("runs", "values"))).withColumns({"at": F.col("c.at"), "candidate": F.col("c.candidate")}))
+    return found.select(
         "doc_id", F.col("at").alias("position"), F.get("w", "at").alias("word"),
         F.array_join(F.slice("w", F.greatest(F.col("at") - 1, F.lit(1)), F.least(F.col("at"), F.lit(2))), " ").alias("before"),
-        F.array_join(F.slice("w", F.col("at") + 2, 2), " ").alias("after"))
-    return (rows.withColumn("candidate", F.explode(F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0))))
-            .where(F.rlike("candidate", F.lit("[0-9]"))))
+        F.array_join(F.slice("w", F.col("at") + 2, 2), " ").alias("after"), "candidate")
 
 
 def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
@@ -73,7 +90,7 @@ def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
     runs = rows.select("id", F.explode(F.regexp_extract_all(F.lower("candidate"), F.lit(r"[a-z]{3,20}"), F.lit(0))).alias("word"))
     known = runs.join(words.select("word"), "word").groupBy("id").agg(F.sum(F.char_length("word")).alias("known"))
     around = F.concat_ws(" ", "before", "word")
-    ahead = F.regexp_extract("word", r"^(.*?)[A-Za-z0-9+/_=\-]{16,}", 1)
+    ahead = F.call_function("substring_index", F.col("word"), F.regexp_extract("candidate", r"^[^\x20\x09-\x0D]+", 0), F.lit(1))
     return (rows.join(known, "id", "left").select(
         "doc_id", "position", "candidate", "word", "before", "after", "transition",
         size.cast("double").alias("length"), share("[0-9]").alias("digit_share"), share("[A-Z]").alias("upper_share"),
@@ -90,9 +107,12 @@ def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
 
 def weak_labels() -> Column:
     """Labels for findings where none are given: 1 for a mixed string that is assigned to a credential's name, 0
-    for numbers, paths, addresses and dictionary words, null for what neither rule is sure of."""
+    for numbers, paths, addresses and dictionary words, null for what neither rule is sure of, as words that
+    are assigned to such a name."""
     mixed = (F.col("digit_share") > 0.1) & (F.col("digit_share") < 0.95) & (F.col("coverage") < 0.3)
-    return (F.when((F.col("assigned") == 1) & (F.col("named") == 1) & mixed, 1.0)
+    given = (F.col("assigned") == 1) & (F.col("named") == 1)
+    return (F.when(given & mixed, 1.0)
+            .when(given & (F.col("digit_share") < 0.95) & (F.col("path") == 0), None)
             .when((F.col("digit_share") >= 0.95) | (F.col("path") == 1) | (F.col("coverage") >= 0.5), 0.0))
 
 

@@ -156,6 +156,18 @@ def test_secrets(spark):
     assert next(r.position for r in got if r.candidate == keys[0]) == 5
 
 
+def test_secrets_without_digits_and_short_passwords(spark):
+    texts, _ = secret_rows()
+    hidden = ["QwErTzXcVbNmLkJhGfDs", "correct-horse-battery-staple", "p@ss!w0rd#1", "x9$kL!m2", "two words here"]
+    texts += [f'first token = "{hidden[0]}" end', f"password: '{hidden[1]}'", f"a DB_PASSWORD={hidden[2]}; b", f'{{"pwd": "{hidden[3]}"}}',
+              f'the secret = "{hidden[4]}" and secret = "{hidden[4]}"', "a plainlongwordwithoutanydigit here"]
+    got = scan(spark.createDataFrame(rows(texts), SCHEMA)).where(f"doc_id >= {len(texts) - 6}").collect()
+    found = {(r.doc_id - len(texts) + 6, r.position, r.candidate) for r in got}
+    assert {(0, 3, hidden[0]), (1, 1, hidden[1]), (2, 1, hidden[2]), (3, 1, hidden[3]), (4, 3, hidden[4]), (4, 9, hidden[4])} <= found
+    assert any(r.candidate == "plainlongwordwithoutanydigit" for r in got)
+    assert all(r.is_secret for r in got if r.candidate in hidden[:4])
+
+
 def test_secrets_held_out(spark):
     """The forest judges strings without a credential's name by their shape and surroundings."""
     texts, _ = secret_rows()
