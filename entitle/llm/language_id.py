@@ -14,7 +14,8 @@ from entitle.llm.html_extraction import TOKEN, blocks_of, host_of
 from entitle.llm.kernels import LOWER, mix, text_slices
 from entitle.llm.shared import keep, small_batches, table
 
-#: Labelled documents that the text model is fitted on, about; chosen by a hash of their id.
+#: Labelled documents that the text model is fitted on, about, the same number of each language; chosen by a
+#: hash of their id.
 SAMPLE_DOCS = 4000
 #: Buckets that grams of four bytes are hashed to.
 BUCKETS = 1 << 16
@@ -72,9 +73,12 @@ Fitted = tuple[list[str], np.ndarray]
 def text_model(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Fitted:
     """Languages and, by language and bucket, log likelihoods; BUCKETS numbers a language reach the driver."""
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
-    n = max(1, rows.count())
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(max(1, sample_docs * (1 << 30) // n))
-    counts = (rows.where(share).select("lang", "text").mapInArrow(_counts, "lang string, bucket long, n long")
+    # each language has an equal share of the sample, and its row of the least hash at least
+    rows = rows.withColumn("draw", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("draw").alias("least"))
+    each = F.lit(float(sample_docs)) / F.lit(max(1, rows.select("lang").distinct().count()))
+    bounds = sizes.select("lang", F.greatest(F.col("least"), F.floor(each * F.lit(1 << 30) / F.col("n"))).alias("bound"))
+    counts = (rows.join(F.broadcast(bounds), "lang").where("draw <= bound").select("lang", "text").mapInArrow(_counts, "lang string, bucket long, n long")
               .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas())
     langs = sorted(counts["lang"].unique())
     table_ = np.full((len(langs), BUCKETS), 0.5)

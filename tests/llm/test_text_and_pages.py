@@ -7,7 +7,7 @@ from llm_helpers import SCHEMA, awkward, rows
 from pyspark.sql import functions as F
 
 from entitle.llm.html_extraction import blocks_of, main_text
-from entitle.llm.language_id import declared_language, identify, identify_documents
+from entitle.llm.language_id import declared_language, identify, identify_documents, text_model
 from entitle.llm.pieces import MODEL, decode, encode, load
 from entitle.llm.secret_scan import scan, with_features
 
@@ -125,6 +125,11 @@ def test_other_evidence_decides_where_text_does_not(spark):
     assert all(0 < r.probability <= 1 for r in got.values())
 
 
+def test_rare_languages_are_in_the_model(spark):
+    rows_ = [(i, f"some words {i}", "en") for i in range(3000)] + [(5000 + i, "ein paar", "de") for i in range(2)] + [(6000, "mots", "fr")]
+    assert text_model(spark.createDataFrame(rows_, "doc_id long, text string, lang string"), 40)[0] == ["de", "en", "fr"]
+
+
 def test_declared_language_is_found_anywhere():
     assert declared_language("<!-- <html lang=de> " + "x" * 5000 + " -->\n<HTML class='a>b' lang='FR-be'>") == "fr"
     assert declared_language(f"<html data-x='{'y' * 9000}' lang=es>") == "es"
