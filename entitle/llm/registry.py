@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from entitle.llm import (
-    exact_dedup, html_extraction, language_id, mixing, near_dedup, pieces, quality_rules, secret_scan, substring_dedup,
-    suffix_dedup,
+    decontamination, exact_dedup, html_extraction, language_id, mixing, near_dedup, pieces, quality_rules, secret_scan,
+    substring_dedup, suffix_dedup, whitening,
 )
 
 QUERIES = {
@@ -18,6 +18,8 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8,
     "op9_main_text": html_extraction.op9,
     "op10_suffix_dedup": suffix_dedup.op10,
+    "op12_decontamination": decontamination.op12,
+    "op13_whitening": whitening.op13,
 }
 ORACLES = {
     "op1_substring_dedup": substring_dedup.OP1_SQL,
@@ -25,4 +27,5 @@ ORACLES = {
     "op7_near_dedup": near_dedup.OP7_SQL,
     "op8_quality_rules": quality_rules.OP8_SQL,
     "op10_suffix_dedup": suffix_dedup.OP10_SQL,
+    "op12_decontamination": decontamination.OP12_SQL,
 }
