@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from entitle.llm import (
-    decontamination, exact_dedup, html_extraction, language_id, mixing, near_dedup, pieces, quality_rules, secret_scan,
-    substring_dedup, suffix_dedup, whitening,
+    conversation_repair, decontamination, exact_dedup, html_extraction, language_id, mixing, near_dedup, pieces, quality_rules,
+    secret_scan, substring_dedup, suffix_dedup, whitening,
 )
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8,
     "op9_main_text": html_extraction.op9,
     "op10_suffix_dedup": suffix_dedup.op10,
+    "op11_conversation_repair": conversation_repair.op11,
     "op12_decontamination": decontamination.op12,
     "op13_whitening": whitening.op13,
 }
@@ -27,5 +28,6 @@ ORACLES = {
     "op7_near_dedup": near_dedup.OP7_SQL,
     "op8_quality_rules": quality_rules.OP8_SQL,
     "op10_suffix_dedup": suffix_dedup.OP10_SQL,
+    "op11_conversation_repair": conversation_repair.OP11_SQL,
     "op12_decontamination": decontamination.OP12_SQL,
 }
