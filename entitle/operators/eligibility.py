@@ -81,16 +81,25 @@ def score_pairs(pairs: DataFrame, profiles: DataFrame, rules: DataFrame) -> Data
     )
 
 
+def _shaped(rules: DataFrame) -> DataFrame:
+    return rules.withColumn("shape", F.md5(F.to_json(F.struct(*SHAPE))))
+
+
+def shapes_of_rules(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct rule contents (prefixed), and the shape of every programme by position."""
+    keyed = _shaped(rules)
+    shapes = keyed.groupBy("shape").agg(F.min("pos").alias("first_pos"), *[F.first(c).alias(c) for c in SHAPE])
+    return prefixed(shapes), keyed.select("pos", F.col("shape").alias("r_shape"))
+
+
 def rule_shapes(rules: DataFrame, members: int) -> tuple[DataFrame, DataFrame]:
     """Distinct rule contents, and for each the first ``members`` programmes in catalogue order.
 
     Programmes with equal rules score alike for everyone, so a top-n needs no more of them.
     """
-    keyed = rules.withColumn("shape", F.md5(F.to_json(F.struct(*SHAPE))))
-    shapes = keyed.groupBy("shape").agg(F.min("pos").alias("first_pos"),
-                                        *[F.first(c).alias(c) for c in SHAPE])
+    keyed, (shapes, _) = _shaped(rules), shapes_of_rules(rules)
     listed = top_ranked(keyed.select("shape", "id", "pos"), ["shape"], [F.col("pos")], members)
-    return prefixed(shapes), listed.select(F.col("shape").alias("r_shape"), F.col("id").alias("scheme_id"), "pos")
+    return shapes, listed.select(F.col("shape").alias("r_shape"), F.col("id").alias("scheme_id"), "pos")
 
 
 def profile_classes(profiles: DataFrame, shapes: DataFrame) -> tuple[DataFrame, DataFrame]:

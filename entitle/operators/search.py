@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from entitle.functions import scoring as S
 from entitle.functions.strings import words
-from entitle.operators import tfidf
-from entitle.operators.eligibility import by_user, prefixed, top_ranked
+from entitle.operators import bounds, tfidf
+from entitle.operators.eligibility import by_user, prefixed, shapes_of_rules, top_ranked
 from entitle.operators.joins import small_or_split_join, spread, substring_link
 from entitle.operators.rules import with_criteria
 from entitle.schema import EMBEDDING_DIM
@@ -27,8 +27,10 @@ LIBRARY_THRESHOLD = 0.3
 API_THRESHOLD = 0.1
 SIMILAR_THRESHOLD = 0.4
 SEMANTIC_SHARE, FIT_SHARE = 0.7, 0.3
-DIGITS = 4
+DIGITS = bounds.DIGITS
 BLOCK_ROWS = 2000
+#: So many times k of a query's first matches are scored to find out what has to be beaten.
+FIRST = 12
 MENTION_LENGTH = 10
 
 
@@ -62,7 +64,8 @@ def search(queries: DataFrame, docs: DataFrame, vocabulary: DataFrame, k: int =
            postings: DataFrame | None = None) -> DataFrame:
     """Top-k documents per query by similarity; ties in ``order`` (the id by default).
 
-    ``postings`` of an index spare the texts; ``docs`` is then read for the filter and the order only."""
+    ``postings`` of an index spare the texts; ``docs`` is then read for the filter and the order only. One pass
+    over the postings: texts of many terms leave the bounds of ``bounds`` little to spare."""
     if item_filter is not None:
         docs = docs.where(item_filter)
         if postings is not None:
@@ -75,17 +78,18 @@ def search(queries: DataFrame, docs: DataFrame, vocabulary: DataFrame, k: int =
     return top_ranked(found, ["query_id"], [F.desc("similarity"), F.col(order or item_id)], k)
 
 
-def _scheme_matches(queries: DataFrame, catalogue: DataFrame, index: tfidf.Index, threshold: float,
-                    filtered: bool = False) -> DataFrame:
-    """(query_id, pos, similarity); the numeric position stands for the programme until the end."""
-    postings = index.postings.join(catalogue.select("pos"), "pos", "left_semi") if filtered else index.postings
-    return similarities(query_vectors(queries, index.vocabulary), postings, threshold, "pos")
+def _best_schemes(queries: DataFrame, index: tfidf.Index, impacts: bounds.Impacts | None, k: int, threshold: float,
+                  rank: str = "rank") -> DataFrame:
+    """(query_id, pos, similarity, rank); the numeric position stands for the programme until the end."""
+    impacts = impacts or bounds.build_impacts(index.postings, "pos")
+    return (bounds.best(query_vectors(queries, index.vocabulary), impacts, k, threshold)
+            .withColumnRenamed("item", "pos").withColumnRenamed("rank", rank))
 
 
-def _combined(matches: DataFrame, profiles: DataFrame, rules: DataFrame) -> DataFrame:
+def _combined(matches: DataFrame, profiles: DataFrame, rules: DataFrame, key: str) -> DataFrame:
+    """``matches`` with the match score of the query's user under the rule that ``key`` names, and both scores combined."""
     users = S.with_user_keys(profiles).withColumnRenamed("user_id", "query_id")
-    by_pos = prefixed(rules).withColumnRenamed("r_pos", "pos")
-    scored = small_or_split_join(matches.join(users, "query_id"), by_pos, ["pos"], "query_id")
+    scored = small_or_split_join(matches.join(users, "query_id"), rules, [key], "query_id")
     both = (F.col("similarity") * 100 + F.col("match_score")) / 2
     return (scored.select(*matches.columns, S.strict_score().alias("match_score"))
             .withColumn("combined", F.round(both, 3)))
@@ -96,24 +100,50 @@ def _named(ranked: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 
 def search_batch(queries: DataFrame, catalogue: DataFrame, index: tfidf.Index, profiles: DataFrame,
-                 rules: DataFrame, k: int = 5, threshold: float = LIBRARY_THRESHOLD) -> DataFrame:
+                 rules: DataFrame, k: int = 5, threshold: float = LIBRARY_THRESHOLD,
+                 impacts: bounds.Impacts | None = None) -> DataFrame:
     """Top-k by similarity; the combined score of the query's user is attached, order unchanged."""
-    matches = _scheme_matches(queries, catalogue, index, threshold)
-    best = top_ranked(matches, ["query_id"], [F.desc("similarity"), F.col("pos")], k)
-    return _named(_combined(best, profiles, rules), catalogue)
+    best = _best_schemes(queries, index, impacts, k, threshold)
+    return _named(_combined(best, profiles, prefixed(rules).withColumnRenamed("r_pos", "pos"), "pos"), catalogue)
 
 
 def search_combined(queries: DataFrame, catalogue: DataFrame, index: tfidf.Index, profiles: DataFrame,
                     rules: DataFrame, k: int = 5, threshold: float = API_THRESHOLD,
-                    category: str | None = None, state: str | None = None) -> DataFrame:
-    """Everything at or above the threshold is combined with the user's match score, then cut to k."""
-    if category:
-        catalogue = catalogue.where(F.col("category") == category)
-    if state:
-        catalogue = catalogue.where(F.col("state") == state)
-    matches = _scheme_matches(queries, catalogue, index, threshold, bool(category or state))
-    combined = _combined(matches, profiles, rules)
-    return _named(top_ranked(combined, ["query_id"], [F.desc("combined"), F.col("pos")], k), catalogue)
+                    category: str | None = None, state: str | None = None,
+                    impacts: bounds.Impacts | None = None) -> DataFrame:
+    """Everything at or above the threshold is combined with the user's match score, then cut to k.
+
+    Programmes with one text vector and one rule shape are a cell: they have one similarity and one match score,
+    so only a cell's first k programmes can be in a result. The heaviest postings of the query's terms give k
+    combined scores at once. An item that is to beat the k-th needs, as its match score is 100 at most, a
+    similarity of (2 * that score - 100) / 100; ``bounds.above`` finds those alone. Of these only the k most
+    similar cells of each (query, shape) are scored. ``impacts`` takes the stored tables of the index.
+    """
+    impacts = impacts or bounds.build_impacts(index.postings, "pos")
+    terms = truncate_lineage(query_vectors(queries, index.vocabulary))
+    if category or state:
+        chosen = catalogue
+        for column, value in (("category", category), ("state", state)):
+            chosen = chosen.where(F.col(column) == value) if value else chosen
+        impacts = bounds.restricted(impacts, chosen.select(F.col("pos").alias("item")))
+    shapes, shape_of = (truncate_lineage(x) for x in shapes_of_rules(rules))
+    listed = impacts.members.withColumnRenamed("item", "pos").join(shape_of, "pos")
+    listed = truncate_lineage(top_ranked(listed, ["vec", "r_shape"], [F.col("pos")], k, "_place"))
+    cells = listed.where("_place = 1").select("vec", "r_shape", F.col("pos").alias("first_pos"))
+
+    def scored(found: DataFrame) -> DataFrame:
+        pairs = by_user(found.where(F.col("similarity") >= threshold), "query_id").join(cells, "vec")
+        pairs = top_ranked(pairs, ["query_id", "r_shape"], [F.desc("similarity"), F.col("first_pos")], k, "_s").drop("_s")
+        best = top_ranked(_combined(pairs, profiles, shapes, "r_shape"), ["query_id"], [F.desc("combined"), F.col("first_pos")], k, "_c")
+        items = best.select("query_id", "vec", "r_shape", "similarity", "match_score", "combined").join(
+            listed.select("vec", "r_shape", "pos"), ["vec", "r_shape"])
+        return top_ranked(items, ["query_id"], [F.desc("combined"), F.col("pos")], k)
+
+    kth = scored(bounds.first_matches(terms, impacts, FIRST * k)).where(F.col("rank") == k)
+    floor = F.greatest(F.coalesce((2 * F.col("combined") - 100) / 100, F.lit(0.0)), F.lit(float(threshold)))
+    floors = truncate_lineage(terms.select("query_id").distinct().join(kth.select("query_id", "combined"), "query_id", "left")
+                              .select("query_id", floor.alias("floor")))
+    return _named(scored(bounds.above(terms, floors, impacts)).drop("vec", "r_shape"), catalogue)
 
 
 def _matrix(pdf: pd.DataFrame, dim: int) -> np.ndarray:
@@ -243,11 +273,9 @@ def soft_fit_pairs(pairs: DataFrame, profiles: DataFrame, catalogue: DataFrame)
 def two_stage_search(queries: DataFrame, catalogue: DataFrame, index: tfidf.Index, profiles: DataFrame | None,
                      k: int = 5, threshold: float = LIBRARY_THRESHOLD) -> DataFrame:
     """The best 2k by similarity, re-ranked by 0.7 similarity + 0.3 soft fit, cut to k."""
-    matches = _scheme_matches(queries, catalogue, index, threshold)
-    order = [F.desc("similarity"), F.col("pos")]
     if profiles is None:
-        return _named(top_ranked(matches, ["query_id"], order, k), catalogue)
-    first = _named(top_ranked(matches, ["query_id"], order, 2 * k, "first_rank"), catalogue)
+        return _named(_best_schemes(queries, index, None, k, threshold), catalogue)
+    first = _named(_best_schemes(queries, index, None, 2 * k, threshold, "first_rank"), catalogue)
     fitted = soft_fit_pairs(first.withColumn("user_id", F.col("query_id")), profiles, catalogue)
     combined = F.round(F.col("similarity") * SEMANTIC_SHARE + F.col("fit") * FIT_SHARE, 5)
     return top_ranked(fitted.withColumn("combined", combined), ["query_id"],
