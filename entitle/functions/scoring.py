@@ -182,9 +182,9 @@ def jurisdiction_ok() -> Column:
     return is_central() | (F.lower("r_state") == c("u_state"))
 
 
-def lenient_ok() -> Column:
-    return (lenient_age_ok() & (c("income") <= c("r_max_income")) & lenient_category_ok()
-            & lenient_occupation_ok() & jurisdiction_ok())
+def lenient_core_ok() -> Column:
+    """All hard criteria but the place."""
+    return lenient_age_ok() & (c("income") <= c("r_max_income")) & lenient_category_ok() & lenient_occupation_ok()
 
 
 def lenient_score() -> Column:

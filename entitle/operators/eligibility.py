@@ -6,6 +6,9 @@ criterion is a rule row under the key ``*``; every profile also carries that key
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 from entitle.functions import scoring as S
 from entitle.operators.joins import small_or_split_join, substring_link
 from entitle.schema import ELIGIBLE_SCORE, RECOMMEND_SCORE
+from entitle.session import truncate_lineage
 
 ANY = "*"
 # An income over the cap by less than this ratio may score 25.0 after rounding; the exact test follows.
@@ -199,12 +203,79 @@ def _best_of(scored: DataFrame, members: DataFrame, group: list[str], n: int) ->
     return top_ranked(items, group, [F.desc("match_score"), F.col("pos")], n)
 
 
+def _all_hold(classes: DataFrame, shapes: DataFrame) -> DataFrame:
+    """(user_id, shape, match_score) of the pairs under which every criterion holds: 100 points. An income over the
+    cap by so little that the score may round up to 100 counts too, since positions then decide."""
+    def keys(is_open: str, listed: str) -> Column:
+        return F.explode(F.when(F.col(is_open), F.array(F.lit(ANY))).otherwise(F.col(listed)))
+
+    theirs = (shapes.withColumn("_category", keys("r_category_open", "r_category_keys"))
+              .withColumn("_occupation", keys("r_occupation_open", "r_occupation_keys")))
+    mine = (by_user(S.with_user_keys(classes.select(*PROFILE_COLUMNS)))
+            .withColumn("_category", F.explode(F.array(F.lit(ANY), "u_category")))
+            .withColumn("_occupation", F.explode(F.array(F.lit(ANY), "u_occupation"))).drop("category", "occupation", "state", "u_state"))
+    pairs = small_or_split_join(mine, theirs, ["_category", "_occupation"], "user_id")
+    score = F.when(S.income_ok(), F.lit(4 * S.STRICT_WEIGHT)).otherwise(S.strict_score())
+    return (pairs.where(S.age_ok() & (S.income_points() >= S.STRICT_WEIGHT * ROUNDS_UP))
+            .select("user_id", "r_shape", "r_first_pos", score.alias("match_score")))
+
+
+def _nearly_hold(classes: DataFrame, shapes: DataFrame) -> DataFrame:
+    """(user_id, shape, match_score) of the pairs with category or occupation right and points for an age a few
+    years off or an income a little over the cap. All other pairs below ELIGIBLE_SCORE have two criteria's worth at most."""
+    mine = by_user(S.with_user_keys(classes.select(*PROFILE_COLUMNS))).drop("category", "occupation", "state", "u_state")
+    low, high, slack = F.col("r_min_age"), F.col("r_max_age"), S.AGE_TOLERANCE
+    none = F.array().cast("array<int>")
+    years = F.concat(F.coalesce(F.sequence(low - slack, low - 1), none), F.coalesce(F.sequence(high + 1, high + slack), none))
+    top = F.col("r_max_income") / S.INCOME_TOLERANCE
+    amounts = F.when(top.isNotNull(), F.sequence(_income_bucket(F.col("r_max_income")), _income_bucket(top))).otherwise(none)
+
+    def keyed(df: DataFrame, age: Column, income: Column) -> DataFrame:
+        def tagged(kind: int, value: Column) -> Column:
+            return F.transform(value.cast("array<int>"), lambda x: F.struct(F.lit(kind).alias("_kind"), x.alias("_key")))
+
+        keys = F.array_distinct(F.concat(tagged(0, age), tagged(1, income)))
+        return df.withColumn("_hit", F.explode(keys)).select("*", "_hit.*").drop("_hit")
+
+    mine = keyed(mine.where("age IS NOT NULL OR income IS NOT NULL"),
+                 F.array_compact(F.array("age")), F.when(F.col("income").isNull(), none).otherwise(F.array(_income_bucket(F.col("income")))))
+    older = (S.age_points() > 0) & ~S.age_ok()
+    richer = (S.income_points() > 0) & ~S.income_ok()
+    wanted = F.when(F.col("_kind") == 0, older).otherwise(richer & ~older)
+    return (small_or_split_join(mine, keyed(shapes, years, amounts), ["_kind", "_key"], "user_id")
+            .where(wanted & (S.category_ok() | S.occupation_ok()))
+            .select("user_id", "r_shape", "r_first_pos", S.strict_score().alias("match_score")))
+
+
+def _settled(best: DataFrame, n: int, over: float) -> DataFrame:
+    """(user_id) whose n-th programme has more points than ``over``, all that any programme not looked at may have."""
+    return best.where((F.col("rank") == n) & (F.col("match_score") > over)).select("user_id")
+
+
+def _by_tiers(classes: DataFrame, first: DataFrame, n: int, over: float, every: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The best of ``first`` where that settles the first n, and of ``every`` for the classes where it does not."""
+    first = truncate_lineage(first)
+    settled = _settled(first, n, over)
+    open_ = truncate_lineage(classes.join(settled, "user_id", "left_anti"))
+    done = first.join(settled, "user_id", "left_semi")
+    return done if open_.isEmpty() else done.unionByName(every(open_))
+
+
+#: No pair but those of ``_all_hold`` has more points, after rounding; nor, below ELIGIBLE_SCORE, but those of ``_nearly_hold``.
+NEXT_BEST, NEXT_NEAR = 99.9, 2 * S.STRICT_WEIGHT
+
+
 def recommend(profiles: DataFrame, rules: DataFrame, n: int = 5,
               minimum: float = RECOMMEND_SCORE) -> DataFrame:
-    """Top-n programmes per user with a score of at least ``minimum``, eligible ones included."""
-    shapes, members = rule_shapes(rules, n)
+    """Top-n programmes per user with a score of at least ``minimum``, eligible ones included.
+
+    Programmes that meet all criteria are looked up first, by category and occupation at once; nothing else is scored for
+    users to whom n of them give 100 points."""
+    shapes, members = (truncate_lineage(x) for x in rule_shapes(rules, n))
     users, classes = profile_classes(profiles, shapes)
-    best = _best_of(_strict_scored(classes, shapes, minimum), members, ["user_id"], n)
+    classes = truncate_lineage(classes)
+    best = _by_tiers(classes, _best_of(_all_hold(classes, shapes), members, ["user_id"], n), n, NEXT_BEST,
+                     lambda rest: _best_of(_strict_scored(rest, shapes, minimum), members, ["user_id"], n))
     return _for_all(classes, users, best).select("user_id", "scheme_id", "match_score",
                        (F.col("match_score") >= ELIGIBLE_SCORE).alias("is_eligible"), "rank")
 
@@ -212,18 +283,26 @@ def recommend(profiles: DataFrame, rules: DataFrame, n: int = 5,
 def eligible_and_recommended(profiles: DataFrame, rules: DataFrame, max_results: int = 10,
                              shaped: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Best eligible and best near-eligible programmes per user, with totals after the cut. ``shaped`` takes the
-    result of ``rule_shapes`` where it is at hand."""
+    result of ``rule_shapes`` where it is at hand.
+
+    Two tiers come first: programmes that meet all criteria, and those that miss the age or the cap by a little. Only classes
+    of users whose lists these do not settle are scored against everything else."""
     max_recommended = max(5, max_results // 2)
-    shapes, members = shaped or rule_shapes(rules, max(max_results, max_recommended))
+    shapes, members = (truncate_lineage(x) for x in shaped or rule_shapes(rules, max(max_results, max_recommended)))
     users, classes = profile_classes(profiles, shapes)
-    fits = F.col("match_score") >= ELIGIBLE_SCORE
-    scored = _strict_scored(classes, shapes, RECOMMEND_SCORE).withColumn("_fits", fits)
-    best = _best_of(scored, members, ["user_id", "_fits"], max(max_results, max_recommended))
-    best = best.where(F.col("rank") <= F.when(F.col("_fits"), max_results).otherwise(max_recommended))
-    total = F.count(F.lit(1)).over(W.partitionBy("user_id", "_fits"))
-    section = F.when(F.col("_fits"), "eligible").otherwise("recommended")
-    listed = best.select("user_id", section.alias("section"), "rank", "scheme_id", "match_score",
-                         total.alias("section_total"))
+    classes = truncate_lineage(classes)
+
+    def section(scored: DataFrame, fits: bool) -> DataFrame:
+        in_it = (F.col("match_score") >= ELIGIBLE_SCORE) == F.lit(fits)
+        return _best_of(scored.where(in_it), members, ["user_id"], max_results if fits else max_recommended)
+
+    eligible = _by_tiers(classes, section(_all_hold(classes, shapes), True), max_results, NEXT_BEST,
+                         lambda rest: section(_strict_scored(rest, shapes, ELIGIBLE_SCORE), True))
+    near = _by_tiers(classes, section(_nearly_hold(classes, shapes), False), max_recommended, NEXT_NEAR,
+                     lambda rest: section(_strict_scored(rest, shapes, RECOMMEND_SCORE), False))
+    best = eligible.withColumn("section", F.lit("eligible")).unionByName(near.withColumn("section", F.lit("recommended")))
+    total = F.count(F.lit(1)).over(W.partitionBy("user_id", "section"))
+    listed = best.select("user_id", "section", "rank", "scheme_id", "match_score", total.alias("section_total"))
     return _for_all(classes, users, listed).select(*listed.columns)
 
 
@@ -239,93 +318,202 @@ def _open_or_linked(rules: DataFrame, texts: DataFrame, is_open: Column, text: s
     return linked.withColumn(key, F.when(is_open, ANY).otherwise(F.col(key))).where(F.col(key).isNotNull())
 
 
-def _lenient_profiles(profiles: DataFrame, jurisdiction: bool) -> DataFrame:
-    p = by_user(S.with_user_keys(profiles.select(*PROFILE_COLUMNS)))
-    p = p.withColumn("_category", F.explode(F.array(F.lit(ANY), "l_category")))
-    if jurisdiction:
-        p = p.withColumn("_occupation", F.explode(F.array(F.lit(ANY), "l_occupation")))
-        p = p.withColumn("_place", F.explode(F.array_distinct(F.array(F.lit("central"), F.lower("state")))))
-    return p
-
-
-def eligible_pairs(profiles: DataFrame, rules: DataFrame) -> DataFrame:
-    """Hard-filter eligibility (lenient): one row per user and programme, all columns kept."""
-    texts = r = prefixed(rules)
-    r = _open_or_linked(r, texts, F.col("r_category_open") | F.col("r_category_has_all"), "r_category_text",
-                        profiles, "category", "_category")
-    r = _open_or_linked(r, texts, F.col("r_occupation_open"), "r_occupation_text", profiles, "occupation",
-                        "_occupation")
-    r = r.withColumn("_place", F.lower("r_state"))
-    keys = ["_category", "_occupation", "_place"]
-    pairs = small_or_split_join(_lenient_profiles(profiles, True), r, keys, "user_id")
-    return pairs.where(S.lenient_ok()).drop(*keys)
-
-
-def eligible_list(profiles: DataFrame, rules: DataFrame, n: int | None = None) -> DataFrame:
-    """Eligible programmes per user with reason and score, best first; all of them, or the first ``n``."""
-    users = [*PROFILE_COLUMNS, "l_category", "l_occupation", "u_state"]
-    scored = eligible_pairs(profiles, rules).select(*users, "r_id", "r_pos", S.lenient_score().alias("match_score"))
-    ranked = top_ranked(scored, ["user_id"], [F.desc("match_score"), F.col("r_pos")], n).drop("r_pos")
-    # the texts join the ranked rows last, so that they are not sorted along
-    return small_or_split_join(ranked, prefixed(rules), ["r_id"], "user_id").select(
+#: What a lenient rule says but for its place: programmes that agree here fit the same people with the same score.
+CORE = ["min_age", "max_age", "age_open", "max_income", "income_open", "category_text", "category_open", "category_has_all",
+        "occupation_text", "occupation_open"]
+#: Candidates of a class that near misses are first sought among, as a multiple of n; classes that need more get all.
+FIRST_NEAR = 8
+
+
+class Factorised(NamedTuple):
+    """Who fits what, without a row per user and programme: classes of users by classes of rules.
+
+    A user fits a programme when class and core are linked and the programme's place is central or the user's state."""
+
+    users: DataFrame       #: user_id, class, u_state
+    classes: DataFrame     #: class, and a profile of it with its keys
+    cores: DataFrame       #: r_core, and what its rules say
+    programmes: DataFrame  #: r_core, place, r_pos, r_id, r_name
+    links: DataFrame       #: class, r_core
+
+
+def _digest(value: Column) -> Column:
+    return F.unhex(F.md5(value))
+
+
+def _cuts(cores: DataFrame, own: dict[str, list[Column]]) -> list[Column]:
+    """For each column and rule values: how many distinct ones lie below the column, and if one is equal. Users that agree in
+    that compare alike with all rules. With more than MAX_CAPS values it is the column itself."""
+    values = [F.collect_set(v.cast("double")) for columns in own.values() for v in columns]  # a few per distinct criterion
+    few = cores.agg(*[F.approx_count_distinct(v) for columns in own.values() for v in columns]).first()
+    found = cores.agg(*[v if n <= 2 * MAX_CAPS else F.lit(None) for v, n in zip(values, few)]).first()
+    names = [name for name, columns in own.items() for _ in columns]
+    out = []
+    for name, held in zip(names, found):
+        if held is None or len(held) > MAX_CAPS:
+            out.append(F.struct(name))
+            continue
+        bounds = F.array(*[F.lit(v) for v in sorted(held)]).cast("array<double>")
+        out.append(F.struct(F.size(F.filter(bounds, lambda v: v < F.col(name))), F.array_contains(bounds, F.col(name).cast("double"))))
+    return out
+
+
+def factorised(profiles: DataFrame, rules: DataFrame) -> Factorised:
+    """Classes, cores and their links (lenient). Users are of one class when their values are equal but for ages and
+    incomes between the same bounds of all rules (incomes: between the caps and the caps with 30 % more)."""
+    keyed = truncate_lineage(prefixed(rules).withColumn("r_core", _digest(F.to_json(F.struct(*[f"r_{c}" for c in CORE])))))
+    cores = truncate_lineage(keyed.groupBy("r_core").agg(*[F.first(f"r_{c}").alias(f"r_{c}") for c in CORE]))
+    named = keyed.select("r_core", "r_pos", "r_id", "r_name", F.lower("r_state").alias("place"))
+    users = S.with_user_keys(profiles.select(*PROFILE_COLUMNS))
+    cap = F.col("r_max_income")
+    cuts = _cuts(cores, {"age": [F.col("r_min_age"), F.col("r_max_age")], "income": [cap, cap * S.RELAXED_INCOME]})
+    same = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(cuts)], F.col("age").isNull().alias("a"), F.col("income").isNull().alias("i"),
+                    "l_category", "l_occupation")
+    users = users.withColumn("_key", _digest(F.to_json(same)))
+    kept = ["age", "income", "category", "occupation", "l_category", "l_occupation"]
+    classes = users.groupBy("_key").agg(F.min("user_id").alias("class"), F.min_by(F.struct(*kept), "user_id").alias("p"))
+    members = truncate_lineage(users.join(classes.select("_key", "class"), "_key").select("user_id", "class", "u_state"))
+    classes = truncate_lineage(by_user(classes.select("class", "p.*"), "class"))
+    r = _open_or_linked(cores, cores, F.col("r_category_open") | F.col("r_category_has_all"), "r_category_text", classes, "category", "_category")
+    r = _open_or_linked(r, cores, F.col("r_occupation_open"), "r_occupation_text", classes, "occupation", "_occupation")
+    mine = (by_user(classes, "class").withColumn("_category", F.explode(F.array(F.lit(ANY), "l_category")))
+            .withColumn("_occupation", F.explode(F.array(F.lit(ANY), "l_occupation"))))
+    links = small_or_split_join(mine, r, ["_category", "_occupation"], "class").where(S.lenient_core_ok())
+    return Factorised(members, classes, cores, named, truncate_lineage(links.select("class", "r_core")))
+
+
+def _places(users: DataFrame) -> DataFrame:
+    return users.withColumn("place", F.explode(F.array_distinct(F.array(F.lit("central"), "u_state"))))
+
+
+def _linked(facts: Factorised, *columns: str) -> DataFrame:
+    """(user_id, u_state, r_core, ``columns``) for every user and linked core."""
+    users = by_user(facts.users.select("user_id", "class", "u_state", *columns))
+    return small_or_split_join(users, facts.links, ["class"], "user_id").drop("class")
+
+
+def eligible_pairs(profiles: DataFrame, rules: DataFrame, facts: Factorised | None = None) -> DataFrame:
+    """Hard-filter eligibility (lenient) on demand: (user_id, r_id, r_pos, r_name), one row per user and programme."""
+    facts = facts or factorised(profiles, rules)
+    return small_or_split_join(_places(_linked(facts)), facts.programmes, ["r_core", "place"], "user_id").select("user_id", "r_id", "r_pos", "r_name")
+
+
+def eligible_counts(facts: Factorised) -> DataFrame:
+    """(user_id, eligible_count), counted per class and place; users who fit nothing are left out."""
+    per_core = facts.programmes.groupBy("r_core", "place").agg(F.count(F.lit(1)).alias("n"))
+    per_class = facts.links.join(per_core, "r_core").groupBy("class", "place").agg(F.sum("n").alias("n"))
+    return _places(facts.users).join(per_class, ["class", "place"]).groupBy("user_id").agg(F.sum("n").alias("eligible_count"))
+
+
+def _scored_cores(profiles: DataFrame, facts: Factorised) -> DataFrame:
+    """(user_id, place, r_core, match_score): one score for all programmes of a core, then the places of the user."""
+    own = S.with_user_keys(profiles.select(*PROFILE_COLUMNS)).select("user_id", "age", "income", "l_category", "l_occupation")
+    users = facts._replace(users=facts.users.join(own, "user_id"))
+    pairs = small_or_split_join(_linked(users, "age", "income", "l_category", "l_occupation"), facts.cores, ["r_core"], "user_id")
+    return _places(pairs.select("user_id", "u_state", "r_core", S.lenient_score().alias("match_score"))).drop("u_state")
+
+
+def eligible_list(profiles: DataFrame, rules: DataFrame, n: int | None = None, facts: Factorised | None = None) -> DataFrame:
+    """Eligible programmes per user with reason and score, best first; all of them, or the first ``n``.
+
+    With ``n``, only the n best (core, place) of a user, by score and first position, are expanded."""
+    facts = facts or factorised(profiles, rules)
+    scored, programmes, order = _scored_cores(profiles, facts), facts.programmes, [F.desc("match_score"), F.col("r_pos")]
+    if n is not None:
+        programmes = top_ranked(programmes, ["r_core", "place"], [F.col("r_pos")], n, "_m")
+        heads = programmes.where("_m = 1").select("r_core", "place", "r_pos")
+        scored = top_ranked(small_or_split_join(scored, heads, ["r_core", "place"], "user_id"), ["user_id"], order, n, "_c").drop("_c", "r_pos")
+    pairs = small_or_split_join(scored, programmes.select("r_core", "place", "r_pos", "r_id"), ["r_core", "place"], "user_id")
+    ranked = top_ranked(pairs.select("user_id", "r_id", "r_pos", "match_score"), ["user_id"], order, n).drop("r_pos")
+    # profiles and texts join the ranked rows last, so that they are not sorted along
+    users = S.with_user_keys(profiles.select(*PROFILE_COLUMNS)).drop("u_category", "u_occupation")
+    return small_or_split_join(ranked.join(users, "user_id"), prefixed(rules), ["r_id"], "user_id").select(
         "user_id", F.col("r_id").alias("scheme_id"), F.col("r_name").alias("name"),
         F.col("r_pos").alias("pos"), "match_score", S.lenient_reason().alias("reason"), "rank")
 
 
 def relaxed_recommendations(profiles: DataFrame, rules: DataFrame, n: int = 5,
-                            include_other_states: bool = True, eligible: DataFrame | None = None) -> DataFrame:
+                            include_other_states: bool = True, facts: Factorised | None = None) -> DataFrame:
     """Programmes a user narrowly misses: age and category hold, income may exceed the cap by 30 %,
-    occupation or state may differ. Names the user already qualifies for are left out; ``eligible``
-    takes the result of ``eligible_pairs`` where it is at hand."""
-    first_of_name = rules.groupBy(F.col("name").alias("r_name")).agg(F.min("pos").alias("_name_key"))
-    r = prefixed(rules).join(first_of_name, "r_name")
-    slim = _open_or_linked(r, prefixed(rules), F.col("r_category_open"), "r_category_text", profiles, "category", "_category")
+    occupation or state may differ. Names the user already qualifies for are left out.
+
+    All of this is decided per class of users and state, and the users of both get one list. Of a class's candidates
+    the first FIRST_NEAR * n are tried, without those that fit all its users; a (class, state) that
+    has fewer than n left is tried again with all of them. Names taken are an anti join of classes, places and
+    names; no list of users and eligible programmes exists.
+    """
+    facts = facts or factorised(profiles, rules)
+    programmes = facts.programmes.select("r_core", "place", "r_pos", "r_id", _digest(F.col("r_name")).alias("_name"))
+    groups = truncate_lineage(facts.users.select("class", "u_state").distinct())
+    slim = _open_or_linked(facts.cores, facts.cores, F.col("r_category_open"), "r_category_text", facts.classes, "category", "_category")
     slim = slim.withColumn("_band", F.explode(_bands(F.col("r_min_age"), F.col("r_max_age"))))
-    users = _lenient_profiles(profiles, False).withColumn("_band", _band(F.col("age")))
-    pairs = small_or_split_join(users, slim, ["_category", "_band"], "user_id")
-    close = pairs.where(
-        S.lenient_age_ok() & (F.col("income") <= F.col("r_max_income") * S.RELAXED_INCOME)
-        & ~S.lenient_ok())
-    if not include_other_states:
-        close = close.where(S.jurisdiction_ok())
-    named = F.col("r_occupation_text").contains(F.col("l_occupation"))
-    close = close.select("user_id", "_name_key", "r_id", "r_pos",
-                         S.is_central().alias("_central"), named.alias("_named"))
-    if eligible is None:
-        eligible = eligible_pairs(profiles, rules)
-    taken = (eligible.select("user_id", "r_name").join(first_of_name, "r_name")
-             .select("user_id", "_name_key").distinct())
-    fresh = close.join(taken, ["user_id", "_name_key"], "left_anti")
+    mine = (by_user(facts.classes, "class").withColumn("_category", F.explode(F.array(F.lit(ANY), "l_category")))
+            .withColumn("_band", _band(F.col("age"))))
+    close = small_or_split_join(mine, slim, ["_category", "_band"], "class").where(
+        S.lenient_age_ok() & (F.col("income") <= F.col("r_max_income") * S.RELAXED_INCOME))
+    close = truncate_lineage(close.select(
+        "class", "r_core", F.col("r_occupation_text").contains(F.col("l_occupation")).alias("_named"),
+        (S.lenient_core_ok() & S.category_mentioned()).alias("_fits")))
+    fitting = facts.links.join(programmes, "r_core").select("class", "place", "_name").distinct()
     order = [F.desc("_central"), F.desc("_named"), F.col("r_pos")]
-    best = top_ranked(fresh, ["user_id"], order, n).select("user_id", "r_id", "rank")
-    return (
-        small_or_split_join(best.join(S.with_user_keys(profiles), "user_id"), r, ["r_id"], "user_id")
-        .select("user_id", F.col("r_id").alias("scheme_id"), F.col("r_name").alias("name"),
-                F.col("r_pos").alias("pos"), S.relaxed_reason().alias("reason"), "rank")
-    )
 
-
-def eligibility_report(profiles: DataFrame, rules: DataFrame, n: int = 5) -> DataFrame:
-    """One row per user: how many programmes fit, the best one, and the near misses (n at most)."""
-    pairs = eligible_pairs(profiles, rules)
-    eligible = (
-        pairs.select("user_id", F.col("r_id").alias("scheme_id"), F.col("r_pos").alias("pos"),
-                S.lenient_score().alias("match_score"))
+    def candidates(near: DataFrame) -> DataFrame:
+        found = small_or_split_join(by_user(near, "class"), programmes, ["r_core"], "class").withColumn("_central", F.col("place") == "central")
+        return found.where(~(F.col("_central") & F.col("_fits"))).select("class", "place", "_central", "_named", "r_pos", "r_id", "_name")
+
+    def fresh(tried: DataFrame, of: DataFrame) -> DataFrame:
+        """The first n for each (class, state) of those tried, without names that are taken there."""
+        there = tried.join(of, "class") if include_other_states else tried.withColumnRenamed("place", "p").join(of, "class").where(
+            F.col("_central") | (F.col("p") == F.col("u_state"))).withColumnRenamed("p", "place")
+        taken = fitting.join(tried.select("class", "_name").distinct(), ["class", "_name"], "left_semi")
+        central = taken.where("place = 'central'").select("class", "_name")
+        own = taken.select("class", "_name", F.col("place").alias("u_state"))
+        left = there.join(central, ["class", "_name"], "left_anti").join(own, ["class", "_name", "u_state"], "left_anti")
+        return top_ranked(left, ["class", "u_state"], order, n).select("class", "u_state", "r_id", "rank")
+
+    group = ["class"]
+    tried = candidates(close)
+    if include_other_states:
+        first = truncate_lineage(top_ranked(tried, group, order, FIRST_NEAR * n, "_r"))
+        best = truncate_lineage(fresh(first.drop("_r"), groups))
+        more = first.groupBy("class").agg(F.max("_r").alias("_r")).where(F.col("_r") == FIRST_NEAR * n).select("class")
+        done = best.where(F.col("rank") == n).select("class", "u_state")
+        again = truncate_lineage(groups.join(more, "class", "left_semi").join(done, ["class", "u_state"], "left_anti"))
+        if not again.isEmpty():
+            rest = fresh(candidates(close.join(again, "class", "left_semi")), again)
+            best = best.join(again, ["class", "u_state"], "left_anti").unionByName(rest)
+    else:
+        best = fresh(tried, groups)
+    both = best.join(facts.classes, "class")
+    texts = small_or_split_join(both, prefixed(rules), ["r_id"], "class").select(
+        "class", "u_state", F.col("r_id").alias("scheme_id"), F.col("r_name").alias("name"), F.col("r_pos").alias("pos"),
+        S.relaxed_reason().alias("reason"), "rank")
+    return facts.users.join(texts, ["class", "u_state"]).drop("class", "u_state")
+
+
+def eligibility_report(profiles: DataFrame, rules: DataFrame, n: int = 5, listed: int = 10) -> DataFrame:
+    """One row per user: how many programmes fit, the best of them (``listed`` at most, with score and reason), and the
+    near misses (``n`` at most)."""
+    facts = factorised(profiles, rules)
+    best = (
+        eligible_list(profiles, rules, listed, facts)
         .groupBy("user_id")
-        .agg(F.count(F.lit(1)).alias("eligible_count"),
-             F.max_by("scheme_id", F.struct("match_score", -F.col("pos"))).alias("best_scheme"),
-             F.max("match_score").alias("best_score"))
+        .agg(F.array_sort(F.collect_list(F.struct("rank", "scheme_id", "match_score", "reason"))).alias("eligible"))
     )
     near = (
-        relaxed_recommendations(profiles, rules, n, eligible=pairs)
+        relaxed_recommendations(profiles, rules, n, facts=facts)
         .groupBy("user_id")
         .agg(F.count(F.lit(1)).alias("recommended_count"),
              F.array_sort(F.collect_list(F.struct("rank", "scheme_id", "reason"))).alias("recommended"))
     )
+    none = F.array().cast(best.schema["eligible"].dataType)
     return (
         profiles.select("user_id")
-        .join(eligible, "user_id", "left").join(near, "user_id", "left")
+        .join(eligible_counts(facts), "user_id", "left").join(best, "user_id", "left").join(near, "user_id", "left")
         .withColumn("catalogue_total", rules.agg(F.count(F.lit(1))).scalar())
+        .withColumn("best_scheme", F.get("eligible", F.lit(0))["scheme_id"])
+        .withColumn("best_score", F.get("eligible", F.lit(0))["match_score"])
+        .withColumn("eligible", F.coalesce("eligible", none))
         .fillna(0, ["eligible_count", "recommended_count"])
     )
 

@@ -398,15 +398,17 @@ def _(spark, d):
 
 @register("e6_eligibility_report", sql("""
     SELECT p.user_id, coalesce(f.n, 0) AS eligible_count, f.best_scheme, f.best_score, coalesce(m.n, 0) AS recommended_count,
-      coalesce(m.listed, '') AS recommended, (SELECT count(*) FROM catalogue) AS catalogue_total
+      coalesce(f.listed, '') AS eligible, coalesce(m.listed, '') AS recommended, (SELECT count(*) FROM catalogue) AS catalogue_total
     FROM profiles p
     LEFT JOIN (SELECT user_id, count(*) AS n, arg_max(scheme_id, (match_score, -pos)) AS best_scheme,
-                 max(match_score) AS best_score FROM fit_scores GROUP BY user_id) f ON f.user_id = p.user_id
+                 max(match_score) AS best_score, array_to_string(list(scheme_id ORDER BY match_score DESC, pos)[:10], ',') AS listed
+               FROM fit_scores GROUP BY user_id) f ON f.user_id = p.user_id
     LEFT JOIN (SELECT user_id, count(*) AS n, string_agg(scheme_id, ',' ORDER BY rank) AS listed
                FROM near_misses GROUP BY user_id) m ON m.user_id = p.user_id""",
     "fit_scores", "near_misses"))
 def _(spark, d):
     report = E.eligibility_report(X.profiles(spark, d), _lenient(spark, d))
+    report = report.withColumn("eligible", F.array_join("eligible.scheme_id", ","))
     return report.withColumn("recommended", F.coalesce(F.array_join("recommended.scheme_id", ","), F.lit("")))
 
 
