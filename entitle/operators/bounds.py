@@ -135,6 +135,17 @@ def above(queries: DataFrame, floors: DataFrame, impacts: Impacts) -> DataFrame:
             .where((F.col("similarity") > 0) & (F.col("similarity") >= F.col("_floor"))).drop("_floor"))
 
 
+def similar_pairs(queries: DataFrame, items: DataFrame, threshold: float, item_id: str = "doc_id") -> DataFrame:
+    """(query_id, item, similarity) of all pairs at or above ``threshold``, which is above 0: equal items are compared once,
+    and no pair is formed that shares only terms without which the rest stays below the threshold."""
+    if threshold <= 0:
+        raise ValueError("the threshold must be above 0")
+    impacts = build_impacts(items, item_id)
+    floors = queries.select("query_id").distinct().withColumn("floor", F.lit(float(threshold)))
+    found = above(queries, floors, impacts).where(F.col("similarity") >= threshold)
+    return found.join(impacts.members, "vec").select("query_id", "item", "similarity")
+
+
 def best(queries: DataFrame, impacts: Impacts, k: int, threshold: float) -> DataFrame:
     """(query_id, item, similarity, rank): the k most similar items of each query at or above the threshold,
     ties in order of the item."""

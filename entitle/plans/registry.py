@@ -11,9 +11,11 @@ from entitle.functions import privacy as P
 from entitle.functions import scoring as S
 from entitle.functions import vectors as VF
 from entitle.functions.strings import display_name, searchable_text
+from entitle.operators import bounds as B
 from entitle.operators import catalogue as C
 from entitle.operators import eligibility as E
 from entitle.operators import errors as ERR
+from entitle.operators import neighbours as N
 from entitle.operators import oplogs as L
 from entitle.operators import responses as R
 from entitle.operators import reuse as U
@@ -24,6 +26,7 @@ from entitle.operators.joins import spread
 from entitle.operators.rules import compile_rules
 from entitle.plans import fixtures as X
 from entitle.plans.oracle_views import sql
+from entitle.session import truncate_lineage
 from entitle.sources.catalogue_io import as_json, parsed, verify_written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -596,6 +599,13 @@ def _(spark, d):
     return Q.similarities(Q.query_vectors(X.text_queries(spark, d), index.vocabulary), index.postings)
 
 
+@register("q3_similar_pairs", sql("SELECT query_id, doc_id, similarity FROM doc_sims WHERE similarity >= 0.3", "doc_sims"))
+def _(spark, d):
+    index = T.build_index(X.corpus(spark, d))
+    queries = truncate_lineage(Q.query_vectors(X.text_queries(spark, d), index.vocabulary))
+    return B.similar_pairs(queries, index.postings, Q.LIBRARY_THRESHOLD).withColumnRenamed("item", "doc_id")
+
+
 @register("q3_passages_in_corpus_top_k", sql("""
     SELECT query_id, doc_id, similarity, CAST(rank AS INT) AS rank FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS rank
@@ -666,17 +676,35 @@ def _(spark, d):
     return _similar(spark, d)[1]
 
 
-@register("q7_similar_vectors", """
+_SIMILAR_VECTORS = """
     SELECT query_id, item_id, similarity, CAST(rank AS INT) AS rank FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) AS rank FROM (
         SELECT a.vec_id AS query_id, b.vec_id AS item_id,
           round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) AS similarity
-        FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) WHERE similarity >= 0.4) WHERE rank <= 3""")
+        FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) WHERE similarity >= 0.4) WHERE rank <= 3"""
+
+
+@register("q7_similar_vectors", _SIMILAR_VECTORS)
 def _(spark, d):
     items = X.vectors(spark, d).select("item_id", "vector")
     return Q.nearest(items.withColumnRenamed("item_id", "query_id"), items, 3, Q.SIMILAR_THRESHOLD, exclude_same=True)
 
 
+@register("q7_similar_vectors_indexed", _SIMILAR_VECTORS)
+def _(spark, d):
+    items = X.vectors(spark, d).select("item_id", "vector")
+    return N.search(items.withColumnRenamed("item_id", "query_id"), N.build_inverted_file(items), 3, Q.SIMILAR_THRESHOLD, exclude_same=True)
+
+
+@register("q7_similar_vectors_probed")
+def _(spark, d):
+    items = X.vectors(spark, d).select("item_id", "vector")
+    index = N.build_inverted_file(items)
+    probes = N.probes_for(index, 3, Q.SIMILAR_THRESHOLD, 0.95, exclude_same=True)
+    queries = items.withColumnRenamed("item_id", "query_id")
+    return N.search(queries, index, 3, Q.SIMILAR_THRESHOLD, exact=False, probes=probes, exclude_same=True)
+
+
 @register("q8_item_details", sql("""
     SELECT c.id, c.name, coalesce(string_agg(s.similar_id, ',' ORDER BY s.rank), '') AS similar
     FROM catalogue c LEFT JOIN sims s ON s.id = c.id GROUP BY c.id, c.name""", "s_vec", "catalogue", "sims", sims=_SIMILAR))

@@ -71,6 +71,14 @@ def test_best_equals_all_pairs_ranked(world, k, threshold):
     assert {(r.query_id, r.item, r.similarity, r.rank) for r in B.best(queries, tables, k, threshold).collect()} == want
 
 
+def test_similar_pairs_equal_all_pairs_over_the_threshold(spark, world):
+    queries, _, q, items = world
+    found = B.similar_pairs(queries, frame(spark, items, "pos"), 0.5, "pos").collect()
+    assert {(r.query_id, r.item): r.similarity for r in found} == {k: s for k, s in plain(q, items).items() if s >= 0.5}
+    with pytest.raises(ValueError):
+        B.similar_pairs(queries, queries, 0.0)
+
+
 def test_restricted_and_stored_tables(spark, world, tmp_path):
     queries, tables, q, items = world
     some = spark.createDataFrame([(i,) for i, _ in items if i % 4 == 1], "item long")
