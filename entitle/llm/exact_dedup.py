@@ -78,8 +78,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         F.sha2(F.translate(text, SPACES, ""), 256).alias("text_sha256"),
         F.xxhash64(text).alias("text_key"), F.monotonically_increasing_id().alias("row_id")))
     heavy = frequent_digests(rows, rows.count())
-    best = F.max(F.struct(F.col("size"), F.col("doc_id").isNotNull().alias("has_id"), (-F.col("doc_id")).alias("minus_id"),
-                          (-F.col("row_id")).alias("minus_row"))).alias("best")
+    best = F.min(F.struct((-F.col("size")).alias("minus_size"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")).alias("best")
     size = F.count(F.lit(1)).alias("group_size")
     if heavy:
         names = docs.sparkSession.createDataFrame([(x,) for x in heavy], "text_sha256 string")
@@ -93,8 +92,8 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     found = rest.join(groups, "text_sha256")
     found = found if heavy_rows is None else found.unionByName(heavy_rows)
     return found.select(
-        "doc_id", (-F.col("best.minus_id")).alias("keep_id"), "group_size",
-        (F.col("row_id") == -F.col("best.minus_row")).alias("kept"), "text_sha256", "text_key")
+        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size",
+        (F.col("row_id") == F.col("best.row_id")).alias("kept"), "text_sha256", "text_key")
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:

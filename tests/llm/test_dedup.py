@@ -220,3 +220,10 @@ def test_components_of_a_chain_and_a_star(spark):
 @pytest.mark.parametrize("operator", [exact_groups, exact_dedup, near_groups, near.near_dedup, substring_dedup, suffix_dedup])
 def test_empty_table(spark, operator):
     assert operator(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_exact_dedup_takes_the_least_of_all_ids(spark):
+    least = -(1 << 63)
+    frame = spark.createDataFrame(rows(["same text", "same  text", "same text", "other"], [5, least, None, least + 1]), SCHEMA)
+    found = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_groups(frame).collect()}
+    assert found == {(5, least, 3, False), (least, least, 3, True), (None, least, 3, False), (least + 1, least + 1, 1, True)}
