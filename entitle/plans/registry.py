@@ -24,6 +24,7 @@ from entitle.operators import tfidf as T
 from entitle.operators import validate as V
 from entitle.operators.joins import spread
 from entitle.operators.rules import compile_rules
+from entitle.operators.suppress import suppressed
 from entitle.plans import fixtures as X
 from entitle.plans.oracle_views import sql
 from entitle.session import truncate_lineage
@@ -1077,3 +1078,15 @@ def _(spark, d):
       count(*) FILTER (duration_ms > 1000) AS slow FROM op_log GROUP BY ALL""", "op_log"))
 def _(spark, d):
     return L.slow_per_window(X.operation_log(spark, d))
+
+
+@register("x5_suppressed_repeats", """
+    WITH RECURSIVE firsts AS (
+      SELECT user_id, event_type, min(ts) AS ts FROM events GROUP BY ALL
+      UNION ALL SELECT f.user_id, f.event_type, (SELECT min(e.ts) FROM events e WHERE e.user_id = f.user_id
+          AND e.event_type = f.event_type AND e.ts >= f.ts + INTERVAL 1 DAY) FROM firsts f WHERE f.ts IS NOT NULL)
+    SELECT user_id, event_type, CAST(epoch_us(ts) AS BIGINT) AS micros FROM firsts WHERE ts IS NOT NULL""")
+def _(spark, d):
+    events = X.table(spark, d, "events").select("user_id", "event_type", "ts")
+    passed = suppressed(events, ["user_id", "event_type"], TTL_SECONDS)
+    return passed.select("user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))

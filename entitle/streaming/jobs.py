@@ -12,6 +12,7 @@ from entitle.functions import scoring as S
 from entitle.functions.privacy import redact_text
 from entitle.operators import eligibility as E
 from entitle.operators.oplogs import rate_violations, slow_per_window
+from entitle.operators.suppress import suppressed_stream
 from entitle.session import truncate_lineage
 
 
@@ -51,5 +52,10 @@ def slow_operations(log: DataFrame, window: str = "1 hour", delay: str = "10 min
 
 
 def suppress_repeats(results: DataFrame, keys: list[str], ttl: str = "1 hour") -> DataFrame:
-    """One row per key within the watermark delay."""
+    """One row per key within the watermark delay, and possibly longer; ``suppress_within`` keeps the time exactly."""
     return results.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(keys)
+
+
+def suppress_within(results: DataFrame, keys: list[str], ttl_seconds: float, delay: str = "1 minute") -> DataFrame:
+    """One row per key and time to live: a repeat passes again once that has gone by since the last that passed."""
+    return suppressed_stream(results, keys, ttl_seconds, delay)

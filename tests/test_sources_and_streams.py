@@ -1,11 +1,15 @@
 import json
+import random
+import time
 import uuid
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from entitle.operators import eligibility as E
 from entitle.operators import oplogs as L
+from entitle.operators.suppress import suppressed
 from entitle.sources import catalogue_io as IO
 from entitle.streaming import jobs
 from tests.helpers import profiles, rows, rules, scheme
@@ -125,6 +129,40 @@ def test_repeats_are_suppressed(spark, tmp_path):
     assert found.count() == 3
 
 
+def fold(events, ttl):
+    """Keys and times that pass, one by one."""
+    last, out = {}, []
+    for key, ts, n in sorted(events, key=lambda e: (e[1], e[2])):
+        if key not in last or (ts - last[key]).total_seconds() >= ttl:
+            last[key] = ts
+            out.append((key, ts, n))
+    return sorted(out, key=str)
+
+
+def test_suppression_in_order_of_time(spark, tmp_path):
+    draw, start = random.Random(3), datetime(2024, 1, 1)
+    events = [(draw.choice(["a", "b", None]), start + timedelta(seconds=draw.choice([i * 10, i * 10 + draw.randrange(20)])), i) for i in range(120)]
+    events += [("c", start, 200), ("c", start + timedelta(seconds=60), 201), ("c", start + timedelta(seconds=119, microseconds=999_999), 202),
+               ("c", start + timedelta(seconds=120), 203), ("c", start + timedelta(seconds=120), 204)]
+    want = fold(events, 60)
+    schema = "name string, ts timestamp, n int"
+    batch = suppressed(spark.createDataFrame(events, schema).repartition(3), ["name"], 60)
+    assert sorted(map(tuple, batch.collect()), key=str) == want and [w[2] for w in want if w[0] == "c"] == [200, 201, 203]
+    source = str(tmp_path / "events")
+    late = sorted(events, key=lambda e: e[1] + timedelta(seconds=draw.randrange(90)))
+    for i in range(0, len(late), 25):
+        spark.createDataFrame(late[i:i + 25], schema).coalesce(1).write.mode("append").parquet(source)
+        time.sleep(0.05)
+    spark.createDataFrame([("end", start + timedelta(days=9), 999)], schema).coalesce(1).write.mode("append").parquet(source)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        rows_in = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        found = run(jobs.suppress_within(rows_in, ["name"], 60, "100 seconds"), tmp_path)
+        assert sorted((tuple(r) for r in found.collect() if r.name != "end"), key=str) == want
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
 def test_redaction_stream(spark, tmp_path):
     frame = spark.createDataFrame([(i, f"mail u{i}@x.org") for i in range(8)], "id int, text string")
     assert {r.text for r in run(jobs.redacted(stream(spark, tmp_path, frame, "id")), tmp_path).collect()} == {"mail ***EMAIL_REDACTED***"}
