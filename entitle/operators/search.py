@@ -86,8 +86,11 @@ def _best_schemes(queries: DataFrame, index: tfidf.Index, impacts: bounds.Impact
             .withColumnRenamed("item", "pos").withColumnRenamed("rank", rank))
 
 
-def _combined(matches: DataFrame, profiles: DataFrame, rules: DataFrame, key: str) -> DataFrame:
-    """``matches`` with the match score of the query's user under the rule that ``key`` names, and both scores combined."""
+def _combined(matches: DataFrame, profiles: DataFrame, rules: DataFrame, key: str = "pos") -> DataFrame:
+    """``matches`` with the match score of the query's user and both scores combined. ``rules`` are compiled rules, met by
+    position, or prefixed shapes with another ``key``."""
+    if key == "pos":
+        rules = prefixed(rules).withColumnRenamed("r_pos", "pos")
     users = S.with_user_keys(profiles).withColumnRenamed("user_id", "query_id")
     scored = small_or_split_join(matches.join(users, "query_id"), rules, [key], "query_id")
     both = (F.col("similarity") * 100 + F.col("match_score")) / 2
@@ -104,7 +107,7 @@ def search_batch(queries: DataFrame, catalogue: DataFrame, index: tfidf.Index, p
                  impacts: bounds.Impacts | None = None) -> DataFrame:
     """Top-k by similarity; the combined score of the query's user is attached, order unchanged."""
     best = _best_schemes(queries, index, impacts, k, threshold)
-    return _named(_combined(best, profiles, prefixed(rules).withColumnRenamed("r_pos", "pos"), "pos"), catalogue)
+    return _named(_combined(best, profiles, rules), catalogue)
 
 
 def search_combined(queries: DataFrame, catalogue: DataFrame, index: tfidf.Index, profiles: DataFrame,

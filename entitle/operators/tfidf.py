@@ -57,12 +57,21 @@ def fit_vocabulary(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                    dim: int = EMBEDDING_DIM, max_df: float = MAX_DF) -> DataFrame:
     """(term, tf, df, idf): the ``dim`` most frequent terms that are not in nearly every document."""
     n = docs.agg(F.count(F.lit(1))).scalar()
-    counts = _exploded(docs, id_col, text).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
-    return _vocabulary(counts, n, dim, max_df)
+    return _vocabulary(term_counts(docs, id_col, text), n, dim, max_df)
+
+
+def term_counts(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, term, tf) over single tokens and pairs."""
+    return _exploded(docs, id_col, text).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def _vocabulary(counts: DataFrame, n: Column, dim: int, max_df: float) -> DataFrame:
     stats = counts.groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
+    return capped_vocabulary(stats, n, dim, max_df)
+
+
+def capped_vocabulary(stats: DataFrame, n: Column, dim: int = EMBEDDING_DIM, max_df: float = MAX_DF) -> DataFrame:
+    """The vocabulary that totals (term, tf, df) over ``n`` documents give."""
     idf = F.ln((1 + n) / (1 + F.col("df"))) + 1
     return (stats.where(F.col("df") <= max_df * n)
             .orderBy(F.desc("tf"), "term").limit(dim)
@@ -74,10 +83,11 @@ def vectorise(docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id", te
     known = vocabulary.select("term", "idf")
     counts = (_exploded(docs, id_col, text).join(F.broadcast(known.select("term")), "term")
               .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
-    return _unit_weights(counts, known, id_col)
+    return unit_weights(counts, known, id_col)
 
 
-def _unit_weights(counts: DataFrame, vocabulary: DataFrame, id_col: str) -> DataFrame:
+def unit_weights(counts: DataFrame, vocabulary: DataFrame, id_col: str) -> DataFrame:
+    """(id, term, weight): counts x idf of the vocabulary's terms, scaled to length 1."""
     known = vocabulary.select("term", "idf")
     raw = counts.join(F.broadcast(known), "term").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("raw"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy(id_col)))
@@ -134,9 +144,9 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text", dim
 
     The counts of (document, term) go to the checkpoint folder; both tables come from them."""
     n = docs.agg(F.count(F.lit(1))).scalar()
-    counts = truncate_lineage(_exploded(docs, id_col, text).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
+    counts = truncate_lineage(term_counts(docs, id_col, text))
     vocabulary = _vocabulary(counts, n, dim, max_df)
-    return Index(vocabulary, _unit_weights(counts, vocabulary, id_col))
+    return Index(vocabulary, unit_weights(counts, vocabulary, id_col))
 
 
 def write_index(index: Index, path: str) -> None:

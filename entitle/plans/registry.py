@@ -21,6 +21,7 @@ from entitle.operators import responses as R
 from entitle.operators import reuse as U
 from entitle.operators import search as Q
 from entitle.operators import tfidf as T
+from entitle.operators import upkeep as UP
 from entitle.operators import validate as V
 from entitle.operators.joins import spread
 from entitle.operators.rules import compile_rules
@@ -539,6 +540,16 @@ def _(spark, d):
     return filled.select("id", "added", F.size("vector").alias("dims"), _checksum(F.col("vector")))
 
 
+@register("t8_index_in_steps", sql("SELECT k AS doc_id, term, round(w, 5) AS weight FROM d_vec", "d_vec"))
+def _(spark, d):
+    """The corpus comes language by language, one of them twice, and ends as the index of all."""
+    docs, english = X.corpus(spark, d), F.coalesce(F.col("lang") == "en", F.lit(False))
+    steps = [UP.added(docs.where(english)), UP.added(docs.where(~english))]
+    steps.append(UP.removed(docs.where(english).select("doc_id"), steps))
+    steps = [UP.merged(steps[:2]), *steps[2:], UP.added(docs.where(english))]
+    return UP.index_of(steps).postings.withColumn("weight", F.round("weight", 5))
+
+
 @register("t9_fit_length", """
     SELECT vec_id, CAST(100 AS INT) AS padded_dims, CAST(embedding[40] AS DOUBLE) AS cut_last, CAST(0.0 AS DOUBLE) AS padded_last
     FROM embeddings""")
