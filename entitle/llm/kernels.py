@@ -24,44 +24,86 @@ BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads all bits of 64-bit values."""
     x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+    x *= np.uint64(0xFF51AFD7ED558CCD)
+    x ^= x >> np.uint64(33)
+    x *= np.uint64(0xC4CEB9FE1A85EC53)
+    x ^= x >> np.uint64(33)
+    return x
 
 
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+#: Rolling hashes are polynomials modulo this prime, two of them with bases of their own.
+PRIME = np.uint64((1 << 31) - 1)
+_SHIFT = np.uint64(31)
+#: Powers of so many places are kept for later slices; those of longer texts are not.
+KEPT_POWERS = 1 << 19
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """``x``, made smaller in its place without a change of the residue modulo PRIME: 2^64 to 3 * 2^32, that to 2^31 + 5."""
+    high = x >> _SHIFT
+    x &= PRIME
+    x += high
+    return x
+
+
+def _powers(factor: int, size: int) -> np.ndarray:
+    out = np.ones(size, np.uint64)
+    done = 1
+    while done < size:
+        out[done:2 * done] = _fold(_fold(out[:size - done][:done] * np.uint64(pow(factor, done, int(PRIME)))))
+        done *= 2
+    return out
+
+
 class Rolling:
-    """Hashes of any span of a sequence of 64-bit values, from prefix sums modulo 2^64."""
+    """Hashes of any span of a sequence of 64-bit values, from prefix sums of two polynomials modulo PRIME: one of the
+    lower and one of the upper bits of the values. A prime has no sequences that agree under every base, which a power
+    of two has."""
 
-    _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    _kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def __init__(self, values: np.ndarray, base: int = BASES[0]):
         n = len(values)
-        if base not in self._powers or len(self._powers[base][0]) <= n:
-            size = max(1 << 18, n) + 1
-            both = []
-            for factor in (base, pow(base, -1, 1 << 64)):
-                powers = np.full(size, factor, np.uint64)
-                powers[0] = 1
-                both.append(np.multiply.accumulate(powers))
-            self._powers[base] = (both[0], both[1])
-        up, self._down = self._powers[base]
-        self._sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * up[:n], out=self._sums[1:])
+        self._halves = []
+        for factor, half in ((base % int(PRIME), values & PRIME), ((base >> 31) % int(PRIME), values >> np.uint64(33))):
+            up, down = self._tables(factor, n + 1)
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(_fold(half * up[:n]), out=sums[1:])
+            self._halves.append((sums, down))
+
+    @classmethod
+    def _tables(cls, factor: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        both = cls._kept.get(factor)
+        if both is None or len(both[0]) < size:
+            places = max(size, KEPT_POWERS)
+            both = _powers(factor, places), _powers(pow(factor, -1, int(PRIME)), places)
+            if places == KEPT_POWERS:
+                cls._kept[factor] = both
+        return both
+
+    @staticmethod
+    def _joined(differences: list[np.ndarray], down: list[np.ndarray]) -> np.ndarray:
+        """Sums times inverse powers, both halves in one value. A sum is less than 2^63, as a text has fewer than 2^31 units."""
+        low, high = (_fold(_fold(np.multiply(_fold(x), d, out=x))) for x, d in zip(differences, down))
+        for x in (low, high):
+            np.subtract(x, PRIME, out=x, where=x >= PRIME)
+        high <<= _SHIFT
+        high |= low
+        return mix(high)
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self._sums[end] - self._sums[start]) * self._down[start])
+        return self._joined([sums[end] - sums[start] for sums, _ in self._halves], [down[start] for _, down in self._halves])
 
     def all_of(self, length: int) -> np.ndarray:
         """Hashes of all spans of one length."""
-        n = len(self._sums) - length
+        n = len(self._halves[0][0]) - length
         if n <= 0:
             return np.zeros(0, np.uint64)
-        return mix((self._sums[length:] - self._sums[:n]) * self._down[:n])
+        return self._joined([sums[length:] - sums[:n] for sums, _ in self._halves], [down[:n] for _, down in self._halves])
 
 
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

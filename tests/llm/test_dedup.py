@@ -9,7 +9,7 @@ from llm_helpers import SCHEMA, WORD, awkward, removed_windows, rows
 
 from entitle.llm import near_dedup as near
 from entitle.llm.exact_dedup import exact_dedup, exact_groups
-from entitle.llm.kernels import text_slices, winnowed
+from entitle.llm.kernels import BASES, BYTE, PRIME, Rolling, mix, text_slices, winnowed
 from entitle.llm.near_dedup import components, near_groups
 from entitle.llm.substring_dedup import substring_dedup
 from entitle.llm.suffix_dedup import repeats_in, suffix_array, suffix_dedup
@@ -39,6 +39,41 @@ def test_windows_have_one_segment_and_equal_windows_equal_anchors():
         assert of.setdefault(tuple(units[start:start + 12]), at) == at
 
 
+def thue_morse(n=1024):
+    """Two words of a and b that agree under every polynomial modulo a power of two."""
+    odd = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[x] for x in odd), "".join("ba"[x] for x in odd)
+
+
+def test_rolling_hashes_equal_a_plain_sum():
+    draw = np.random.default_rng(1)
+    values = draw.integers(0, 1 << 63, 300, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    p, base = int(PRIME), BASES[1]
+    rolling = Rolling(values, base)
+    got = rolling.all_of(37)
+    for i in range(0, 263, 7):
+        part = [int(x) for x in values[i:i + 37]]
+        low = sum((x & p) * pow(base % p, k, p) for k, x in enumerate(part)) % p
+        high = sum((x >> 33) * pow((base >> 31) % p, k, p) for k, x in enumerate(part)) % p
+        assert got[i] == mix(np.array([low | high << 31], np.uint64))[0] == rolling.spans(np.array([i]), np.array([i + 37]))[0]
+
+
+@pytest.mark.parametrize("base", BASES)
+def test_rolling_hashes_tell_words_apart(base):
+    one, two = (BYTE[np.frombuffer(w.encode(), np.uint8)] for w in thue_morse())
+    found = Rolling(np.concatenate([one, two, one]), base).all_of(1024)
+    assert found[0] != found[1024] and found[0] == found[2048]
+
+
+def test_words_that_agree_modulo_a_power_of_two(spark):
+    one, two = thue_morse()
+    common = " ".join(f"w{i}" for i in range(59))
+    got = substring_dedup(spark.createDataFrame(rows([f"{one} {common}", f"{two} {common}"]), SCHEMA)).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {0: 0, 1: 59}
+    groups = near_groups(spark.createDataFrame(rows([one, two, one]), SCHEMA), 2).collect()
+    assert {r.doc_id: r.component_id for r in groups} == {0: 0, 1: 1, 2: 0}
+
+
 def test_slices_cut_between_rows():
     import pyarrow as pa
     texts = ["aé", None, "", "x" * 50, "b"]

@@ -48,6 +48,13 @@ def test_depleted_documents_go_and_copies_count_once(spark):
     assert kept == 50  # the copies of one text stay, those with more menu than text go
 
 
+def test_lines_that_agree_modulo_a_power_of_two(spark):
+    odd = [bin(i).count("1") % 2 for i in range(1024)]
+    one, two = "".join("ab"[x] for x in odd), "".join("ba"[x] for x in odd)
+    got = quality(spark.createDataFrame(rows([f"{one}\n{two}", f"{one}\n{two}\n{one}"]), SCHEMA)).collect()
+    assert {r.doc_id: r.n_dup_lines for r in got} == {0: 0, 1: 1}
+
+
 def test_quality_filter_keeps_rows_whole(spark, docs):
     got = quality_filter(docs)
     assert got.columns == docs.columns and got.count() == quality(docs).where("kept").count()
