@@ -21,8 +21,11 @@ TREES, DEPTH, THRESHOLD, SEED = 20, 6, 0.5, 7
 #: Names that stand before a credential.
 NAMES = r"(?i)(token|secret|passw|pwd|api|auth|key|credential|private|bearer)"
 #: A candidate too: what is quoted after such a name or assigned to it, of 8 characters or more; its closing quote may follow.
-VALUE = NAMES + (r"[\w.\-]*[\"'`\]]*(?:\s*(?::=|=>|[=:])\s*|\s+(?=[\"'`]))[\"'`]?"
-                 r"((?<=\")[^\"\s][^\"\n]{7,}(?=\")|(?<=')[^'\s][^'\n]{7,}(?=')|(?<=`)[^`\s][^`\n]{7,}(?=`)|[^\s\"'`]{7,}[^\s\"'`,;])[\"'`]?")
+#: Groups: all before the value, the name, the value, its quote.
+VALUE = "(" + NAMES + (r"[\w.\-]*[\"'`\]]*(?:\s*(?::=|=>|[=:])\s*|\s+(?=[\"'`]))[\"'`]?)"
+                       r"((?<=\")[^\"\s][^\"\n]{7,}(?=\")|(?<=')[^'\s][^'\n]{7,}(?=')|(?<=`)[^`\s][^`\n]{7,}(?=`)|[^\s\"'`]{7,}[^\s\"'`,;])([\"'`]?)")
+#: Stands before each value while its word is looked for; one in the text is taken for its neighbour OTHER meanwhile.
+MARK, OTHER = "\uffff", "\ufffe"
 BLANKS = r"[\x20\x09-\x0D]+"
 FEATURES = ("length", "digit_share", "upper_share", "changes", "variety", "transition", "coverage", "path", "quoted",
             "assigned", "named", "plain_before")
@@ -54,25 +57,24 @@ def candidates(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     words = docs.select("doc_id", text.alias("t"), F.split(text, BLANKS).alias("w"))
     hit = lambda i: (F.char_length(F.get("w", i)) >= LEAST_CHARS) & F.rlike(F.get("w", i), F.lit(CANDIDATE))
-    at = lambda i, c: F.struct(i.cast("int").alias("at"), c.alias("candidate"))
+    # place and candidate as one string: unions of strings are hashed, and slices of arrays would copy them whole
+    at = lambda i, c: F.concat_ws(" ", i.cast("string"), c)
     runs = F.flatten(F.transform(F.filter(F.sequence(F.lit(0), F.size("w") - 1), hit), lambda i: F.transform(
         F.regexp_extract_all(F.get("w", i), F.lit(CANDIDATE), F.lit(0)), lambda c: at(i, c))))
-    # the matches in order, each with the place where it ends, so that equal ones are told apart
-    matches = F.arrays_zip(F.regexp_extract_all("t", F.lit(VALUE), F.lit(0)).alias("m"), F.regexp_extract_all("t", F.lit(VALUE), F.lit(2)).alias("v"))
-    start = F.struct(F.lit(1).alias("end"), F.array().cast("array<struct<at:int,candidate:string>>").alias("found"))
-
-    def step(held: Column, x: Column) -> Column:
-        end = F.call_function("locate", x["m"], F.col("t"), held["end"]) + F.char_length(x["m"])
-        first = end - F.rlike(x["m"], F.lit("[\"'`]$")).cast("int") - F.char_length(x["v"])
-        before = F.size(F.split(F.substring(F.col("t"), F.lit(1), first), BLANKS)) - 1
-        return F.struct(end.alias("end"), F.concat(held["found"], F.array(at(before, x["v"]))).alias("found"))
-
-    found = (words.withColumns({"runs": runs, "values": F.aggregate(matches, start, step)["found"]})
-             .withColumn("c", F.explode(F.array_union("runs", "values"))).withColumns({"at": F.col("c.at"), "candidate": F.col("c.candidate")}))
-    return found.select(
-        "doc_id", F.col("at").alias("position"), F.get("w", "at").alias("word"),
-        F.array_join(F.slice("w", F.greatest(F.col("at") - 1, F.lit(1)), F.least(F.col("at"), F.lit(2))), " ").alias("before"),
-        F.array_join(F.slice("w", F.col("at") + 2, 2), " ").alias("after"), "candidate")
+    # the word that the k-th mark stands in is that of the k-th value
+    marked = F.split(F.regexp_replace(F.translate("t", MARK, OTHER), F.lit(VALUE), F.lit(f"$1{MARK}$3$4")), BLANKS)
+    marks = F.filter(F.transform(marked, lambda w, i: F.struct(i.alias("at"), (F.size(F.split(w, MARK)) - 1).alias("n"))), lambda x: x["n"] > 0)
+    places = F.flatten(F.transform(marks, lambda x: F.array_repeat(x["at"], x["n"])))
+    values = F.transform(F.arrays_zip(places.alias("at"), F.regexp_extract_all("t", F.lit(VALUE), F.lit(3)).alias("v")), lambda x: at(x["at"], x["v"]))
+    each = F.transform(F.array_union("runs", "values"), lambda x: F.struct(
+        F.call_function("substring_index", x, F.lit(" "), F.lit(1)).cast("int").alias("at"),
+        F.call_function("substr", x, F.call_function("instr", x, F.lit(" ")) + 1).alias("candidate")))
+    word = lambda x, k: F.get("w", x["at"] + k)
+    found = F.transform("each", lambda x: F.struct(
+        x["at"].alias("position"), word(x, 0).alias("word"), F.concat_ws(" ", word(x, -2), word(x, -1)).alias("before"),
+        F.concat_ws(" ", word(x, 1), word(x, 2)).alias("after"), x["candidate"].alias("candidate")))
+    rows = words.withColumns({"runs": runs, "values": values}).withColumn("each", each)
+    return rows.select("doc_id", F.explode(found).alias("c")).select("doc_id", "c.*")
 
 
 def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
