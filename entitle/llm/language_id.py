@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entitle.llm.html_extraction import TOKEN, blocks_of, host_of
+from entitle.llm.html_extraction import TOKEN, host_of, parse
 from entitle.llm.kernels import LOWER, mix, text_slices
 from entitle.llm.shared import keep, small_batches, table
 
@@ -100,7 +100,7 @@ def _evidence(model: np.ndarray, plain: bool) -> Callable[[Iterator[pa.RecordBat
             for row_id, url, page in zip(*(batch.column(k) for k in range(3))):
                 page, host = page.as_py() or "", (url.as_py() or "") if plain else host_of(url.as_py())
                 labels = [host] if plain else host.split(":")[0].split(".")
-                text = page if plain else "\n".join(b.text for b in blocks_of(page))
+                text = page if plain else "\n".join(parse(page).texts())
                 at = _grams(np.frombuffer(text.encode("utf-8", "replace"), np.uint8))
                 total = np.zeros(by_bucket.shape[1])
                 for i in range(0, len(at), 1 << 16):

@@ -1,15 +1,16 @@
 """Pieces against the library, pages, language and secrets on small fixtures."""
 
 import random
+from collections import Counter
 
 import pytest
 from llm_helpers import SCHEMA, awkward, rows
 from pyspark.sql import functions as F
 
-from entitle.llm.html_extraction import blocks_of, main_text
+from entitle.llm.html_extraction import LEAST_IMPORTANCE, LEAST_PAGES, main_text, noise_branches, page_branches, parse
 from entitle.llm.language_id import declared_language, identify, identify_documents, text_model
 from entitle.llm.pieces import MODEL, decode, encode, load
-from entitle.llm.secret_scan import scan, with_features
+from entitle.llm.secret_scan import candidates, scan, with_features
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -40,6 +41,17 @@ def test_pieces_equal_the_library(spark, model):
     assert all(back[i] == (t or "").replace("▁", " ") for i, t in enumerate(texts))
 
 
+def test_pieces_of_words_that_agree_modulo_a_power_of_two(spark, model):
+    from sentencepiece import SentencePieceProcessor
+    sp = SentencePieceProcessor(model_file=MODEL)
+    odd = [bin(i).count("1") % 2 for i in range(1024)]
+    texts = ["".join("ab"[x] for x in odd), "".join("ba"[x] for x in odd)]
+    got = {r.doc_id: r.ids for r in encode(spark.createDataFrame(rows(texts), SCHEMA).coalesce(1), "doc_id", model=model).collect()}
+    assert got == {i: sp.encode(t) for i, t in enumerate(texts)}
+    none = encode(spark.createDataFrame([], SCHEMA), "doc_id", model=model)
+    assert none.collect() == [] and decode(none, "doc_id", model=model).collect() == []
+
+
 def test_pieces_of_whole_documents(spark, model):
     from sentencepiece import SentencePieceProcessor
     sp = SentencePieceProcessor(model_file=MODEL)
@@ -54,9 +66,31 @@ def test_blocks():
             '<div class="ad">Buy</div><aside>See also</aside><form>Name <input></form><ul><li>a<li>b</ul>'
             '<script>if (a < b) { "</p>" }</script><table><tr><td>x<td>y</table><section id="comments"><p>First!</section></article>'
             '<footer>&copy; me</footer></body></html>')
-    assert [b.text for b in blocks_of(page) if b.landmark] == ["Head & tail", "One two", "three four", "a", "b", "x", "y"]
-    assert [b.text for b in blocks_of('a < b <p>c "<i>d</i>e</p><img src="x>y">f')] == ["a < b", 'c "de', "f"]
-    assert blocks_of("") == [] and blocks_of("<!-- never closed <p>x") == []
+    assert parse(page).texts() == ["Head & tail", "One two", "three four", "a", "b", "x", "y"]
+    assert parse('a < b <p>c "<i>d</i>e</p><img src="x>y">f').texts() == ["a < b", 'c "de', "f"]
+    assert parse("").texts() == [] and parse("<!-- never closed <p>x").texts() == []
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<article><p>One line</p></article><section id='comments'><p>" + "Reader said. " * 50 + "</p></section>", ["One line"]),
+    ("<article><p>One line</p></article><nav><ul>" + "<li>Menu entry" * 90 + "</ul></nav>", ["One line"]),
+    ("<main><p>One line</p><div class='comments'><article><p>" + "Reader. " * 50 + "</p></article></div></main>", ["One line"]),
+    ("<article><p>First half</p></article><p>And " + "the other half " * 30 + "</p>", ["First half", ("And " + "the other half " * 30).strip()]),
+    ("<div class='page has-sidebar'><main><p>Story</p></main><div class='sidebar'>Links</div></div>", ["Story"]),
+    ("<div class='has-sidebar'><h1>Title</h1><p>Story</p><div class='ad'>Buy</div></div>", ["Title", "Story"]),
+    ("<div class='post'><h1>T</h1><p>S</p></div><section class='comments'><article><p>R</p></article></section>", ["T", "S"])])
+def test_no_share_of_the_text_overrules_noise(page, want):
+    assert parse(page).texts() == want
+
+
+@pytest.mark.parametrize("start,end", [("<div>", "</div>"), ("<div>", ""), ("<x-y>", "</z>"), ("<li>", ""), ("<div class='ad'>", "")])
+def test_deep_pages_take_linear_time(start, end):
+    import time
+    n, begin = 100_000, time.monotonic()
+    page = parse(start * n + "deep" + end * n + "<p>after</p>")
+    assert len(page.branches()) == len(page.elements) and len(page_branches(page)) >= 1
+    assert page.texts() in (["deep", "after"], [])
+    assert time.monotonic() - begin < 20
 
 
 def pages(n=30):
@@ -78,14 +112,74 @@ def test_style_tree_removes_what_all_pages_of_a_site_show(spark):
 
 
 def test_style_tree_decides_within_landmarks_too(spark):
-    """Boilerplate of a neutral class in the article goes; text outside a small landmark, or in a marked element, stays."""
+    """Boilerplate of a neutral class in the article goes; text outside a landmark stays, marked elements go."""
     some = [(i, f"http://a.example.org/{i}", f"<article><div class='x1'>Read on our site</div><p>Text {i} of its own</p></article><div>Side {i}</div>")
             for i in range(12)]
     some += [(20, "http://b.example.org/", "<main>Hello</main><div class='text'><p>All of the long text of this page</p></div>"),
              (21, "http://c.example.org/", "<div class='promotion'><p>All of the long text</p><nav>Menu</nav></div><p>End</p><div class='ad'>Buy</div>")]
     texts = {r.page_id: r.text for r in main_text(spark.createDataFrame(some, PAGES)).collect()}
-    assert all(texts[i] == f"Text {i} of its own" for i in range(12))
-    assert texts[20] == "Hello\nAll of the long text of this page" and texts[21] == "All of the long text\nEnd"
+    assert all(texts[i] == f"Text {i} of its own\nSide {i}" for i in range(12))
+    assert texts[20] == "Hello\nAll of the long text of this page" and texts[21] == "End"
+
+
+def plain_noise(site):
+    """Paths of labels that are noise, from all pages of one site: entropies of what stands under each path."""
+    import math
+    seen, above = {}, {}
+    for page in {h for h in site}:
+        p = parse(page)
+        paths = [()]
+        for e in p.elements[1:]:
+            paths.append((*paths[e.parent], e.label))
+        inside = {}
+        for k, text in p.blocks:
+            at, below = k, "#"
+            while at:
+                inside.setdefault(paths[at], []).append((paths[k], text))
+                at = p.elements[at].parent
+        for path, held in inside.items():
+            if path[-1] not in ("html", "body"):
+                shape = tuple(x for x, _ in held)
+                seen.setdefault(path, []).append((shape, tuple(held)))
+                above[path] = path[:-1]
+    noise = set()
+    for path, held in seen.items():
+        m = len(held)
+        if m >= LEAST_PAGES:
+            entropy = lambda xs: -sum(c / m * math.log(c / m) for c in Counter(xs).values()) / math.log(m)
+            if max(entropy([x for x, _ in held]), entropy([y for _, y in held])) < LEAST_IMPORTANCE:
+                noise.add(path)
+    return noise
+
+
+def test_style_tree_equals_a_plain_one(spark):
+    """On a real site of the tables and a drawn one, the same texts stay as with explicit paths and entropies."""
+    draw = random.Random(8)
+    drawn = [(i, "http://d.example.org/" + str(i), "<body>" + "".join(
+        f"<div class='k{k}'><p>{draw.choice(['same'] * k + [str(draw.random())])}</p>" + "<span>x</span>" * draw.randrange(1, 3) + "</div>"
+        for k in range(9) if draw.random() < 0.9) + "</body>") for i in range(60)]
+    tables = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html").collect()
+    host = Counter(r.url.split("/")[2] for r in tables).most_common(1)[0][0]
+    site = [r for r in tables if r.url.split("/")[2] == host]
+    for some in (drawn, [tuple(r) for r in site]):
+        noise = plain_noise([h for _, _, h in some])
+        got = {r.page_id: r.text for r in main_text(spark.createDataFrame(some, PAGES)).collect()}
+        for i, _, h in some:
+            p = parse(h)
+            gone, paths = p.marked(), [()]
+            for k, e in enumerate(p.elements[1:], 1):
+                paths.append((*paths[e.parent], e.label))
+                gone[k] = gone[k] or gone[e.parent] or paths[k] in noise
+            assert got[i] == "\n".join(t for k, t in p.blocks if not gone[k])
+    assert plain_noise([h for _, _, h in drawn])
+    noise = noise_branches(spark.createDataFrame(drawn, PAGES)).collect()
+    assert 0 < len(noise) == len({(r.host, r.branch) for r in noise})
+
+
+def test_pages_of_an_empty_table_and_clashing_columns(spark):
+    assert main_text(spark.createDataFrame([], PAGES)).collect() == []
+    clash = spark.createDataFrame([(1, "http://a/", "<p>x</p>", "h", 5, "n", 7)], PAGES + ", host string, branch int, noise string, _bit int")
+    assert [(r.page_id, r.text) for r in main_text(clash).collect()] == [(1, "x")]
 
 
 def test_small_sites_and_large_noise_tables(spark, monkeypatch):
@@ -183,6 +277,19 @@ def test_secrets_held_out(spark):
     assert right > 0.95
 
 
+def test_many_assignments_in_one_text_take_linear_time(spark):
+    import time
+    draw = random.Random(2)
+    keys = ["".join(draw.choice("0123456789abcdef") for _ in range(32)) for _ in range(4_000)]
+    text = " ".join(f'word\ufffftoken = "{k} " ;' for k in keys)
+    begin = time.monotonic()
+    got = candidates(spark.createDataFrame(rows([text]), SCHEMA)).where("candidate LIKE '% '").select("position", "candidate", "word").collect()
+    assert time.monotonic() - begin < 15
+    assert sorted((r.position, r.candidate) for r in got) == [(5 * k + 2, key + " ") for k, key in enumerate(keys)]
+    assert all(r.word == '"' + r.candidate.strip() for r in got)
+
+
 def test_secrets_of_awkward_rows(spark):
-    assert scan(spark.createDataFrame(awkward(5), SCHEMA)).count() >= 0
+    got = scan(spark.createDataFrame(awkward(5), SCHEMA)).collect()
+    assert {r.candidate for r in got} == {"x" * 40} and {r.is_secret for r in got} == {False}
     assert scan(spark.createDataFrame([], SCHEMA)).count() == 0
