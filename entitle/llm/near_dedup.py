@@ -24,8 +24,6 @@ SKETCH_BITS, MOST_BITS = 512, 92
 PART_ROWS, PIVOTS = 512, 32
 #: Places of the table that tells rare shingles from frequent ones; shingles of one place count together.
 RARITY = 1 << 18
-#: Nearest neighbours of a member that are confirmed besides the spanning forest.
-NEAREST = 2
 
 _random = np.random.default_rng(11)
 FACTORS = _random.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -112,27 +110,25 @@ def _close(sketches: np.ndarray, sizes: np.ndarray, k: int, percent: int) -> np.
 
 
 def forest_pairs(sketches: np.ndarray, sizes: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Pairs of a bucket to be confirmed: a spanning forest of least differences, and each member's nearest.
-    If the members are linked at all, they are along the forest, but for errors of the estimate."""
+    """Pairs of a bucket to be confirmed: a spanning forest of least differences. If the members are linked at
+    all, they are along the forest, but for errors of the estimate; what these leave apart, ``_crossing`` finds."""
     g = len(sizes)
     if g == 2:
         return [(0, 1)] if _close(sketches, sizes, 0, percent)[1] <= MOST_BITS else []
     outside, best, parent = np.ones(g, bool), np.full(g, SKETCH_BITS), np.zeros(g, np.int64)
-    pairs, k = set(), 0
+    pairs: list[tuple[int, int]] = []
+    k = 0
     while True:
         outside[k] = False
         bits = _close(sketches, sizes, k, percent)
         bits[k] = SKETCH_BITS
-        for other in np.argpartition(bits, NEAREST)[:NEAREST].tolist() if g > NEAREST else range(g):
-            if bits[other] <= MOST_BITS:
-                pairs.add((min(k, other), max(k, other)))
         nearer = outside & (bits < best)
         best[nearer], parent[nearer] = bits[nearer], k
         if not outside.any():
-            return list(pairs)
+            return pairs
         k = int(np.where(outside, best, SKETCH_BITS + 1).argmin())
         if best[k] <= MOST_BITS:
-            pairs.add((min(k, int(parent[k])), max(k, int(parent[k]))))
+            pairs.append((min(k, int(parent[k])), max(k, int(parent[k]))))
 
 
 def _whole_parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
@@ -243,7 +239,7 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(RARITY, np.int64)
     for batch in batches:
         for s in batch.column(1):
-            total += np.bincount(mix(np.frombuffer(s.as_buffer(), np.uint64)) % np.uint64(RARITY), minlength=RARITY)
+            np.add.at(total, mix(np.frombuffer(s.as_buffer(), np.uint64)) % np.uint64(RARITY), 1)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["place", "n"])
 
@@ -307,6 +303,19 @@ def components(links: DataFrame) -> DataFrame:
         ends.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def joined_components(found: DataFrame, more: DataFrame) -> DataFrame:
+    """``found`` (node, component) with the links ``more`` (u, v) between nodes of it or new ones. Only the components
+    that the links touch are put together anew, as nodes of their own."""
+    label = found.select("node", "component")
+    ends = more.join(label.withColumnsRenamed({"node": "u", "component": "a"}), "u", "left").join(
+        label.withColumnsRenamed({"node": "v", "component": "b"}), "v", "left")
+    merged = keep(components(ends.select(F.coalesce("a", "u").alias("u"), F.coalesce("b", "v").alias("v"))))
+    moved = merged.select(F.col("node").alias("component"), F.col("component").alias("root"))
+    known = split_join(found, moved, ["component"], "left").select("node", F.coalesce("root", "component").alias("component"))
+    fresh = merged.join(found.select("node"), "node", "left_anti")
+    return known.unionByName(fresh.select("node", "component"))
+
+
 def rare_blocks(entries: DataFrame) -> DataFrame:
     """(bucket, part, node, component): the members of a shingle, dealt into blocks of about PART_ROWS rows so that each
     smaller set meets each larger one of another component in one of them.
@@ -344,7 +353,7 @@ def near_groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: in
 
     Equal sets are one node. MinHash samples of a node fill the bands that make candidates and, folded
     by parity, its odd sketch: the XOR of two sketches tells how many samples differ. In every bucket the
-    pairs of a spanning forest by that estimate, and nearest neighbours, are confirmed on the full sets; then
+    pairs of a spanning forest by that estimate are confirmed on the full sets; then
     members that are close to another component meet it with their full sets. So neither copies nor
     buckets become all their pairs. Buckets over PART_ROWS members are cut into parts that share PIVOTS members;
     members of such a bucket that are still in different components meet by their rarest shingles, of which every
@@ -392,8 +401,7 @@ def near_groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: in
     if not open_.isEmpty():
         rows = open_.join(sets_of(open_.select("node")), "node").select(*open_.columns, "shingles")
         more = by_part(rows).mapInArrow(_confirm_parts(percent), "u long, v long").distinct()
-        links = keep(links.unionByName(more))
-        found = keep(components(links))
+        found = keep(joined_components(found, more))
     # members of one large bucket that are in different components
     cut = members.where("part > 0").select("bucket").distinct()
     large = keep(split_join(members.select("bucket", "node").distinct(), cut, ["bucket"])
@@ -414,7 +422,7 @@ def near_groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: in
         if not open_.isEmpty():
             rows = open_.join(sets.join(open_.select("node").distinct(), "node"), "node").select(*open_.columns, "shingles")
             more = by_part(rows).mapInArrow(_confirm_parts(percent), "u long, v long").distinct()
-            found = keep(components(links.unionByName(more)))
+            found = keep(joined_components(found, more))
     of_node = (nodes.select("a", "b", "node", "least.id").join(found, "node", "left")
                .withColumn("component", F.coalesce("component", "node")))
     least = of_node.groupBy("component").agg(F.min("id").alias("component_id"))
