@@ -9,19 +9,22 @@ from pyspark.sql import types as T
 
 from entitle import schema as D
 from entitle.operators import validate as V
+from entitle.sources.json_array import array_elements
 
 
-def load_catalogue(spark: SparkSession, path: str, lines: bool = False, **validation) -> tuple[DataFrame, DataFrame]:
+def load_catalogue(spark: SparkSession, path: str, lines: bool = False, split: bool = False, **validation) -> tuple[DataFrame, DataFrame]:
     """(valid, rejected) catalogue rows with their load position; an empty catalogue is refused.
 
-    ``lines=False`` reads documents of the form {"schemes": [...]} (one task per file, split large
-    catalogues over several files; positions run on from file to file in order of path);
+    ``lines=False`` reads documents of the form {"schemes": [...]}, one task per file; positions run on from file
+    to file in order of path. ``split=True`` reads the same documents, large ones in several tasks;
     ``lines=True`` reads one programme per line with its ``pos``, as ``write_catalogue`` writes it, and
     splits files as well.
     """
     if lines:
         fields = [*D.CATALOGUE.fields, T.StructField("pos", T.LongType())]
         rows = spark.read.schema(T.StructType(fields)).json(path)
+    elif split:
+        rows = array_elements(spark, path, "schemes").select(F.from_json("json", D.CATALOGUE).alias("s"), "pos").select("s.*", "pos")
     else:
         wrapper = T.StructType([T.StructField("schemes", T.ArrayType(D.CATALOGUE))])
         documents = spark.read.schema(wrapper).option("multiLine", True).json(path)
