@@ -15,6 +15,7 @@ from entitle.operators import bounds as B
 from entitle.operators import catalogue as C
 from entitle.operators import eligibility as E
 from entitle.operators import errors as ERR
+from entitle.operators import keywords as K
 from entitle.operators import neighbours as N
 from entitle.operators import oplogs as L
 from entitle.operators import responses as R
@@ -758,7 +759,7 @@ def _(spark, d):
     return fitted.withColumn("matches", F.array_join("matches", ","))
 
 
-@register("q11_keyword_search", """
+_KEYWORDS = """
     SELECT query_id, doc_id, matches, CAST(rank AS INT) AS rank FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY matches DESC, doc_id) AS rank FROM (
         SELECT query_id, doc_id, CAST(sum(times) AS BIGINT) AS matches FROM (
@@ -766,7 +767,10 @@ def _(spark, d):
               SELECT item_id AS query_id, unnest(regexp_split_to_array(lower(text), '[\\s\\p{Z}\\x0b\\x1c-\\x1f\\x{85}]+')) AS term FROM benchmark)
             WHERE term <> '' GROUP BY query_id, term) q
           JOIN (SELECT doc_id, lower(text) AS body FROM documents) t ON contains(t.body, q.term)
-        GROUP BY query_id, doc_id)) WHERE rank <= 10""")
+        GROUP BY query_id, doc_id)) WHERE rank <= 10"""
+
+
+@register("q11_keyword_search", _KEYWORDS)
 def _(spark, d):
     return Q.keyword_search(X.text_queries(spark, d), X.corpus(spark, d))
 
@@ -782,6 +786,12 @@ def _(spark, d):
     return found.select("query_id", F.col("id").alias("scheme_id"), "matches", "rank")
 
 
+@register("q11_indexed_keyword_search", _KEYWORDS)
+def _(spark, d):
+    found = K.indexed_keyword_search(X.text_queries(spark, d), K.build_keyword_index(X.corpus(spark, d)))
+    return found.withColumnRenamed("item_id", "doc_id")
+
+
 @register("q12_category_centroids", _centroid_sql("""
     SELECT category, CAST(i AS INT) AS place, round(x, 6) AS mean FROM (
       SELECT category, unnest(c) AS x, unnest(range(len(c))) AS i FROM centres)"""))
