@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from entitle.operators import tfidf
+from entitle.operators.joins import BROADCAST_ROWS
 from entitle.schema import EMBEDDING_DIM
 from entitle.session import truncate_lineage
 
@@ -24,8 +25,8 @@ MANIFEST = "step long, folder string, retired boolean"
 
 
 class Step(NamedTuple):
-    """``counts`` (doc_id, term, tf) of added documents; ``terms`` (term, tf, df), what the step adds to the totals, negative
-    where it removes; ``docs`` (doc_id, added), every document once."""
+    """``counts`` (doc_id, term, tf) of added documents; ``terms`` (term, tf, df), whose sums the step adds to the totals, negative
+    where it removes (a stored step has a row per term); ``docs`` (doc_id, added), every document once."""
 
     counts: DataFrame
     terms: DataFrame
@@ -33,12 +34,23 @@ class Step(NamedTuple):
 
 
 def _totals(counts: DataFrame, sign: int) -> DataFrame:
-    return counts.groupBy("term").agg((sign * F.sum("tf")).alias("tf"), (sign * F.count(F.lit(1))).alias("df"))
+    return counts.select("term", (sign * F.col("tf")).alias("tf"), F.lit(sign).cast("long").alias("df"))
+
+
+def _summed(terms: DataFrame) -> DataFrame:
+    return terms.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df")).where("tf <> 0 OR df <> 0")
+
+
+def _small(ids: DataFrame) -> tuple[DataFrame, int]:
+    """``ids``, to be sent to every task when a count finds BROADCAST_ROWS at most, and the count (cut there)."""
+    n = ids.limit(BROADCAST_ROWS + 1).count()
+    return (F.broadcast(ids) if n <= BROADCAST_ROWS else ids), n
 
 
 def added(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Step:
-    """The step that adds ``docs``, whose ids are new. Texts are cut into terms once."""
-    counts = truncate_lineage(tfidf.term_counts(docs.withColumnRenamed(id_col, "doc_id"), "doc_id", text))
+    """The step that adds ``docs``, whose ids are new. Its counts are made from the texts where they are used, so that
+    a step that is not stored writes nothing."""
+    counts = tfidf.term_counts(docs.withColumnRenamed(id_col, "doc_id"), "doc_id", text)
     return Step(counts, _totals(counts, 1), docs.select(F.col(id_col).alias("doc_id"), F.lit(True).alias("added")))
 
 
@@ -47,28 +59,33 @@ def _alive(steps: list[Step], part: str) -> DataFrame:
     every = lambda name: reduce(DataFrame.unionByName, [getattr(s, name).withColumn("_step", F.lit(i)) for i, s in enumerate(steps)])
     gone = every("docs").where(~F.col("added")).groupBy("doc_id").agg(F.max("_step").alias("_gone"))
     rows = every(part) if part == "counts" else every(part).where("added").drop("added")
+    gone, n = _small(gone)
+    if not n:
+        return rows.drop("_step")
     return rows.join(gone, "doc_id", "left").where("_gone IS NULL OR _gone < _step").drop("_gone", "_step")
 
 
 def removed(ids: DataFrame, steps: list[Step]) -> Step:
     """The step that removes the documents ``ids`` (doc_id) from what ``steps`` hold; unknown ids are passed over."""
     known = truncate_lineage(_alive(steps, "docs").join(ids.select("doc_id").distinct(), "doc_id", "left_semi"))
-    counts = _alive(steps, "counts").join(known, "doc_id", "left_semi")
+    counts = _alive(steps, "counts").join(_small(known)[0], "doc_id", "left_semi")
     return Step(counts.limit(0), _totals(counts, -1), known.withColumn("added", F.lit(False)))
 
 
 def merged(steps: list[Step]) -> Step:
     """One step in place of ``steps``, which are the first of an index: the documents alive, and the totals."""
-    terms = reduce(DataFrame.unionByName, [s.terms for s in steps]).groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
-    return Step(_alive(steps, "counts"), terms.where("df > 0"), _alive(steps, "docs").withColumn("added", F.lit(True)))
+    terms = reduce(DataFrame.unionByName, [s.terms for s in steps])
+    return Step(_alive(steps, "counts"), terms, _alive(steps, "docs").withColumn("added", F.lit(True)))
 
 
 def index_of(steps: list[Step], dim: int = EMBEDDING_DIM, max_df: float = tfidf.MAX_DF) -> tfidf.Index:
     """Vocabulary and postings (doc_id, term, weight) of the documents alive."""
     whole = merged(steps)
-    n = whole.docs.agg(F.count(F.lit(1))).scalar()
-    vocabulary = tfidf.capped_vocabulary(whole.terms, n, dim, max_df)
-    return tfidf.Index(vocabulary, tfidf.unit_weights(whole.counts, vocabulary, "doc_id"))
+    vocabulary = tfidf.frequent_terms(whole.terms, lambda keep: whole.terms.where(keep(F.col("term"))), whole.docs.count(), dim, max_df)
+    known = tfidf.known_terms(vocabulary)
+    # terms outside the vocabulary go before documents that are gone
+    counts = _alive([s._replace(counts=s.counts.where(known(F.col("term")))) for s in steps], "counts")
+    return tfidf.Index(vocabulary, tfidf.unit_weights(counts, vocabulary, "doc_id"))
 
 
 # --- stored steps ---------------------------------------------------------------------------
@@ -93,7 +110,7 @@ def read_steps(spark: SparkSession, path: str) -> list[Step]:
 def _append(spark: SparkSession, path: str, step: Step, number: int, retired: list = ()) -> None:
     """The step's tables, then its row of the manifest: a step that fails half way is never read."""
     folder = f"steps/{uuid.uuid4().hex}"
-    for name, df in zip(PARTS, step):
+    for name, df in zip(PARTS, step._replace(terms=_summed(step.terms))):
         df.write.parquet(f"{path}/{folder}/{name}")
     rows = [(number, folder, False), *((r.step, r.folder, True) for r in retired)]
     spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
