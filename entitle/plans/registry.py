@@ -608,8 +608,9 @@ def _(spark, d):
 
 @register("q3_similarity_matrix", sql("SELECT * FROM doc_sims", "doc_sims"))
 def _(spark, d):
-    index = T.build_index(X.corpus(spark, d))
-    return Q.similarities(Q.query_vectors(X.text_queries(spark, d), index.vocabulary), index.postings)
+    docs = X.corpus(spark, d)
+    index = T.build_index(docs)
+    return Q.similarities(Q.query_vectors(X.text_queries(spark, d), index.vocabulary), index.postings, n_items=docs.count())
 
 
 @register("q3_similar_pairs", sql("SELECT query_id, doc_id, similarity FROM doc_sims WHERE similarity >= 0.3", "doc_sims"))
