@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from entitle.llm.kernels import BASES, LOWER, Rolling, mix, signed, text_slices, words
 from entitle.llm.shared import doc_id, keep, keyed, rows_of, split_join, table
@@ -22,6 +24,10 @@ SKETCH_BITS, MOST_BITS = 512, 92
 #: Members of a bucket that are compared in one task; larger buckets are cut, and PIVOTS of their members
 #: stand in every part. What the parts leave apart meets by shared rare shingles.
 PART_ROWS, PIVOTS = 512, 32
+#: Close pairs across components that a part hands on one by one, for each of its members; parts with more hand on members.
+FEW_PAIRS = 4
+#: Places of the bits that texts are chosen by before they are shuffled, in words of 64.
+WANTED = 1 << 24
 #: Places of the table that tells rare shingles from frequent ones; shingles of one place count together.
 RARITY = 1 << 18
 
@@ -187,18 +193,27 @@ def _bucket_pairs(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
 
 
 def _crossing(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of rows (bucket, part, node, n, sketch, component) those close to a member of another component."""
+    """Of rows (bucket, part, node, n, sketch, component) those close to a member of another component: with each such member
+    as ``other`` where a part has at most FEW_PAIRS of these pairs a member, else once, without."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole_parts(batches, 20_000):
-            n, sketch, component = rows.column(3).to_numpy(), _sketches(rows), rows.column(5).to_numpy()
-            involved = [np.zeros(0, np.int64)]
+            node, n, sketch, component = rows.column(2).to_numpy(), rows.column(3).to_numpy(), _sketches(rows), rows.column(5).to_numpy()
+            involved, one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for at in _members(rows):
                 own, sizes, kinds = sketch[at], n[at], component[at]
                 if kinds.min() == kinds.max():
                     continue
-                near = [((_close(own, sizes, k, percent) <= MOST_BITS) & (kinds != kinds[k])).any() for k in range(len(at))]
-                involved.append(at[np.array(near)])
-            yield from rows.take(pa.array(np.concatenate(involved))).to_batches()
+                near = [np.flatnonzero((_close(own, sizes, k, percent) <= MOST_BITS) & (kinds != kinds[k])) for k in range(len(at))]
+                if sum(map(len, near)) > 2 * FEW_PAIRS * len(at):
+                    involved.append(at[np.array([len(x) > 0 for x in near])])
+                    continue
+                for k, x in enumerate(near):
+                    x = x[x > k]
+                    one.append(np.full(len(x), at[k]))
+                    two.append(at[x])
+            alone, first, second = (np.concatenate(x) for x in (involved, one, two))
+            other = pa.concat_arrays([pa.nulls(len(alone), pa.int64()), pa.array(node[second], pa.int64())])
+            yield from rows.take(pa.array(np.concatenate([alone, first]))).append_column("other", other).combine_chunks().to_batches()
     return run
 
 
@@ -279,6 +294,16 @@ def _confirm(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return run
 
 
+def likely(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The ``rows`` whose keys are among ``wanted``, and a few others. What is sent to every task are WANTED bits at most, so that no
+    text is shuffled only to find that nothing asks for it."""
+    place = F.xxhash64(*keys).bitwiseAND(F.lit(WANTED - 1))
+    word, bit = F.shiftright(place, 6), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    bits = wanted.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    return (rows.withColumn("_word", word).join(F.broadcast(bits), "_word")
+            .where(F.col("_bits").bitwiseAND(bit) != 0).drop("_word", "_bits"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over ``links`` (u, v), for nodes with links.
 
@@ -384,23 +409,36 @@ def near_groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: in
         return rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        rows = wanted.distinct().join(nodes.select("node", "least.*"), "node")
-        return keep(texts.join(rows, ["id", "text_key"]).select("node", "text").mapInArrow(
-            _sets(shingle_words), "node long, shingles binary").dropDuplicates(["node"]))
+        rows = keep(wanted.distinct().join(nodes.select("node", "least.*"), "node"))
+        some = likely(texts, rows, ["id", "text_key"]).join(rows, ["id", "text_key"]).dropDuplicates(["id", "text_key"])
+        return keep(some.select("node", "text").mapInArrow(_sets(shingle_words), "node long, shingles binary"))
+
+    def confirmed(pairs: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        sets = find(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))))
+        one = sets.select(F.col("node").alias("u"), F.col("shingles").alias("x"))
+        two = sets.select(F.col("node").alias("v"), F.col("shingles").alias("y"))
+        return keep(pairs.join(one, "u").join(two, "v").select("u", "v", "x", "y").mapInArrow(_confirm(percent), "u long, v long"))
+
+    def across(rows: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+        """Links between members of a part that are close but in different components. A pair is met in many buckets, and confirmed
+        once; members of parts with many such pairs meet there with their sets."""
+        marked = T.StructType([*rows.schema.fields, T.StructField("other", T.LongType())])
+        open_ = keep(by_part(rows).mapInArrow(_crossing(percent), marked))
+        few, many = open_.where("other IS NOT NULL"), open_.where("other IS NULL").drop("other")
+        links = []
+        if not few.isEmpty():
+            links.append(confirmed(keep(few.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()), find))
+        if not many.isEmpty():
+            held = many.join(find(many.select("node")), "node").select(*many.columns, "shingles")
+            links.append(by_part(held).mapInArrow(_confirm_parts(percent), "u long, v long"))
+        return reduce(DataFrame.unionByName, links).distinct() if links else None
 
     pairs = keep(by_part(members).mapInArrow(_bucket_pairs(percent), "u long, v long").distinct())
-    sets = sets_of(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))))
-    one = sets.select(F.col("node").alias("u"), F.col("shingles").alias("x"))
-    two = sets.select(F.col("node").alias("v"), F.col("shingles").alias("y"))
-    links = keep(pairs.join(one, "u").join(two, "v").select("u", "v", "x", "y").mapInArrow(_confirm(percent), "u long, v long"))
-    found = keep(components(links))
-    # members of one bucket that are close but in different components
+    found = keep(components(confirmed(pairs, sets_of)))
     labelled = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).select(
         "bucket", "part", "node", "n", "sketch", "component")
-    open_ = keep(by_part(labelled).mapInArrow(_crossing(percent), labelled.schema))
-    if not open_.isEmpty():
-        rows = open_.join(sets_of(open_.select("node")), "node").select(*open_.columns, "shingles")
-        more = by_part(rows).mapInArrow(_confirm_parts(percent), "u long, v long").distinct()
+    more = across(labelled, sets_of)
+    if more is not None:
         found = keep(joined_components(found, more))
     # members of one large bucket that are in different components
     cut = members.where("part > 0").select("bucket").distinct()
@@ -418,10 +456,8 @@ def near_groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: in
         entries = keep(sets.mapInArrow(_prefixes(often, percent), "bucket long, node long, smaller boolean").join(labels, "node"))
         rows = keep(rare_blocks(entries).join(wide.select("node", "n", "sketch"), "node")
                     .select("bucket", "part", "node", "n", "sketch", "component"))
-        open_ = keep(by_part(rows).mapInArrow(_crossing(percent), rows.schema))
-        if not open_.isEmpty():
-            rows = open_.join(sets.join(open_.select("node").distinct(), "node"), "node").select(*open_.columns, "shingles")
-            more = by_part(rows).mapInArrow(_confirm_parts(percent), "u long, v long").distinct()
+        more = across(rows, lambda wanted: sets.join(wanted.distinct(), "node"))
+        if more is not None:
             found = keep(joined_components(found, more))
     of_node = (nodes.select("a", "b", "node", "least.id").join(found, "node", "left")
                .withColumn("component", F.coalesce("component", "node")))
