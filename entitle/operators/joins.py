@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 HOT_KEY_ROWS = 500_000
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
+#: Rows of a task where they are dealt by number: keys shrink so much in a shuffle that partitions of equal bytes hold millions.
+TASK_ROWS = 500_000
 
 
 def split_hot_join(left: DataFrame, right: DataFrame, keys: list[str], spread_on: str,
@@ -72,6 +74,13 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df``, of ``rows`` rows at most, by ``keys`` in tasks of TASK_ROWS; as it is where all cores together take that many."""
+    if rows <= TASK_ROWS * df.sparkSession.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(-(-rows // TASK_ROWS), *keys)
+
+
 def _grams(text: Column, width: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(text) - width + 1),
                        lambda i: F.substring(text, i, width))

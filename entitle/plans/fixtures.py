@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from entitle.operators.joins import dealt
 
 #: Words of a supplier's search text.
 QUERY_WORDS = 6
@@ -67,10 +68,11 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct (user_id, scheme_id): every part a customer ever ordered."""
     orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    return items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    ordered = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("o_custkey").alias("user_id"),
         F.concat(F.lit("s-"), F.col("l_partkey").cast("string")).alias("scheme_id"),
-    ).distinct()
+    )
+    return dealt(ordered, items.count(), "user_id", "scheme_id").distinct()
 
 
 def scheme_queries(spark: SparkSession, sf_dir: str) -> DataFrame:

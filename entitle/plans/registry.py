@@ -886,8 +886,7 @@ def _(spark, d):
 def _response_inputs(spark, d):
     """Users with a language, and the best ten eligible programmes they applied for."""
     profiles = X.profiles(spark, d)
-    assessed = E.assess_pairs(X.applications(spark, d), profiles, _strict(spark, d)).where("is_eligible")
-    best = E.top_ranked(assessed, ["user_id"], [F.desc("match_score"), F.col("pos")], 10)
+    best = E.best_pairs(X.applications(spark, d), profiles, _strict(spark, d), 10)
     texts = X.catalogue(spark, d).select(F.col("id").alias("scheme_id"), "name", "description",
                                          V.clean_documents(F.col("documents")).alias("documents"))
     items = best.select("user_id", "rank", "scheme_id", "match_score", "reason").join(texts, "scheme_id")
