@@ -107,10 +107,12 @@ def response_metrics(responses: DataFrame) -> DataFrame:
 
 
 def resolve_responses(users: DataFrame, items: DataFrame, stored: DataFrame) -> DataFrame:
-    """Stored response by fingerprint, else the template text; ``source`` tells which."""
-    made = format_responses(users, items).join(fingerprints(users, items), "user_id", "left")
+    """Stored response by fingerprint, else the template text; ``source`` tells which.
+
+    Fingerprints meet the stored ones before the texts, which are then shuffled by user only."""
     known = stored.select("fingerprint", F.col("response").alias("_stored"))
-    return (made.join(known, "fingerprint", "left")
+    prints = fingerprints(users, items).join(known, "fingerprint", "left")
+    return (format_responses(users, items).join(prints, "user_id", "left")
             .select("user_id", "fingerprint", F.coalesce("_stored", "response").alias("response"),
                     F.when(F.col("_stored").isNotNull(), "stored")
                     .when(F.col("item_count") == 0, "no_match").otherwise("template").alias("source")))
