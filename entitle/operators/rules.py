@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from entitle.functions import rules as R
 from entitle.functions.strings import strip
+from entitle.operators.joins import spread
 
 KEEP = ["id", "pos", "name", "state"]
 
 
 def compile_rules(catalogue: DataFrame, dialect: str = "strict") -> DataFrame:
-    """Typed rules from ``catalogue(id, pos, name, state, eligibility struct | map)``."""
-    catalogue = with_criteria(catalogue)
+    """Typed rules from ``catalogue(id, pos, name, state, eligibility struct | map)``, parsed by all cores."""
+    catalogue = with_criteria(spread(catalogue, "id"))
     if dialect == "strict":
         return _strict(catalogue)
     if dialect == "lenient":
