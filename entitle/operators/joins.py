@@ -56,12 +56,17 @@ def row_bytes(df: DataFrame) -> Column:
     return total
 
 
+def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a count finds at most ``max_rows`` rows and ``max_bytes`` bytes, so that ``df`` may be sent to every task."""
+    size = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(row_bytes(df)), F.lit(0)).alias("b")).first()
+    return size.n <= max_rows and size.b <= max_bytes
+
+
 def small_or_split_join(left: DataFrame, right: DataFrame, keys: list[str], spread_on: str,
                         max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Inner equi join that sends ``right`` to every task only after counting at most ``max_rows`` rows and
     ``max_bytes`` bytes in it, and splits hot keys otherwise."""
-    size = right.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(row_bytes(right)), F.lit(0)).alias("b")).first()
-    if size.n <= max_rows and size.b <= max_bytes:
+    if fits(right, max_rows, max_bytes):
         return left.join(F.broadcast(right), keys)
     return split_hot_join(left, right, keys, spread_on)
 
