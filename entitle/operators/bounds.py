@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from entitle.operators.eligibility import by_user, top_ranked
-from entitle.operators.joins import small_or_split_join
+from entitle.operators.joins import fits, small_or_split_join, split_hot_join
 from entitle.session import truncate_lineage
 
 #: Bands of weights, and the heaviest postings of a term that are looked at first.
@@ -32,6 +32,8 @@ BANDS, CHAMPIONS = 32, 16
 DIGITS = 4
 #: By this much a similarity may be under a floor and still be rounded up to it.
 SLACK = 0.6 * 10 ** -DIGITS
+#: Pairs of queries and vectors whose sums one task holds at most.
+PAIRS = 2_000_000
 TABLES = ["postings", "champions", "terms", "members"]
 
 
@@ -94,12 +96,17 @@ def _rounded(product: Column) -> Column:
     return F.round(F.least(product, F.lit(1.0)), DIGITS).alias("similarity")
 
 
+def _met(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join that sends ``right`` to every task where it fits, and leaves ``left`` where it is then."""
+    return left.join(F.broadcast(right) if fits(right) else right, keys, how)
+
+
 def first_matches(queries: DataFrame, impacts: Impacts, n: int) -> DataFrame:
     """(query_id, vec, similarity): the ``n`` vectors of each query that share most with it by champions alone, with the
     similarity of their whole vectors."""
     shared = queries.join(impacts.champions, "term").groupBy("query_id", "vec").agg(_product().alias("_part"))
     likely = top_ranked(shared, ["query_id"], [F.desc("_part"), F.col("vec")], n).select("query_id", "vec")
-    whole = likely.join(queries, "query_id").join(impacts.postings.drop("band"), ["vec", "term"])
+    whole = _met(likely.join(queries, "query_id"), impacts.postings.drop("band"), ["vec", "term"])
     return whole.groupBy("query_id", "vec").agg(_rounded(_product())).where("similarity > 0")
 
 
@@ -107,7 +114,8 @@ def above(queries: DataFrame, floors: DataFrame, impacts: Impacts) -> DataFrame:
     """(query_id, vec, similarity) of all pairs whose similarity is at least the query's ``floor``.
 
     ``queries`` is (query_id, term, weight), ``floors`` (query_id, floor). A floor of 0 or less bounds nothing: then
-    every pair with a common term is scored.
+    every pair with a common term is scored. Where queries or postings fit, they are sent to every task, and sums of pairs are
+    made where the others are, without a shuffle.
     """
     floor = F.greatest(F.col("floor") - SLACK, F.lit(0.0))
     q = queries.join(floors.select("query_id", floor.alias("floor")), "query_id").join(F.broadcast(impacts.terms), "term")
@@ -121,14 +129,23 @@ def above(queries: DataFrame, floors: DataFrame, impacts: Impacts) -> DataFrame:
     low, high = F.cos(F.least(own + reach, F.lit(math.pi / 2))), F.cos(F.greatest(own - reach, F.lit(0.0)))
     bands = F.sequence(_band(F.greatest(low - 1e-9, F.lit(0.0))), _band(high + 1e-9))
     needed = q.where(F.col("_tail") >= F.col("floor")).withColumn("band", F.explode(bands)).drop("_tail")
+    # so many tasks that each sums up PAIRS pairs at most
+    asked, held = floors.count(), impacts.postings.agg(F.approx_count_distinct("vec")).first()[0]
+    parts = max(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-asked * held // PAIRS))
+    few = fits(needed)
+    if not few and fits(impacts.postings):
+        met = needed.repartition(parts, "query_id").join(F.broadcast(impacts.postings), ["term", "band"])
+    elif few:
+        met = impacts.postings.repartition(parts, "vec").join(F.broadcast(needed), ["term", "band"])
+    else:
+        met = split_hot_join(by_user(impacts.postings, "vec"), needed, ["term", "band"], "vec")
     pairs = (
-        small_or_split_join(by_user(impacts.postings, "vec"), needed, ["term", "band"], "vec")
-        .groupBy("query_id", "vec").agg(_product().alias("_part"), F.first("_rest").alias("_rest"), F.first("floor").alias("_floor"))
+        met.groupBy("query_id", "vec").agg(_product().alias("_part"), F.first("_rest").alias("_rest"), F.first("floor").alias("_floor"))
         .where(F.col("_part") + F.col("_rest") + 1e-9 >= F.col("_floor")).select("query_id", "vec", "_part", "_floor")
     )
     # a pair that is left lacks the terms that were not looked up
     others = q.where(F.col("_tail") < F.col("floor")).select("query_id", "term", "weight")
-    whole = (pairs.join(others, "query_id", "left").join(impacts.postings.drop("band"), ["vec", "term"], "left")
+    whole = (_met(_met(pairs, others, ["query_id"], "left"), impacts.postings.drop("band"), ["vec", "term"], "left")
              .groupBy("query_id", "vec").agg(F.first("_part").alias("_part"), F.coalesce(_product(), F.lit(0.0)).alias("_more"),
                                              F.first("_floor").alias("_floor")))
     return (whole.select("query_id", "vec", _rounded(F.col("_part") + F.col("_more")), "_floor")
