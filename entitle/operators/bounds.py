@@ -52,15 +52,16 @@ def _band(weight: Column) -> Column:
 
 def build_impacts(postings: DataFrame, item_id: str, champions: int = CHAMPIONS) -> Impacts:
     """The tables of ``postings`` (item, term, weight). Vectors are equal when their numbers of terms and two
-    order-free sums of 64-bit hashes over terms and weights (12 digits) agree."""
-    items = truncate_lineage(postings.select(F.col(item_id).alias("item"), "term", "weight"))
+    order-free sums of 64-bit hashes over terms and weights (12 digits) agree. ``postings`` are read twice, and
+    only those of one item per vector are kept."""
+    items = postings.select(F.col(item_id).alias("item"), "term", "weight")
     mark = lambda salt: F.xxhash64("term", F.round("weight", 12), F.lit(salt))
-    signed = items.groupBy("item").agg(F.struct(F.count(F.lit(1)).alias("n"), F.bit_xor(mark(1)).alias("x"),
-                                                F.sum(mark(2).cast("decimal(20,0)")).alias("s")).alias("sign"))
+    signed = items.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(mark(1)).alias("x"), F.sum(mark(2).cast("decimal(20,0)")).alias("s"))
+    signed = truncate_lineage(signed.select("item", F.unhex(F.md5(F.concat_ws(" ", "n", "x", "s"))).alias("sign")))
     named = signed.groupBy("sign").agg(F.min("item").alias("vec"))
-    members = truncate_lineage(signed.join(named, "sign").select("vec", "item"))
+    members = truncate_lineage(small_or_split_join(signed, named, ["sign"], "item").select("vec", "item"))
     firsts = members.where(F.col("vec") == F.col("item")).select("item")
-    rows = items.join(firsts, "item", "left_semi").select(
+    rows = small_or_split_join(items, firsts, ["item"], "term").select(
         "term", _band(F.col("weight")).alias("band"), F.col("item").alias("vec"), F.col("weight").alias("item_weight"))
     return _derived(truncate_lineage(by_user(rows, "vec")), members, champions)
 
