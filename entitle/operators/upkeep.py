@@ -9,10 +9,11 @@ Totals are sums and later steps decide about earlier ones, so steps merge in any
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from entitle.operators import tfidf
@@ -24,6 +25,10 @@ PARTS = ["counts", "terms", "docs"]
 MANIFEST = "step long, folder string, retired boolean"
 
 
+Keep = Callable[[Column], Column]
+Only = Callable[[DataFrame], DataFrame]
+
+
 class Step(NamedTuple):
     """``counts`` (doc_id, term, tf) of added documents; ``terms`` (term, tf, df), whose sums the step adds to the totals, negative
     where it removes (a stored step has a row per term); ``docs`` (doc_id, added), every document once."""
@@ -32,15 +37,51 @@ class Step(NamedTuple):
     terms: DataFrame
     docs: DataFrame
 
+    def made(self, only: Only, keep: Keep | None) -> DataFrame:
+        """The counts of the documents that ``only`` leaves and the terms that ``keep`` is true of."""
+        return only(_kept(self.counts, keep))
+
+    def totals(self, keep: Keep) -> DataFrame:
+        """``terms`` likewise."""
+        return _kept(self.terms, keep)
+
+    def seen(self, only: Only) -> DataFrame:
+        """(doc_id, term, tf) whose sums by term are those of the counts."""
+        return only(self.counts)
+
+    def occurrences(self) -> DataFrame:
+        """(term, tf) whose sums by term are those of ``terms``."""
+        return self.terms.select("term", "tf")
+
+
+class Unstored(Step):
+    """A step that knows how its tables come about, so that what is not wanted of them is never made."""
+
+    def by(self, made: Callable, totals: Callable, seen: Callable, occurrences: Callable) -> Unstored:
+        self.made, self.totals, self.seen, self.occurrences = made, totals, seen, occurrences
+        return self
+
+
+def _every(df: DataFrame) -> DataFrame:
+    return df
+
 
 def _totals(counts: DataFrame, sign: int) -> DataFrame:
     return counts.select("term", (sign * F.col("tf")).alias("tf"), F.lit(sign).cast("long").alias("df"))
 
 
+def _signed(seen: DataFrame, sign: int) -> DataFrame:
+    return seen.select("term", (sign * F.col("tf")).alias("tf"))
+
+
 def _summed(terms: DataFrame) -> DataFrame:
     return terms.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df")).where("tf <> 0 OR df <> 0")
 
 
+def _kept(rows: DataFrame, keep: Keep | None) -> DataFrame:
+    return rows if keep is None else rows.where(keep(F.col("term")))
+
+
 def _small(ids: DataFrame) -> tuple[DataFrame, int]:
     """``ids``, to be sent to every task when a count finds BROADCAST_ROWS at most, and the count (cut there)."""
     n = ids.limit(BROADCAST_ROWS + 1).count()
@@ -50,42 +91,82 @@ def _small(ids: DataFrame) -> tuple[DataFrame, int]:
 def added(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Step:
     """The step that adds ``docs``, whose ids are new. Its counts are made from the texts where they are used, so that
     a step that is not stored writes nothing."""
-    counts = tfidf.term_counts(docs.withColumnRenamed(id_col, "doc_id"), "doc_id", text)
-    return Step(counts, _totals(counts, 1), docs.select(F.col(id_col).alias("doc_id"), F.lit(True).alias("added")))
+    named = docs.withColumnRenamed(id_col, "doc_id")
 
+    def made(only: Only, keep: Keep | None) -> DataFrame:
+        return tfidf.term_counts(named, "doc_id", text, keep, only)
 
-def _alive(steps: list[Step], part: str) -> DataFrame:
-    """``counts`` or ``docs`` of all steps without documents that a later step removes."""
-    every = lambda name: reduce(DataFrame.unionByName, [getattr(s, name).withColumn("_step", F.lit(i)) for i, s in enumerate(steps)])
-    gone = every("docs").where(~F.col("added")).groupBy("doc_id").agg(F.max("_step").alias("_gone"))
-    rows = every(part) if part == "counts" else every(part).where("added").drop("added")
-    gone, n = _small(gone)
-    if not n:
-        return rows.drop("_step")
-    return rows.join(gone, "doc_id", "left").where("_gone IS NULL OR _gone < _step").drop("_gone", "_step")
+    def seen(only: Only) -> DataFrame:
+        return tfidf.tokenised(named, "doc_id", text, only).select(
+            "doc_id", F.explode(F.concat("tokens", "bigrams")).alias("term"), F.lit(1).cast("long").alias("tf"))
+
+    counts = made(_every, None)
+    return Unstored(counts, _totals(counts, 1), docs.select(F.col(id_col).alias("doc_id"), F.lit(True).alias("added"))).by(
+        made, lambda keep: _totals(made(_every, keep), 1), seen, lambda: _signed(seen(_every), 1))
+
+
+def _left(steps: list[Step]) -> list[Only]:
+    """For each step what leaves those of its documents that no later step removes."""
+    every = reduce(DataFrame.unionByName, [s.docs.withColumn("_step", F.lit(i)) for i, s in enumerate(steps)])
+    gone, n = _small(every.where(~F.col("added")).groupBy("doc_id").agg(F.max("_step").alias("_gone")))
+
+    def left(i: int) -> Only:
+        return lambda df: df.join(gone.where(F.col("_gone") >= i).select("doc_id"), "doc_id", "left_anti")
+    return [left(i) if n else _every for i in range(len(steps))]
+
+
+def _alive(steps: list[Step]) -> Callable[..., DataFrame]:
+    """Gives rows of ``part`` of all steps without documents that a later step removes, those that ``also`` leaves. The steps
+    are those of now, whatever becomes of the list."""
+    each = list(zip(steps, _left(steps)))
+
+    def alive(part: Callable[[Step, Only], DataFrame], also: Only = _every) -> DataFrame:
+        return reduce(DataFrame.unionByName, [part(step, lambda df, left=left: also(left(df))) for step, left in each])
+    return alive
+
+
+def _ids(step: Step, only: Only) -> DataFrame:
+    return only(step.docs.where("added").select("doc_id"))
 
 
 def removed(ids: DataFrame, steps: list[Step]) -> Step:
     """The step that removes the documents ``ids`` (doc_id) from what ``steps`` hold; unknown ids are passed over."""
-    known = truncate_lineage(_alive(steps, "docs").join(ids.select("doc_id").distinct(), "doc_id", "left_semi"))
-    counts = _alive(steps, "counts").join(_small(known)[0], "doc_id", "left_semi")
-    return Step(counts.limit(0), _totals(counts, -1), known.withColumn("added", F.lit(False)))
+    alive = _alive(steps)
+    known = truncate_lineage(alive(_ids).join(ids.select("doc_id").distinct(), "doc_id", "left_semi"))
+    few = _small(known)[0]
+
+    def those(df: DataFrame) -> DataFrame:
+        return df.join(few, "doc_id", "left_semi")
+
+    def totals(keep: Keep | None) -> DataFrame:
+        return _totals(alive(lambda step, only: step.made(only, keep), those), -1)
+
+    none = alive(lambda step, only: step.made(only, None), those).limit(0)
+    return Unstored(none, totals(None), known.withColumn("added", F.lit(False))).by(
+        lambda only, keep: none, totals, lambda only: none, lambda: _signed(alive(lambda step, only: step.seen(only), those), -1))
 
 
 def merged(steps: list[Step]) -> Step:
     """One step in place of ``steps``, which are the first of an index: the documents alive, and the totals."""
-    terms = reduce(DataFrame.unionByName, [s.terms for s in steps])
-    return Step(_alive(steps, "counts"), terms, _alive(steps, "docs").withColumn("added", F.lit(True)))
+    steps, alive = list(steps), _alive(steps)
+    union = lambda parts: reduce(DataFrame.unionByName, parts)
+
+    def made(only: Only, keep: Keep | None) -> DataFrame:
+        return alive(lambda step, left: step.made(left, keep), only)
+
+    return Unstored(made(_every, None), union([s.terms for s in steps]), alive(_ids).withColumn("added", F.lit(True))).by(
+        made, lambda keep: union([s.totals(keep) for s in steps]), lambda only: alive(lambda step, left: step.seen(left), only),
+        lambda: union([s.occurrences() for s in steps]))
 
 
 def index_of(steps: list[Step], dim: int = EMBEDDING_DIM, max_df: float = tfidf.MAX_DF) -> tfidf.Index:
-    """Vocabulary and postings (doc_id, term, weight) of the documents alive."""
+    """Vocabulary and postings (doc_id, term, weight) of the documents alive.
+
+    Of steps that are not stored, terms are counted within the row only where they may be of the vocabulary, and texts of
+    documents that are gone are not cut into terms for the postings."""
     whole = merged(steps)
-    vocabulary = tfidf.frequent_terms(whole.terms, lambda keep: whole.terms.where(keep(F.col("term"))), whole.docs.count(), dim, max_df)
-    known = tfidf.known_terms(vocabulary)
-    # terms outside the vocabulary go before documents that are gone
-    counts = _alive([s._replace(counts=s.counts.where(known(F.col("term")))) for s in steps], "counts")
-    return tfidf.Index(vocabulary, tfidf.unit_weights(counts, vocabulary, "doc_id"))
+    vocabulary = tfidf.frequent_terms(whole.occurrences(), whole.totals, whole.docs.count(), dim, max_df)
+    return tfidf.Index(vocabulary, tfidf.unit_weights(whole.made(_every, tfidf.known_terms(vocabulary)), vocabulary, "doc_id"))
 
 
 # --- stored steps ---------------------------------------------------------------------------
